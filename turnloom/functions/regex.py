@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,10 +27,6 @@ def java(pattern: str) -> str:
     return out.replace(r"\b", _EDGE).replace(r"\s", SPACE)
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
-
-
 @dataclass(frozen=True)
 class Rule:
     """A named test on lower-cased text.
@@ -55,17 +50,20 @@ class Rule:
         """The rule on its own, as one regex."""
         return text.rlike(self.jvm)
 
-    def extra_tests(self, low: Column) -> list[Column]:
-        """Tests for the alternatives that are not literal phrases."""
-        out = []
-        for pattern, stems in self.extra:
-            match = low.rlike(java(pattern))
-            out.append(any_of([low.contains(s) for s in stems]) & match if stems else match)
-        return out
+    def extra_tests(self, low: str) -> list[str]:
+        """Tests, as SQL text, for the alternatives that are not literal phrases."""
+        from turnloom.functions.sqltext import contains_any, matches
+
+        return [
+            f"({contains_any(low, stems)} AND {matches(low, pattern)})" if stems else matches(low, pattern)
+            for pattern, stems in self.extra
+        ]
+
+    def matches(self, low: str) -> str:
+        """Number of non-overlapping matches, as SQL text."""
+        from turnloom.functions.sqltext import q
 
-    def matches(self, low: Column) -> Column:
-        """Number of non-overlapping matches in the text."""
-        return F.regexp_count(low, F.lit(self.jvm)).cast("long")
+        return f"regexp_count({low}, {q(self.jvm)})"
 
 
 def _word_trie(phrases, end: str) -> str:
@@ -104,7 +102,8 @@ class PhraseScan:
 
     def __init__(self, phrases):
         self.phrases = sorted(set(phrases))
-        self._index = F.array(*[F.lit(p) for p in self.phrases])
+        # constant arrays are written as folded text: two plan nodes instead of hundreds
+        self._index = F.split(F.lit("\n".join(self.phrases)), "\n")
 
     def hits(self, low: Column) -> Column:
         """1-based phrase numbers found in the text, without repeats."""
@@ -126,7 +125,7 @@ class PhraseScan:
         masks = [sum(1 << bit for bit, rule in rules if self._met_by(p, rule.phrases)) for p in self.phrases]
         if not any(masks):
             return F.lit(0).cast("long")
-        table = F.array(*[F.lit(m).cast("long") for m in masks])
+        table = F.split(F.lit(",".join(map(str, masks))), ",").cast("array<bigint>")
         return F.aggregate(
             hits, F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(F.element_at(table, i.cast("int")))
         )

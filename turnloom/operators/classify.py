@@ -10,7 +10,6 @@ from turnloom.operators.signals import (
     LOOKBACK_RISK,
     LOOKBACK_TOPIC,
     LOOKBACK_URGENCY,
-    WORD_BITS,
     Layout,
     Lifted,
 )
@@ -63,7 +62,7 @@ def _carry(rows: DataFrame, layout: Layout) -> DataFrame:
     ).filter(F.col("carry_n").isNotNull())
 
 
-def lift(rows: DataFrame, layout: Layout) -> tuple[DataFrame, Lifted]:
+def lift(rows: DataFrame, layout: Layout) -> DataFrame:
     """Windows per (conversation, segment) plus the carry of earlier segments.
 
     ``feat`` is opaque to column pruning, so the window branch and the carry branch read the
@@ -116,19 +115,42 @@ def lift(rows: DataFrame, layout: Layout) -> tuple[DataFrame, Lifted]:
         ],
         *[either(F.col(f"near{n}"), tail_or(n)).alias(f"before{n}") for n in LOOKBACKS],
     )
-    now = F.col("feat")[layout.NEAR]
-    view = Lifted(
-        layout,
-        current=F.col("feat")[layout.CURRENT],
-        context=F.col(f"slot{layout.CONTEXT}"),
-        history=F.col("hist_bits"),
-        near={n: F.col(f"before{n}").bitwiseOR(now) for n in LOOKBACKS},
-        near_history={n: F.col(f"before{n}") for n in LOOKBACKS},
-        feat=F.col("feat"),
-        context_slot=lambda i: F.col(f"slot{i}"),
-        n_before=F.col("pos"),
+    return lifted
+
+
+def lift_arrays(rows: DataFrame, layout: Layout, feats: str = "feats") -> DataFrame:
+    """The same columns for the last turn of a bounded, ordered array of packed features."""
+    zero = F.lit(0).cast("long")
+    size = F.size(feats)
+
+    def ored(items: Column, slot: int) -> Column:
+        return F.aggregate(items, zero, lambda a, x: a.bitwiseOR(x[slot]))
+
+    def summed(slot: int) -> Column:
+        return F.aggregate(feats, zero, lambda a, x: a + x[slot])
+
+    def previous(n: int | None) -> Column:
+        start = F.lit(1) if n is None else F.greatest(F.lit(1), size - n)
+        return F.slice(feats, start, size - start)
+
+    return rows.withColumns(
+        {
+            "feat": F.element_at(feats, -1),
+            "pos": (size - 1).cast("long"),
+            "hist_bits": ored(previous(None), layout.CONTEXT),
+            **{
+                f"slot{i}": ored(F.col(feats), i)
+                for i in [layout.CONTEXT, *range(layout.plugin_slot, layout.score_slot)]
+            },
+            **{f"slot{i}": summed(i) for i in range(layout.score_slot, layout.size)},
+            **{f"before{n}": ored(previous(n), layout.NEAR) for n in LOOKBACKS},
+        }
     )
-    return lifted, view
+
+
+def lifted_view(layout: Layout) -> Lifted:
+    """Named access to the columns that lift and lift_arrays produce."""
+    return Lifted(layout)
 
 
 def first_case(rules: list[tuple[Column, Column | str]], default) -> Column:
@@ -148,10 +170,7 @@ def plugin_domain(f: Lifted) -> Column:
     plugins = f.layout.plugins
     if not plugins:
         return F.lit(None).cast("string")
-    cases = [
-        (f.plugin_bits(i // WORD_BITS).bitwiseAND(F.lit(1 << (i % WORD_BITS)).cast("long")) != 0, p["id"])
-        for i, p in enumerate(plugins)
-    ]
+    cases = [(f.plugin(i), p["id"]) for i, p in enumerate(plugins)]
     return first_case(cases, F.lit(None).cast("string"))
 
 
@@ -300,10 +319,17 @@ def classify(
     wins over the label, and a turn without a label falls back to the rules.
     """
     layout = Layout(vocab, plugin_list(plugins))
-    lifted, f = lift(features(turns, layout, size), layout)
+    lifted = lift(features(turns, layout, size), layout)
     if user_turns_only:
-        lifted = lifted.filter(f.cur("is_user"))
+        lifted = lifted.filter(lifted_view(layout).cur("is_user"))
+    return label_frames(lifted, layout, ("conv_id", "turn", "pos"), domain_labels)
+
 
+def label_frames(
+    lifted: DataFrame, layout: Layout, keep: tuple, domain_labels: DataFrame | None = None
+) -> DataFrame:
+    """Run the rule cascades over lifted columns; ``keep`` names the columns to carry along."""
+    f = lifted_view(layout)
     staged = lifted.select(
         "*",
         f.keywords().alias("keywords"),
@@ -314,7 +340,7 @@ def classify(
     )
     by_rule = domain_rules(f)
     if domain_labels is not None:
-        labels = domain_labels.select("conv_id", "turn", F.col("label"), F.col("score").cast("double").alias("label_score"))
+        labels = domain_labels.select("conv_id", "turn", "label", F.col("score").cast("double").alias("label_score"))
         staged = staged.join(labels, ["conv_id", "turn"], "left")
         staged = staged.withColumn("domain", F.coalesce("plugin", "label", by_rule))
         rule_conf = F.when(F.col("domain") == "general", F.lit(0.62)).otherwise(F.lit(0.88))
@@ -335,15 +361,14 @@ def classify(
     )
     n_signals = F.size("keywords") + F.size("structures")
     return staged.select(
-        "conv_id",
-        "turn",
-        "pos",
+        *keep,
         "intent",
         "state",
         "domain",
         "risk",
         F.struct("keywords", "structures", "urgency", "affect").alias("signals"),
         confidence(F.col("intent"), F.col("state"), conf, F.col("risk"), n_signals).alias("confidence"),
+        f.context_chars().alias("context_chars"),
     )
 
 
@@ -359,7 +384,7 @@ def last_frames(frames: DataFrame) -> DataFrame:
 def lifted_columns(turns: DataFrame, vocab: Vocabulary = DEFAULT, size: int = SEGMENT, plugins=None) -> tuple[DataFrame, Lifted]:
     """The lifted feature table for callers that want single signals instead of whole frames."""
     layout = Layout(vocab, plugin_list(plugins))
-    return lift(features(turns, layout, size), layout)
+    return lift(features(turns, layout, size), layout), lifted_view(layout)
 
 
 def protected_gate(frames: DataFrame) -> DataFrame:

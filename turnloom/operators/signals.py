@@ -8,12 +8,13 @@ is the sum of the counts. Each turn is scanned once; windows lift the results.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property, reduce
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.functions.regex import PhraseScan, Rule, any_of
+from turnloom.functions.regex import PhraseScan, Rule
+from turnloom.functions.sqltext import contains_any, pack, string_array
 from turnloom.functions.vocab import SCORED_DOMAINS, Vocabulary
 
 WORD_BITS = 60
@@ -22,14 +23,6 @@ LOOKBACK_URGENCY = 4
 LOOKBACK_TOPIC = 2
 
 
-def pack(flags: list[Column]) -> Column:
-    """Booleans to one long, first flag in the lowest bit."""
-    if len(flags) > 62:
-        raise ValueError("more flags than bits in a long")
-    weights = [f.cast("long") * F.lit(1 << i).cast("long") for i, f in enumerate(flags)]
-    return reduce(lambda a, b: a + b, weights) if weights else F.lit(0).cast("long")
-
-
 def has_bit(bits: Column, i: int) -> Column:
     return bits.bitwiseAND(F.lit(1 << i).cast("long")) != 0
 
@@ -74,9 +67,13 @@ class Layout:
         return self.plugin_slot + self.plugin_longs
 
     @property
-    def size(self) -> int:
+    def chars_slot(self) -> int:
         return self.score_slot + len(SCORED_DOMAINS)
 
+    @property
+    def size(self) -> int:
+        return self.chars_slot + 1
+
     @cached_property
     def context_names(self) -> list[str]:
         return list(self.vocab.context)
@@ -107,92 +104,99 @@ class Layout:
 
     def features(self, rows: DataFrame, text: str = "text", role: str = "role", keep: tuple = ()) -> DataFrame:
         """Add the packed array ``feat``: one phrase scan per turn plus substring tests for the keywords."""
-        lowered = rows.select(*keep, F.lower(text).alias("_low"), F.col(role).alias("_role"))
-        scanned = lowered.select(*keep, "_low", "_role", self.phrase_scan.hits(F.col("_low")).alias("_hits"))
-        return scanned.select(*keep, self._packed(F.col("_low"), F.col("_hits"), F.col("_role")).alias("feat"))
+        lowered = rows.select(
+            *keep, F.lower(text).alias("_low"), F.length(text).alias("_chars"), F.col(role).alias("_role")
+        )
+        scanned = lowered.select("*", self.phrase_scan.hits(F.col("_low")).alias("_hits"))
+        return scanned.select(*keep, self._packed().alias("feat"))
 
-    def _packed(self, low: Column, hits: Column, role: Column) -> Column:
+    def _packed(self) -> Column:
+        """The array over the columns _low, _hits, _role and _chars."""
         v = self.vocab
+        hits = F.col("_hits")
 
         def rule_word(rules: list[tuple[int, Rule]]) -> Column:
             """Bits of all rules at once: found phrases by table, the other alternatives one by one."""
             bits = self.phrase_scan.rule_bits(hits, rules)
-            for bit, rule in rules:
-                for test in rule.extra_tests(low):
-                    bits = bits.bitwiseOR(F.when(test, F.lit(1 << bit)).otherwise(F.lit(0)).cast("long"))
-            return bits
+            others = [
+                f"IF({test}, {1 << bit}L, 0L)" for bit, rule in rules for test in rule.extra_tests("_low")
+            ]
+            return bits.bitwiseOR(F.expr(" | ".join(others))) if others else bits
 
-        def any_part(words) -> Column:
-            return any_of([low.contains(w) for w in words])
+        def any_part(words) -> str:
+            return contains_any("_low", words)
 
         named = {**v.structures, **v.current}
-        plain = [role == "user", any_part(v.affect_words["frustrated"]), any_part(v.affect_words["positive"])]
+        plain = ["_role = 'user'", any_part(v.affect_words["frustrated"]), any_part(v.affect_words["positive"])]
         context = rule_word(list(enumerate(v.context.values())))
-        current = pack(plain).bitwiseOR(rule_word([(i + len(plain), r) for i, r in enumerate(named.values())]))
-        near = pack([low.contains(w) for _, w in self.near_words] + [any_part(v.affect_words["distressed"])])
-        near = near.bitwiseOR(rule_word([(self.small_talk_bit, v.small_talk)]))
-        in_turn = [low.contains(w) for _, w in self.keywords]
-        plugged = [any_part([k.lower() for k in p["keywords"]]) if p["keywords"] else F.lit(False) for p in self.plugins]
-        keyword = [pack(in_turn[i : i + WORD_BITS]) for i in range(0, len(in_turn), WORD_BITS)] or [pack([])]
+        current = F.expr(pack(plain)).bitwiseOR(
+            rule_word([(i + len(plain), r) for i, r in enumerate(named.values())])
+        )
+        near_parts = [any_part([w]) for _, w in self.near_words] + [any_part(v.affect_words["distressed"])]
+        near = F.expr(pack(near_parts)).bitwiseOR(rule_word([(self.small_talk_bit, v.small_talk)]))
+        in_turn = [any_part([w]) for _, w in self.keywords]
+        plugged = [any_part([k.lower() for k in p["keywords"]]) for p in self.plugins]
+        keyword = [pack(in_turn[i : i + WORD_BITS]) for i in range(0, len(in_turn), WORD_BITS)] or ["0L"]
         plugin = [pack(plugged[i : i + WORD_BITS]) for i in range(0, len(plugged), WORD_BITS)]
-        scored = rule_word([(i, v.scores[d]) for i, d in enumerate(SCORED_DOMAINS)])
-        scores = [
-            F.when(has_bit(scored, i), v.scores[d].matches(low)).otherwise(F.lit(0).cast("long"))
+        return F.array(
+            context, current, near, *[F.expr(e) for e in keyword + plugin], *self._scores(rule_word), F.col("_chars").cast("long")
+        )
+
+    def _scores(self, rule_word) -> list[Column]:
+        """Match counts per domain; the counting regex runs only on turns that can match."""
+        v = self.vocab
+        possible = rule_word([(i, v.scores[d]) for i, d in enumerate(SCORED_DOMAINS)])
+        counts = [
+            F.when(has_bit(possible, i), F.expr(f"CAST({v.scores[d].matches('_low')} AS BIGINT)")).otherwise(
+                F.lit(0).cast("long")
+            )
             for i, d in enumerate(SCORED_DOMAINS)
         ]
-        return F.array(context, current, near, *keyword, *plugin, *scores)
+        return counts
 
 
 class Lifted:
-    """Named access to the lifted longs of one turn: current, whole context, previous turns, look-backs."""
+    """Named access to the lifted columns: current turn, whole context, previous turns, look-backs."""
 
-    def __init__(self, layout: Layout, current: Column, context: Column, history: Column, near: dict[int, Column],
-                 near_history: dict[int, Column], feat: Column, context_slot, n_before: Column):
+    def __init__(self, layout: Layout):
         self.layout = layout
-        self._current = current
-        self._context = context
-        self._history = history
-        self._near = near
-        self._near_history = near_history
-        self._feat = feat
-        self._slot = context_slot
-        self.n_before = n_before
+        self.n_before = F.col("pos")
+
+    def _bit(self, column: str, i: int) -> Column:
+        return F.expr(f"({column} & {1 << i}L) != 0")
 
     def cur(self, name: str) -> Column:
-        return has_bit(self._current, self.layout.current_names.index(name))
+        return self._bit(f"feat[{Layout.CURRENT}]", self.layout.current_names.index(name))
 
     def ctx(self, name: str) -> Column:
-        return has_bit(self._context, self.layout.context_names.index(name))
+        return self._bit(f"slot{Layout.CONTEXT}", self.layout.context_names.index(name))
 
     def hist(self, name: str) -> Column:
-        return has_bit(self._history, self.layout.context_names.index(name))
+        return self._bit("hist_bits", self.layout.context_names.index(name))
 
-    def recent_history(self, n: int) -> Column:
-        return self._near_history[n]
+    def score(self, i: int) -> Column:
+        return F.col(f"slot{self.layout.score_slot + i}")
 
-    def recent(self, n: int) -> Column:
-        return self._near[n]
+    def context_chars(self) -> Column:
+        """Characters of the current turn and all turns before it."""
+        return F.col(f"slot{self.layout.chars_slot}")
 
-    def score(self, i: int) -> Column:
-        return self._slot(self.layout.score_slot + i)
+    def plugin(self, i: int) -> Column:
+        return self._bit(f"slot{self.layout.plugin_slot + i // WORD_BITS}", i % WORD_BITS)
 
-    def plugin_bits(self, i: int) -> Column:
-        return self._slot(self.layout.plugin_slot + i)
+    def _recent(self, n: int) -> str:
+        return f"(before{n} | feat[{Layout.NEAR}])"
 
     def keywords(self) -> Column:
         """Hits of the current turn in vocabulary order, then crisis and unsafe hits of the last six turns."""
         lay = self.layout
-
-        def listed(pairs, bit_of) -> Column:
-            return F.array_compact(F.array(*[F.when(bit_of(i), F.lit(f"{g}:{w}")) for i, (g, w) in enumerate(pairs)]))
-
-        def current_bit(i: int) -> Column:
-            return has_bit(self._feat[lay.keyword_slot + i // WORD_BITS], i % WORD_BITS)
-
-        early = [(g, w) for g, w in lay.near_words if g in ("crisis", "unsafe")]
-        now = listed(lay.keywords, current_bit)
-        before = listed(early, lambda i: has_bit(self.recent_history(LOOKBACK_RISK), i))
-        return F.array_union(now, before)
+        early = [f"{g}:{w}" for g, w in lay.near_words if g in ("crisis", "unsafe")]
+        word = f"feat[{lay.keyword_slot} + CAST(i DIV {WORD_BITS} AS INT)]"
+        now = f"filter({string_array(f'{g}:{w}' for g, w in lay.keywords)}, (k, i) -> (shiftright({word}, i % {WORD_BITS}) & 1L) = 1)"
+        if not early:
+            return F.expr(now)
+        before = f"filter({string_array(early)}, (k, i) -> (shiftright(before{LOOKBACK_RISK}, i) & 1L) = 1)"
+        return F.expr(f"array_union({now}, {before})")
 
     def structures(self) -> Column:
         names = list(self.layout.vocab.structures)
@@ -201,20 +205,19 @@ class Lifted:
 
     def urgency(self) -> Column:
         mask = self.layout.near_mask("urgency")
-        hits = F.bit_count(self.recent(LOOKBACK_URGENCY).bitwiseAND(F.lit(mask).cast("long")))
+        hits = F.expr(f"bit_count({self._recent(LOOKBACK_URGENCY)} & {mask}L)")
         return F.when(hits >= 2, F.lit("high")).when(hits == 1, F.lit("medium")).otherwise(F.lit("low"))
 
     def affect(self) -> Column:
         return (
-            F.when(has_bit(self.recent(LOOKBACK_RISK), self.layout.distress_bit), F.lit("distressed"))
+            F.when(self._bit(self._recent(LOOKBACK_RISK), self.layout.distress_bit), F.lit("distressed"))
             .when(self.cur("frustrated"), F.lit("frustrated"))
             .when(self.cur("positive"), F.lit("positive"))
             .otherwise(F.lit("neutral"))
         )
 
     def near_group(self, group: str, n: int) -> Column:
-        mask = self.layout.near_mask(group)
-        return self.recent(n).bitwiseAND(F.lit(mask).cast("long")) != 0
+        return F.expr(f"({self._recent(n)} & {self.layout.near_mask(group)}L) != 0")
 
     def small_talk_before(self) -> Column:
-        return has_bit(self.recent_history(LOOKBACK_TOPIC), self.layout.small_talk_bit)
+        return self._bit(f"before{LOOKBACK_TOPIC}", self.layout.small_talk_bit)
