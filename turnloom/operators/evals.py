@@ -204,7 +204,7 @@ def drop_checks(values: Column, text: Column) -> Column:
     """A value is dropped when it does not occur as a whole word."""
 
     def dropped(v: Column) -> Column:
-        quoted = F.concat(F.lit(r"\Q"), F.regexp_replace(v, r"\\E", r"\\\\E\\\\\\\\E\\\\Q"), F.lit(r"\E"))
+        quoted = F.concat(F.lit(r"\Q"), F.regexp_replace(v, r"\\E", r"\\E\\\\E\\Q"), F.lit(r"\E"))
         edge = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
         return ~F.call_function("rlike", text, F.concat(F.lit("(?i)" + edge), quoted, F.lit(edge)))
 

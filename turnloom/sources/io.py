@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from turnloom import schemas
 from turnloom.operators.turns import valid_turns
@@ -22,12 +21,12 @@ def spread(df: DataFrame) -> DataFrame:
 
 def read_turns(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Turns with a fixed schema; rows that are no user or assistant turn are dropped at the scan."""
-    schema = T.StructType([f for f in schemas.TURNS if f.name != "ts"]) if fmt == "parquet" else schemas.TURNS
-    return valid_turns(spark.read.schema(schema).format(fmt).load(path))
+    return valid_turns(spark.read.schema(schemas.TURNS).format(fmt).load(path))
 
 
-def read_eval_cases(spark: SparkSession, path: str, schema: T.StructType = schemas.EVAL_CASES) -> DataFrame:
+def read_eval_cases(spark: SparkSession, path: str, ddl: str = schemas.EVAL_CASES) -> DataFrame:
     """A JSON array or JSON lines; an empty or missing history becomes an empty list."""
+    schema = schemas.struct(ddl)
     head = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
     if not head:
         return spark.createDataFrame([], schema)
@@ -61,7 +60,7 @@ def read_saas_tables(spark: SparkSession, path: str, fmt: str = "parquet", jdbc:
             raw = spark.read.format("jdbc").options(**jdbc, dbtable=name).load()
         else:
             raw = spark.read.schema(schema).format(fmt).load(f"{path}/{name}")
-        out[name] = raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+        out[name] = raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.struct(schema)])
     return out
 
 
