@@ -102,8 +102,8 @@ def hard_facts(rows: DataFrame, limit: int = 12) -> DataFrame:
         joined.select("conv_id", "run", "domain", "text")
     )
     found = texts.select(
-        "conv_id", "run", F.explode(F.expr(fact_structs("text", "domain"))).alias("f")
-    ).select("conv_id", F.struct("f.family", "run", "f.idx").alias("place"), F.col("f.value").alias("value"))
+        "conv_id", "run", F.explode_outer(F.expr(fact_structs("text", "domain"))).alias("f")
+    ).filter(F.col("f").isNotNull()).select("conv_id", F.struct("f.family", "run", "f.idx").alias("place"), F.col("f.value").alias("value"))
     first = found.groupBy("conv_id", F.lower("value").alias("key")).agg(
         F.min("place").alias("place"), F.min_by("value", "place").alias("value")
     )

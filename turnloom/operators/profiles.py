@@ -33,7 +33,7 @@ STUDY_PATTERN = r"(?i)\b(?:study at|student at|from)\s+([^.\n]{3,50})"
 
 def first_match(text: Column, pattern: str) -> Column:
     """Group 1 of the first match, trimmed; null without a match."""
-    return ws_trim(F.element_at(F.regexp_extract_all(text, F.lit(java(pattern)), F.lit(1)), 1))
+    return ws_trim(F.get(F.regexp_extract_all(text, F.lit(java(pattern)), F.lit(1)), 0))
 
 
 def session_items(turns: DataFrame, frames: DataFrame) -> DataFrame:

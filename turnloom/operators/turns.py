@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnloom.functions.text import let
 from turnloom.plans.segments import SEGMENT, numbered, segment_of
 
 CHAT_ROLES = ("user", "assistant")
@@ -77,11 +78,16 @@ def unique_turns(turns: DataFrame) -> DataFrame:
 
 def unique_messages(messages: Column) -> Column:
     """The same for a bounded message array: first of each (role, text) stays."""
-    keys = F.transform(messages, lambda m: F.struct(m["role"].alias("r"), m["text"].alias("t")))
-    return F.filter(
-        messages,
-        lambda m, i: F.array_position(keys, F.struct(m["role"].alias("r"), m["text"].alias("t"))) == i + 1,
-    )
+
+    def keep_first(all_: Column) -> Column:
+        return F.filter(
+            all_,
+            lambda m, i: ~F.exists(
+                F.slice(all_, F.lit(1), i), lambda o: (o["role"] == m["role"]) & (o["text"] == m["text"])
+            ),
+        )
+
+    return let(messages, keep_first)
 
 
 def latest_user_text(turns: DataFrame) -> DataFrame:

@@ -221,7 +221,16 @@ def rate_limit(calls: DataFrame, limit: int = RATE_LIMIT, window_ms: int = WINDO
         F.floor(F.col("ms") / period).cast("long").alias("bucket"),
         F.pmod("ms", F.lit(period)).cast("long").alias("off"),
     ).withColumn("span", F.floor(F.col("bucket") / BUCKETS_PER_SPAN).cast("long"))
-    slim = placed.select("key_id", "span", "bucket", "off")
+    # a bucket without neighbours holds exactly one window, opened by its first call
+    slots = placed.select("key_id", "bucket").distinct()
+    beside = slots.select("key_id", (F.col("bucket") + 1).alias("bucket")).unionByName(
+        slots.select("key_id", (F.col("bucket") - 1).alias("bucket"))
+    )
+    in_bucket = Window.partitionBy("key_id", "bucket")
+    alone = placed.join(beside, ["key_id", "bucket"], "left_anti").select(
+        "key_id", "ms", (F.col("bucket") * period + F.min("off").over(in_bucket)).alias("window_start")
+    )
+    slim = placed.join(beside, ["key_id", "bucket"], "left_semi").select("key_id", "span", "bucket", "off")
     functions = slim.groupBy("key_id", "span").applyInPandas(
         _span_function, "key_id string, span long, uppers array<long>, exits array<long>"
     )
@@ -233,7 +242,7 @@ def rate_limit(calls: DataFrame, limit: int = RATE_LIMIT, window_ms: int = WINDO
     )
     # calls before an instant inside its window; a window has at most window_ms + 1 instants
     w = Window.partitionBy("key_id", "window_start").orderBy("ms").rowsBetween(Window.unboundedPreceding, -1)
-    counted = starts.join(instants, ["key_id", "ms"]).withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    counted = starts.unionByName(alone).join(instants, ["key_id", "ms"]).withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
     within = Window.partitionBy("key_id", "ms").orderBy("call_id")
     return (
         calls.join(counted.select("key_id", "ms", "window_start", "before"), ["key_id", "ms"])
