@@ -69,8 +69,8 @@ def turn_relevance(spark, path):
     "focus_turns",
     f"""{SCORES}, f AS (SELECT *, relevance + CASE WHEN role = 'user' THEN 0.75 ELSE 0.0 END + pos / greatest(1, n) AS s FROM sc),
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN s >= 2.5 THEN s END DESC NULLS LAST, pos DESC) AS rk FROM f),
-k AS (SELECT *, bool_or(s >= 2.5) OVER (PARTITION BY conv_id) AS some FROM r WHERE rk <= 3)
-SELECT conv_id, pos, role, rk AS rank FROM k WHERE s >= 2.5 OR NOT some""",
+k AS (SELECT *, bool_or(s >= 2.5) OVER (PARTITION BY conv_id) AS any_ok FROM r WHERE rk <= 3)
+SELECT conv_id, pos, role, rk AS rank FROM k WHERE s >= 2.5 OR NOT any_ok""",
 )
 def focus_turns(spark, path):
     rows = placed(spark, path)
