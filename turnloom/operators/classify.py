@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnloom.functions.vocab import DEFAULT, SCORED_DOMAINS, Vocabulary
 from turnloom.operators.signals import (
@@ -434,9 +435,8 @@ def predict_labels(contexts: DataFrame, make_predict, batch_size: int = 64) -> D
     """Run a batch model over contexts; ``make_predict`` loads it once per worker and returns labels and scores."""
     from pyspark.ml.functions import predict_batch_udf
 
-    predict = predict_batch_udf(
-        make_predict, return_type="struct<label:string,score:double>", batch_size=batch_size
-    )
+    result = T.StructType([T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())])
+    predict = predict_batch_udf(make_predict, return_type=result, batch_size=batch_size)
     scored = contexts.withColumn("p", predict("context"))
     return scored.select("conv_id", "turn", F.col("p.label").alias("label"), F.col("p.score").alias("score"))
 
