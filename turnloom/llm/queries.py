@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnloom.llm import bpe, decontaminate, pii, quality, sharding, simhash, token_counts, toxicity
+from turnloom.llm import bpe, decontaminate, hmm, pii, quality, sharding, simhash, token_counts, toxicity
 from turnloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", counted["n_tokens"] > 2048)
 
 
+@query
+def op3_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_texts(documents(spark, sf_dir))
+
+
 @query
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(documents(spark, sf_dir))
