@@ -6,6 +6,7 @@ across: the text can be cut there, and the fragments encoded one by one give the
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,13 +26,33 @@ SLICE = 1 << 20  # characters that are split at a time
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+class Known(dict):
+    """What a worker remembers: at most KNOWN entries, and the KNOWN before them until they are asked for again."""
+
+    def __init__(self):
+        super().__init__()
+        self.before: dict = {}
+
+    def get(self, key):
+        found = super().get(key)
+        if found is None and (found := self.before.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self) >= KNOWN:
+            self.before = dict(self)
+            self.clear()
+        self[key] = value
+
+
 class Coder:
     """Encodes texts and decodes ids of a byte-level vocabulary."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         letters = byte_letters()
-        self.letters = [letters[b] for b in range(256)]
+        self.letters = str.maketrans({chr(b): c for b, c in letters.items()})
         back = {c: b for b, c in letters.items()}
         added = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -42,31 +63,33 @@ class Coder:
             if i not in added:
                 raw = np.frombuffer(self.bytes[i], np.uint8)
                 seen[raw[:-1], raw[1:]] = True
-        self.forced = ~seen  # byte pairs that mark a certain cut
+        self.forced = set(zip(*np.nonzero(~seen), strict=True))  # byte pairs that mark a certain cut
         self.special = {s: np.array([i], "<u4").tobytes() for i, s in added.items()}
         self.found = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
         self.split = regex.compile(SPLIT)
         self.place = regex.compile(r"(?<=\S)(?= \S)")
         self.back = str.maketrans({c: b for b, c in letters.items()})
-        self.pieces: dict[str, bytes] = {}
-        self.fragments: dict[bytes, bytes] = {}
+        self.pieces, self.fragments = Known(), Known()
+
+    def merged(self, raw: bytes) -> bytes:
+        tokens = self.tokenizer.model.tokenize(raw.decode("latin-1").translate(self.letters))
+        return array("I", [t.id for t in tokens]).tobytes()
 
     def fragment(self, raw: bytes) -> bytes:
         ids = self.fragments.get(raw)
         if ids is None:
-            tokens = self.tokenizer.model.tokenize("".join(map(self.letters.__getitem__, raw)))
-            ids = np.array([t.id for t in tokens], "<u4").tobytes()
+            ids = self.merged(raw)
             if len(raw) <= 64:
-                if len(self.fragments) >= KNOWN:
-                    self.fragments.clear()
-                self.fragments[raw] = ids
+                self.fragments.put(raw, ids)
         return ids
 
     def encoded(self, raw: bytes) -> bytes:
         """Ids of the bytes of a pre-token: cut at the forced boundaries, encode, join."""
-        values = np.frombuffer(raw, np.uint8)
-        cuts = [0, *(np.flatnonzero(self.forced[values[:-1], values[1:]]) + 1).tolist(), len(raw)]
-        return b"".join(self.fragment(raw[a:b]) for a, b in zip(cuts, cuts[1:], strict=False))
+        forced = self.forced
+        cuts = [i for i, pair in enumerate(zip(raw, raw[1:], strict=False), 1) if pair in forced]
+        if not cuts:
+            return self.merged(raw)
+        return b"".join(self.fragment(raw[a:b]) for a, b in zip([0, *cuts], [*cuts, len(raw)], strict=True))
 
     def slices(self, text: str) -> Iterator[str]:
         """Parts of a long text, cut before a space between two other characters, where the split always cuts."""
@@ -91,9 +114,7 @@ class Coder:
             if ids is None:
                 ids = self.encoded(piece.encode())
                 if len(piece) <= 32:
-                    if len(known) >= KNOWN:
-                        known.clear()
-                    known[piece] = ids
+                    known.put(piece, ids)
             yield ids
 
     def encode(self, text: str) -> bytes:

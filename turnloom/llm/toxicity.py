@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, votes weighted by similarity.
 
 The examples are a bounded sample of the labelled rows; all documents are scored against all of them. Features are words and
-the beginnings of words whose share differs between the labels by more than chance. Postings are grouped in blocks of
+the beginnings of words, and that they occur several times, if their share differs
+between the labels by more than chance. Postings are grouped in blocks of
 examples; a block's largest weight per feature bounds the cosine of all its examples, and blocks are visited by falling bound
 until none can change the k nearest.
 """
@@ -30,6 +31,7 @@ NEAREST = 15
 BLOCK = 64  # examples in a block of postings
 PRIOR = 0.25  # weight of the base rate beside the votes
 BEGINNINGS = (4, 5, 6)  # lengths of the beginnings of words that are features too
+TIERS = (2, 4)  # occurrences from which a word or beginning is one more feature
 WORD = re.compile(r"[^\W\d_]+")
 KNOWN = 200_000  # words whose features a worker remembers
 
@@ -38,6 +40,16 @@ def features_of(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in BEGINNINGS if len(word) > n)]
 
 
+def counted(text: str) -> Counter:
+    """Features of a text and their frequencies; a tier's frequency is 1."""
+    found: Counter = Counter()
+    for word, n in Counter(WORD.findall(text.lower())).items():
+        for f in features_of(word):
+            found[f] += n
+    found.update({f"{f}#{t}": 1 for f, n in found.items() for t in TIERS if n >= t})
+    return found
+
+
 @dataclass
 class Index:
     """Examples by feature. bounds[f, b]: the largest weight of feature f in block b."""
@@ -96,7 +108,7 @@ class Index:
 def learn(examples: pd.DataFrame, totals: tuple[int, int]) -> Index:
     """Index of the examples (doc_id, text, toxic); totals: labelled rows that they are a sample of, by label."""
     labels = examples["toxic"].to_numpy(np.int64)
-    counts = [Counter(f for w in WORD.findall(t.lower()) for f in features_of(w)) for t in examples["text"]]
+    counts = [counted(t) for t in examples["text"]]
     sizes = np.bincount(labels, minlength=2)
     df = (Counter(), Counter())
     for label, count in zip(labels, counts, strict=True):
@@ -151,19 +163,22 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
     """
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, ...]] = {}
+        names = {n.split("#")[0] for n in index.number}  # words and beginnings to count
+        known: dict[str, tuple[str, ...]] = {}
         for batch in batches:
             rows = []
             for text in text_strings(batch.column(1)):
-                found: Counter = Counter()
+                sums: Counter = Counter()
                 for word, n in Counter(WORD.findall(text.lower())).items():
                     own = known.get(word)
                     if own is None:
                         if len(known) >= KNOWN:
                             known.clear()
-                        own = known[word] = tuple(index.number[f] for f in features_of(word) if f in index.number)
+                        own = known[word] = tuple(f for f in features_of(word) if f in names)
                     for f in own:
-                        found[f] += n
+                        sums[f] += n
+                found = Counter({index.number[f]: n for f, n in sums.items() if f in index.number})
+                found.update({index.number[x]: 1 for f, n in sums.items() for t in TIERS if n >= t and (x := f"{f}#{t}") in index.number})
                 rows.append(index.score(found))
             yield pa.RecordBatch.from_arrays(
                 [
