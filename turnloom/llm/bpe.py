@@ -9,6 +9,7 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -20,32 +21,11 @@ from tokenizers import Tokenizer
 from turnloom.llm.common import text_strings
 from turnloom.llm.token_counts import UNUSUAL, byte_letters
 
-KNOWN = 200_000  # pre-tokens and fragments that a worker remembers
+KNOWN = 500_000  # pre-tokens that a worker remembers
 SLICE = 1 << 20  # characters that are split at a time
 #: The split of the byte-level vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-
-class Known(dict):
-    """What a worker remembers: at most KNOWN entries, and the KNOWN before them until they are asked for again."""
-
-    def __init__(self):
-        super().__init__()
-        self.before: dict = {}
-
-    def get(self, key):
-        found = super().get(key)
-        if found is None and (found := self.before.get(key)) is not None:
-            self.put(key, found)
-        return found
-
-    def put(self, key, value) -> None:
-        if len(self) >= KNOWN:
-            self.before = dict(self)
-            self.clear()
-        self[key] = value
-
-
 class Coder:
     """Encodes texts and decodes ids of a byte-level vocabulary."""
 
@@ -63,33 +43,30 @@ class Coder:
             if i not in added:
                 raw = np.frombuffer(self.bytes[i], np.uint8)
                 seen[raw[:-1], raw[1:]] = True
-        self.forced = set(zip(*np.nonzero(~seen), strict=True))  # byte pairs that mark a certain cut
+        self.forced = ~seen  # byte pairs that mark a certain cut
         self.special = {s: np.array([i], "<u4").tobytes() for i, s in added.items()}
         self.found = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
         self.split = regex.compile(SPLIT)
         self.place = regex.compile(r"(?<=\S)(?= \S)")
         self.back = str.maketrans({c: b for b, c in letters.items()})
-        self.pieces, self.fragments = Known(), Known()
-
-    def merged(self, raw: bytes) -> bytes:
-        tokens = self.tokenizer.model.tokenize(raw.decode("latin-1").translate(self.letters))
-        return array("I", [t.id for t in tokens]).tobytes()
-
-    def fragment(self, raw: bytes) -> bytes:
-        ids = self.fragments.get(raw)
-        if ids is None:
-            ids = self.merged(raw)
-            if len(raw) <= 64:
-                self.fragments.put(raw, ids)
-        return ids
-
-    def encoded(self, raw: bytes) -> bytes:
-        """Ids of the bytes of a pre-token: cut at the forced boundaries, encode, join."""
-        forced = self.forced
-        cuts = [i for i, pair in enumerate(zip(raw, raw[1:], strict=False), 1) if pair in forced]
-        if not cuts:
-            return self.merged(raw)
-        return b"".join(self.fragment(raw[a:b]) for a, b in zip([0, *cuts], [*cuts, len(raw)], strict=True))
+        self.known: dict[str, bytes] = {}  # ids of pre-tokens
+
+    def cuts(self, raw: bytes) -> np.ndarray:
+        """The places of the forced boundaries."""
+        values = np.frombuffer(raw, np.uint8)
+        return np.flatnonzero(self.forced[values[:-1], values[1:]]) + 1
+
+    def encoded(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pre-tokens: each is cut at its forced boundaries, its fragments are encoded one by one and joined."""
+        raw = b"".join(pieces)
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        places = np.union1d(self.cuts(raw), np.append(0, ends))
+        letters = raw.decode("latin-1").translate(self.letters)
+        fragments = [letters[a:b] for a, b in pairwise(places.tolist())]
+        model = self.tokenizer.model
+        of = {f: array("I", [t.id for t in model.tokenize(f)]).tobytes() for f in set(fragments)}
+        ids = [of[f] for f in fragments]
+        return [b"".join(ids[a:b]) for a, b in pairwise([0, *np.searchsorted(places, ends).tolist()])]
 
     def slices(self, text: str) -> Iterator[str]:
         """Parts of a long text, cut before a space between two other characters, where the split always cuts."""
@@ -102,20 +79,28 @@ class Coder:
             at = cut.start()
         yield text[at:]
 
-    def plain(self, text: str) -> Iterator[bytes]:
+    def of_pieces(self, pieces: list[str]) -> bytes:
+        """Ids of pre-tokens, those not known encoded together."""
+        known = self.known
+        if new := list(set(pieces).difference(known)):
+            known.update(zip(new, self.encoded([p.encode() for p in new]), strict=True))
+        ids = b"".join(map(known.__getitem__, pieces))
+        for piece in new:
+            if len(piece) > 32:
+                del known[piece]
+        if len(known) > KNOWN:
+            for piece in list(islice(known, KNOWN // 2)):
+                del known[piece]
+        return ids
+
+    def plain(self, text: str) -> bytes:
         """Ids of a text without special strings."""
+        if not text:
+            return b""
         if UNUSUAL.search(text) is not None:
-            for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text):
-                yield self.encoded(bytes(map(ord, part.translate(self.back))))
-            return
-        known = self.pieces
-        for piece in self.split.findall(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.encoded(piece.encode())
-                if len(piece) <= 32:
-                    known.put(piece, ids)
-            yield ids
+            found = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
+            return b"".join(self.encoded([bytes(map(ord, p.translate(self.back))) for p, _ in found]))
+        return self.of_pieces(self.split.findall(text))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
@@ -124,7 +109,7 @@ class Coder:
             if part in self.special:
                 out.append(self.special[part])
             else:
-                out.extend(b"".join(self.plain(s)) for s in self.slices(part))
+                out.extend(map(self.plain, self.slices(part)))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
