@@ -33,7 +33,7 @@ def test_user_memory_matches_a_sequential_fold(spark):
     for seq in range(300):
         user = rng.choice(["hot", "hot", "hot", "b"])
         if user not in last or rng.random() < 0.4:
-            last[user] = {c: rng.sample([f"{c}{i}" for i in range(size + 4)], rng.randrange(4)) for c, size in LIST_SIZES.items()}
+            last[user] = {c: rng.sample([f"{c}{i}" for i in range(size + 4)], rng.choice([0, 1, 3, size, size + 1, size + 3])) for c, size in LIST_SIZES.items()}
         rows.append((user, seq, *[last[user][c] for c in LIST_SIZES]))
     want = {}
     for user, seq, *lists in rows:

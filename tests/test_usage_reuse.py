@@ -95,15 +95,26 @@ SCHEMA = "query_id long, scope string, at long, embedding array<double>, reply_c
 
 def test_similar_reply_matches_brute_force(spark):
     rows = vectors(3, 120)
-    got = {r.query_id: (r.hit, r.match_id) for r in similar_reply(spark.createDataFrame(rows, SCHEMA), 0.92, 30_000, 7).collect()}
+    got = {r.query_id: (r.hit, r.match_id) for r in similar_reply(spark.createDataFrame(rows, SCHEMA), 0.92, 30_000).collect()}
     for q in rows:
-        earlier = [e for e in rows if e[1] == q[1] and e[0] < q[0]][-7:]
-        earlier = [e for e in earlier if q[2] - e[2] <= 30_000]
+        earlier = [e for e in rows if e[1] == q[1] and e[0] < q[0] and q[2] - e[2] <= 30_000]
         best = max(earlier, key=lambda e: (np.dot(e[3], q[3]), -e[0]), default=None)
         hit = best is not None and np.dot(best[3], q[3]) >= 0.92
         assert got[q[0]] == (hit, best[0] if hit else None)
 
 
+def test_similar_reply_sees_all_of_a_busy_span(spark):
+    rng = np.random.default_rng(4)
+    rows = [(0, "s", 10, [1.0] + [0.0] * 7, 50, True)]
+    for i in range(1, 2400):
+        v = rng.normal(size=8)
+        v[0] = 0
+        rows.append((i, "s", 10 + i % 5, (v / np.linalg.norm(v)).tolist(), 50, True))
+    rows.append((9000, "s", 20, [1.0] + [0.0] * 7, 50, True))
+    got = {r.query_id: r.match_id for r in similar_reply(spark.createDataFrame(rows, SCHEMA), 0.999).collect()}
+    assert len(got) == len(rows) and got[9000] == 0
+
+
 def test_similar_reply_limits(spark):
     def unit(c):
         return [c, float(np.sqrt(1 - c * c))]

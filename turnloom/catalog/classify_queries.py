@@ -19,7 +19,7 @@ from turnloom.functions.vocab import (
     STATE_POLICY,
 )
 from turnloom.operators import classify as op
-from turnloom.operators.route import canned_reply, demo_prompt, route_policy
+from turnloom.operators.route import PROMPT_END, PROMPT_HEAD, REPLIES, canned_reply, demo_prompt, route_policy
 
 
 def _contains(words, column="low") -> str:
@@ -367,10 +367,10 @@ _ROUTE = f"""{_PLUGGED}, r AS (SELECT conv_id, turn, intent, state, domain, risk
   list_concat([{_case([(f"domain = {lit(p['id'])}", lit(p['constraints'])) for p in PLUGINS], _policy('domain', DOMAIN_POLICY, lit(OTHER_DOMAIN_POLICY)))}],
     list_filter([{", ".join(f"CASE WHEN list_contains(risk, {lit(k)}) THEN {lit(t)} END" for k, t in RISK_POLICY)}], lambda x: x IS NOT NULL)) AS constraints
   FROM frames)
-SELECT conv_id, turn, {lit(f'You are responding through {LABEL}, a universal interaction-routing layer.')} || chr(10) ||
+SELECT conv_id, turn, {lit(PROMPT_HEAD.replace('{label}', LABEL))} || chr(10) ||
   'Intent: ' || intent || '. State: ' || state || '. Domain: ' || domain || '.' || chr(10) ||
   'Behavior: ' || array_to_string(behavior, ' ') || chr(10) || 'Constraints: ' || array_to_string(constraints, ' ') || chr(10) ||
-  'Use the routed behavior over generic assistant habits.' AS system_prompt FROM r"""
+  {lit(PROMPT_END)} AS system_prompt FROM r"""
 
 
 @query("route_policy", _ROUTE)
@@ -422,18 +422,14 @@ _REPLY = _case(
 )
 
 
-@query("canned_reply", f"{FRAMES} SELECT conv_id, turn, {_REPLY} AS kind FROM frames")
+_REPLY_TEXT = "CASE kind " + " ".join(f"WHEN {lit(k)} THEN {lit(v.replace('{label}', LABEL))}" for k, v in REPLIES.items()) + " END"
+
+
+@query(
+    "canned_reply",
+    f"""{FRAMES}, k AS (SELECT conv_id, turn, intent, domain, {_REPLY} AS kind FROM frames)
+SELECT conv_id, turn, replace(replace(replace({_REPLY_TEXT}, '{{kept}}', '1'), '{{domain}}', domain), '{{intent}}', intent) AS reply FROM k""",
+)
 def canned_replies(spark, path):
     reply = canned_reply(F.col("intent"), F.col("domain"), F.col("risk"), F.lit(1))
-    kind = (
-        F.when(reply.contains("unsafe instructions"), "unsafe")
-        .when(reply.contains("technical debugger"), "debug")
-        .when(reply.contains("support flow"), "support")
-        .when(reply.contains("consultative sales"), "sales")
-        .when(reply.contains("caution:"), "caution")
-        .when(reply.contains("consistent criteria"), "compare")
-        .when(reply.contains("tight summary"), "summary")
-        .when(reply.contains("requested artifact directly"), "artifact")
-        .otherwise("routed")
-    )
-    return frames(spark, path).select("conv_id", "turn", kind.alias("kind"))
+    return frames(spark, path).select("conv_id", "turn", reply.alias("reply"))

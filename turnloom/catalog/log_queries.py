@@ -49,7 +49,8 @@ def log_compaction(spark, path):
 
 @query("digest_logs")
 def digest_logs(spark, path):
-    out = logs.digest_logs(documents(spark, path))
+    summary = F.concat(F.lit("Log of source "), "source")
+    out = logs.digest_logs(documents(spark, path).withColumn("summary", F.when(F.col("doc_id") % 3 > 0, summary)), "summary")
     return out.select("doc_id", F.md5("digest").alias("digest_md5"), "original_tokens", "compressed_tokens", "saved_tokens", "savings_pct")
 
 
@@ -129,10 +130,10 @@ def expected_labels(spark, path):
 
 @query(
     "eval_scorecard",
-    """WITH j AS (SELECT d.doc_id, d.text, l.quality, l.toxic, CAST(ceil(length(d.text) / 4.0) AS BIGINT) AS o, CAST(ceil(least(length(d.text), 400) / 4.0) AS BIGINT) AS c
-  FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
-p AS (SELECT *, (quality = 1) = (o >= 100) AS pi, (toxic = 1) = (doc_id % 5 = 0) AS pd, contains(lower(left(text, 400)), 'the') AND contains(lower(left(text, 400)), 'an') AS pk,
-  NOT regexp_matches(left(text, 400), '(?i)\\bof\\b') AS ps, (o - c) / o * 100 >= 50 AS pv FROM j)
+    """WITH j AS (SELECT d.doc_id, d.text, replace(d.text, ' of ', ' ') AS short, l.quality, l.toxic FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+n AS (SELECT *, CAST(ceil(length(text) / 4.0) AS BIGINT) AS o, CAST(ceil(length(short) / 4.0) AS BIGINT) AS c FROM j),
+p AS (SELECT *, (quality = 1) = (o >= 100) AS pi, (toxic = 1) = (doc_id % 5 = 0) AS pd, contains(lower(short), 'the') AND contains(lower(short), 'an') AS pk,
+  NOT regexp_matches(short, '(?i)\\bof\\b') AS ps, (o - c) / o * 100 >= 1 AS pv FROM n)
 SELECT count(*) AS total, avg(CAST(pi AND pd AND pk AND ps AND pv AS INTEGER)) AS all_rate, avg(CAST(pi AS INTEGER)) AS intent_rate, avg(CAST(pd AS INTEGER)) AS domain_rate,
   avg(CAST(pk AS INTEGER)) AS must_keep_rate, avg(CAST(ps AS INTEGER)) AS should_drop_rate, avg(CAST(pv AS INTEGER)) AS savings_rate,
   CAST(sum(o) AS BIGINT) AS total_original_tokens, CAST(sum(c) AS BIGINT) AS total_compressed_tokens, CAST(sum(o - c) AS BIGINT) AS total_tokens_saved,
@@ -140,7 +141,8 @@ SELECT count(*) AS total, avg(CAST(pi AND pd AND pk AND ps AND pv AS INTEGER)) A
 )
 def eval_scorecard(spark, path):
     joined = documents(spark, path).join(read_table(spark, path, "labels"), "doc_id")
-    o, c = F.ceil(F.length("text") / 4), F.ceil(F.least(F.length("text"), F.lit(400)) / 4)
+    joined = joined.withColumn("short", F.replace("text", F.lit(" of "), F.lit(" ")))
+    o, c = F.ceil(F.length("text") / 4), F.ceil(F.length("short") / 4)
     none = F.array().cast("array<string>")
     rows = joined.select(
         F.when(F.col("quality") == 1, "good").otherwise("bad").alias("x_intent"),
@@ -153,8 +155,8 @@ def eval_scorecard(spark, path):
         none.alias("risk"),
         F.array(F.lit("the"), F.lit("an")).alias("must_keep"),
         F.array(F.lit("of")).alias("should_drop"),
-        F.lit(50.0).alias("min_savings_pct"),
-        F.substring("text", 1, 400).alias("compressed_text"),
+        F.lit(1.0).alias("min_savings_pct"),
+        F.col("short").alias("compressed_text"),
         o.alias("original_tokens"),
         c.alias("compressed_tokens"),
         (o - c).alias("tokens_saved"),

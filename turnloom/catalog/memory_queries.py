@@ -169,16 +169,15 @@ def recall_top_pages(spark, path):
     return op.recall(recall_queries(spark, path), s, op.merge_pages(s))
 
 
+OWNERS = 20  # owners of the supplied sources: src0 to src19
+
+
 def owned_queries(spark, path):
-    owners = sources(spark, path).groupBy("owner").agg(F.min("seq").alias("first"))
     q = read_table(spark, path, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    nth = F.row_number().over(Window.orderBy("first")) - 1
-    n = owners.withColumn("k", nth)
-    return q.join(F.broadcast(n), q["query_id"] % 3 == n["k"]).select("query_id", "owner", "text")
+    return q.withColumn("owner", F.concat(F.lit("src"), (F.col("query_id") % OWNERS).cast("string"))).select("query_id", "owner", "text")
 
 
-_RANK = f"""{_PAGES}, ow AS (SELECT owner, row_number() OVER (ORDER BY min(seq)) - 1 AS k FROM s0 GROUP BY owner),
-q AS (SELECT item_id AS query_id, ow.owner, lower(text) AS low FROM benchmark JOIN ow ON ow.k = item_id % 3),
+_RANK = f"""{_PAGES}, q AS (SELECT item_id AS query_id, 'src' || (item_id % {OWNERS}) AS owner, lower(text) AS low FROM benchmark),
 bt AS (SELECT owner, path, token, count(*) AS n FROM (SELECT owner, path, unnest(regexp_extract_all(lower(markdown), '\\b[a-z][a-z0-9-]{{3,}}\\b')) AS token FROM sec) GROUP BY ALL),
 bh AS (SELECT q.query_id, bt.path, least(5, sum(bt.n)) AS n FROM q JOIN bt ON bt.owner = q.owner AND contains(q.low, bt.token) GROUP BY ALL),
 sc AS (SELECT q.query_id, p.owner, p.path, p.updated_at, p.first, coalesce(bh.n, 0)
@@ -223,8 +222,7 @@ def new_sources(spark, path):
 
 @query(
     "related_pages",
-    f"""{_PAGES}, ow AS (SELECT owner, row_number() OVER (ORDER BY min(seq)) - 1 AS k FROM s0 GROUP BY owner),
-q AS (SELECT 'new-' || item_id AS source_id, ow.owner, text || ' fresh' AS text FROM benchmark JOIN ow ON ow.k = item_id % 3),
+    f"""{_PAGES}, q AS (SELECT 'new-' || item_id AS source_id, 'src' || (item_id % {OWNERS}) AS owner, text || ' fresh' AS text FROM benchmark),
 tk AS (SELECT source_id, owner, token, count(*) AS n FROM (SELECT source_id, owner, unnest(regexp_extract_all(lower(text), '\\b[a-z][a-z0-9-]{{3,}}\\b')) AS token FROM q) GROUP BY ALL),
 body AS (SELECT owner, path, lower(string_agg(markdown, chr(10))) AS b FROM sec GROUP BY ALL),
 sc AS (SELECT q.source_id, p.owner, p.path, p.first, coalesce(sum(tk.n), 0) AS score FROM q JOIN pages2 p ON p.owner = q.owner
@@ -275,6 +273,45 @@ def user_memory(spark, path):
     return folded.select("user_id", "version", profiles.memory_context().alias("context"))
 
 
+_LISTS = {"profile": (10, 13, 4), "patterns": (12, 5, 3), "active_context": (8, 11, 9), "mistakes": (8, 3, 2), "behavioral_signals": (12, 29, 14)}
+
+
+def _pushed(name):
+    _, cycle, n = _LISTS[name]
+    return f"list_transform(range({n}), lambda i: '{name}' || ((doc_id // 40) * {n} + i * 7) % {cycle})"
+
+
+def _folded(name):
+    added = f"list_concat(f.{name}, list_filter(list_distinct_in_order(n.{name}), lambda x: NOT list_contains(f.{name}, x)))"
+    return f"list_slice({added}, greatest(1, len({added}) - {_LISTS[name][0] - 1}), len({added})) AS {name}"
+
+
+_DISTINCT = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+_FOLD_SQL = f"""WITH RECURSIVE n AS (SELECT source AS user_id, doc_id AS seq, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k,
+  {", ".join(f"{_pushed(c)} AS {c}" for c in _LISTS)} FROM documents),
+f AS (SELECT user_id, k, seq, {", ".join(f"CAST([] AS VARCHAR[]) AS {c}" for c in _LISTS)} FROM n WHERE false
+  UNION ALL SELECT user_id, 0, 0, {", ".join("[]" for _ in _LISTS)} FROM (SELECT DISTINCT source AS user_id FROM documents)
+  UNION ALL SELECT n.user_id, n.k, n.seq, {", ".join(_folded(c) for c in _LISTS)} FROM f JOIN n ON n.user_id = f.user_id AND n.k = f.k + 1)
+SELECT user_id, k AS version, seq AS last_seq, {", ".join(f"array_to_string({c}, '|') AS {c}" for c in _LISTS)}
+FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1"""
+for _name in _LISTS:
+    _FOLD_SQL = _FOLD_SQL.replace(f"list_distinct_in_order(n.{_name})", _DISTINCT.format(f"n.{_name}"))
+
+
+@query("user_lists", _FOLD_SQL)
+def user_lists(spark, path):
+    """The fold of five lists over the documents of a source, some with more new items than a list holds."""
+    step = F.floor(F.col("doc_id") / 40)
+
+    def pushed(name):
+        _, cycle, n = _LISTS[name]
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.concat(F.lit(name), ((step * n + i * 7) % cycle).cast("string")))
+
+    items = read_table(spark, path, "documents").select(F.col("source").alias("user_id"), F.col("doc_id").alias("seq"), *[pushed(c).alias(c) for c in _LISTS])
+    folded = profiles.fold_user_memory(items)
+    return folded.select("user_id", F.col("version").cast("long").alias("version"), "last_seq", *[F.array_join(c, "|").alias(c) for c in _LISTS])
+
+
 @query("memory_sources")
 def memory_sources(spark, path):
     return frame_sources(memory_frames(conversations(spark, path), vocab=TEST)).drop("added_at")

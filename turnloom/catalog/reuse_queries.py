@@ -15,8 +15,8 @@ _MATCH = f"""
 WITH v AS (SELECT vec_id AS id, 'general::' || label AS scope, vec_id * 60000 AS at, CAST(embedding AS DOUBLE[]) AS e,
   40 + vec_id % 200 AS chars, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos FROM embeddings),
 p AS (SELECT q.id, c.id AS cid, c.chars, list_dot_product(q.e, c.e) AS sim FROM v q JOIN v c
-  ON c.scope = q.scope AND c.pos < q.pos AND q.pos - c.pos <= 500 AND q.at - c.at <= {TTL}),
-b AS (SELECT id, arg_max(cid, sim) AS cid, arg_max(chars, sim) AS chars, max(sim) AS sim FROM p GROUP BY id),
+  ON c.scope = q.scope AND c.pos < q.pos AND q.at - c.at <= {TTL}),
+b AS (SELECT id, cid, chars, round(sim, 12) AS sim FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(sim, 12) DESC, cid) = 1),
 r AS (SELECT v.id AS query_id, coalesce(b.sim >= {THRESHOLD}, false) AS hit, b.cid, b.sim, b.chars FROM v LEFT JOIN b ON b.id = v.id)
 """
 
@@ -37,10 +37,11 @@ def similar_reply(spark, path):
 @query(
     "cache_stats",
     f"""{_MATCH} SELECT count(*) FILTER (WHERE hit) AS total_hits, count(*) FILTER (WHERE NOT hit) AS total_misses,
-count(*) FILTER (WHERE hit) / count(*) AS hit_rate, CAST(coalesce(sum(round(chars / 4)) FILTER (WHERE hit), 0) AS BIGINT) AS tokens_saved FROM r""",
+count(*) FILTER (WHERE hit) / count(*) AS hit_rate, CAST(coalesce(sum(round(chars / 4)) FILTER (WHERE hit), 0) AS BIGINT) AS tokens_saved,
+(SELECT count(*) FROM v WHERE 30000000 - v."at" <= 20000000) AS total_entries FROM r""",
 )
 def cache_stats(spark, path):
-    return op.cache_stats(lookups(spark, path))
+    return op.cache_stats(lookups(spark, path), op.lru_keep(entries(spark, path), F.lit(30_000_000), 20_000_000, None))
 
 
 def entries(spark, path):

@@ -73,7 +73,7 @@ def quota_utilisation(spark, path):
 @query(
     "recent_usage",
     f"""WITH u AS ({USAGE_SQL}) SELECT key_id, id, endpoint, called_at FROM
-(SELECT *, row_number() OVER (PARTITION BY key_id ORDER BY called_at DESC) AS rn FROM u) WHERE rn <= 10""",
+(SELECT *, row_number() OVER (PARTITION BY key_id ORDER BY called_at DESC, id DESC) AS rn FROM u) WHERE rn <= 10""",
 )
 def recent_usage(spark, path):
     return op.recent_usage(usage(spark, path), 10).select("key_id", "id", "endpoint", "called_at")

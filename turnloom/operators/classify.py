@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnloom.functions.vocab import DEFAULT, SCORED_DOMAINS, Vocabulary
+from turnloom.functions.vocab import DEFAULT, HIGH_REUSE_DOMAINS, NO_REUSE_DOMAINS, PROTECTED_DOMAINS, SCORED_DOMAINS, Vocabulary
 from turnloom.operators.signals import (
     LOOKBACK_RISK,
     LOOKBACK_TOPIC,
@@ -18,18 +18,14 @@ from turnloom.operators.turns import valid_turns
 from turnloom.plans.segments import SEGMENT, segment_of
 
 LOOKBACKS = (LOOKBACK_RISK, LOOKBACK_URGENCY, LOOKBACK_TOPIC)
-MAX_PLUGINS = 1000
 
 
 def plugin_list(plugins) -> tuple:
-    """Plugins as a tuple of dicts in order; a DataFrame is read only up to a checked bound."""
+    """Plugins as a tuple of dicts in order. They belong to a request and become rules of the plan, so all of them are read."""
     if plugins is None:
         return ()
     if isinstance(plugins, DataFrame):
-        rows = plugins.orderBy("ord").limit(MAX_PLUGINS + 1).collect()
-        if len(rows) > MAX_PLUGINS:
-            raise ValueError(f"more than {MAX_PLUGINS} plugins; the plugin list is a small dimension")
-        return tuple(r.asDict() for r in rows)
+        return tuple(r.asDict() for r in plugins.orderBy("ord").collect())
     return tuple(plugins)
 
 
@@ -390,7 +386,7 @@ def lifted_columns(turns: DataFrame, vocab: Vocabulary = DEFAULT, size: int = SE
 
 def protected_gate(frames: DataFrame) -> DataFrame:
     """Mark protected conversations: medical, legal or crisis turns are neither compressed nor monetised."""
-    protected = F.col("domain").isin("medical", "legal") | F.array_contains("risk", "crisis")
+    protected = F.col("domain").isin(*PROTECTED_DOMAINS) | F.array_contains("risk", "crisis")
     return frames.withColumns(
         {
             "protected": protected,
@@ -402,11 +398,11 @@ def protected_gate(frames: DataFrame) -> DataFrame:
 
 
 def cacheable(domain: Column) -> Column:
-    return domain != "legal"
+    return ~domain.isin(*NO_REUSE_DOMAINS)
 
 
 def high_reuse(domain: Column) -> Column:
-    return domain.isin("customer_support", "commerce", "education", "medical", "coding")
+    return domain.isin(*HIGH_REUSE_DOMAINS)
 
 
 def model_context(turns: DataFrame, limit: int = 512, size: int = SEGMENT) -> DataFrame:

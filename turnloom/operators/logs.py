@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnloom.functions.regex import java
 from turnloom.functions.text import est_tokens_log, savings_pct, saved_tokens, shorten_long_lines, strip_images
 from turnloom.functions.vocab import LABEL
 
@@ -111,7 +112,7 @@ def stack_runs(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Runs of stack-trace lines per document."""
     lines = docs.select(id_col, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     stack = (
-        F.col("line").rlike(r"\A\s*at ")
+        F.col("line").rlike(java(r"\A\s*at "))
         | F.col("line").contains("Traceback ")
         | F.col("line").contains("node_modules")
         | F.col("line").contains('File "')

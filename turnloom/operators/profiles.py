@@ -69,15 +69,13 @@ def session_items(turns: DataFrame, frames: DataFrame) -> DataFrame:
     )
 
 
-# A session adds at most this many items to one list.
-MOST_ITEMS = 5
-
-
 def _without_repeats(items: DataFrame, size: int) -> DataFrame:
-    """Shorten runs of equal sessions inside a segment.
+    """Shorten runs of equal sessions inside a segment, where that changes nothing.
 
-    In a run every item is pushed at most once (a pushed item stays at the end of its list for the rest
-    of the run), so after as many sessions as a session has items nothing changes any more. The dropped
+    Take a session that adds m distinct items to a list of size L, m <= L. While it repeats, an item that was pushed stays:
+    only other items of the session are pushed behind it, fewer than L. So each repetition either pushes an item for the
+    first time in the run or changes nothing, and after m repetitions the list stands still. A run is therefore cut to
+    max(m) + 1 sessions; a run with m > L for some list, where items push each other out for ever, is kept whole. The dropped
     sessions stay counted, so versions are right.
     """
     w = Window.partitionBy("user_id", "seg").orderBy("seq")
@@ -85,17 +83,22 @@ def _without_repeats(items: DataFrame, size: int) -> DataFrame:
     fresh = F.coalesce(F.lag("_all").over(w) != F.col("_all"), F.lit(True)).cast("long")
     rows = rows.withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(w))
     run = Window.partitionBy("user_id", "seg", "_run")
+    sizes = {c: F.size(F.array_distinct(c)) for c in LIST_SIZES}
+    settles = F.lit(True)
+    for c, most in LIST_SIZES.items():
+        settles = settles & (sizes[c] <= most)
     rows = rows.withColumns(
         {
             "_p": F.row_number().over(run.orderBy("seq")),
             "_len": F.count(F.lit(1)).over(run),
             "_end": F.max("seq").over(run),
         }
-    ).filter(F.col("_p") <= MOST_ITEMS)
-    last = F.col("_p") == MOST_ITEMS
+    )
+    rows = rows.withColumn("_most", F.when(settles, F.greatest(*sizes.values()) + 1).otherwise(F.col("_len"))).filter(F.col("_p") <= F.col("_most"))
+    last = F.col("_p") == F.col("_most")
     return rows.withColumns(
         {
-            "n": F.when(last, F.col("_len") - MOST_ITEMS + 1).otherwise(F.lit(1)),
+            "n": F.when(last, F.col("_len") - F.col("_most") + 1).otherwise(F.lit(1)),
             "last_seq": F.when(last, F.col("_end")).otherwise(F.col("seq")),
         }
     )

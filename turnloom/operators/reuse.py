@@ -21,72 +21,96 @@ def scope_id(domain: Column, session: Column) -> Column:
     return F.concat(domain, F.lit("::"), session)
 
 
-def similar_reply(
-    queries: DataFrame, threshold: float = THRESHOLD, ttl_ms: int = TTL_MS, capacity: int = CAPACITY
-) -> DataFrame:
+BLOCK_ROWS = 1000  # rows of a block of a scope
+
+
+def _blocks(rows: DataFrame, ttl_ms: int) -> DataFrame:
+    """Rows numbered in their scope and cut into blocks: at most BLOCK_ROWS rows of one span of ttl_ms."""
+    rows = rows.withColumn("span", F.floor(F.col("at") / ttl_ms).cast("long"))
+    placed = numbered(rows, ["scope"], ["at", "query_id"], "span").drop("n_rows")
+    return placed.withColumn("part", F.floor(F.col("pos") / BLOCK_ROWS).cast("long"))
+
+
+def _block_pairs(placed: DataFrame) -> DataFrame:
+    """For each block the blocks that may hold its usable entries: of its own span up to itself, and of the span before."""
+    blocks = placed.select("scope", "span", "part").distinct()
+    entries = blocks.select("scope", F.col("span").alias("e_span"), F.col("part").alias("e_part"), F.explode(F.array("span", F.col("span") + 1)).alias("span"))
+    return blocks.join(entries, ["scope", "span"]).filter(F.col("e_part") <= F.col("part"))
+
+
+def similar_reply(queries: DataFrame, threshold: float = THRESHOLD, ttl_ms: int = TTL_MS) -> DataFrame:
     """Best earlier entry of the same scope for every query(query_id, scope, at, embedding, reply_chars).
 
-    ``at`` is a time in milliseconds. An entry is usable while it is at most ``ttl_ms`` old and among
-    the ``capacity`` latest of its scope, the size of the cache. So a query looks back over a band of
-    positions: blocks of ``capacity`` rows are compared with themselves and the block before, each pair
-    of blocks in one bounded matrix product. No hits feed back here; see reply_reuse for the live cache.
+    ``at`` is a time in milliseconds. Every earlier entry at most ``ttl_ms`` old is compared, the earliest
+    of the best wins. An entry that young lies in the query's span of ``ttl_ms`` or the one before; a busy
+    span is cut into blocks, and each pair of blocks is one bounded matrix product. No hits feed back
+    here; see reply_reuse for the live cache.
     """
-    rows = queries.select("query_id", "scope", "at", "embedding", "reply_chars")
-    rows = rows.withColumn("seg", F.floor(F.col("at") / ttl_ms).cast("long"))
-    placed = numbered(rows, ["scope"], ["at", "query_id"], "seg").drop("seg", "n_rows")
-    placed = placed.withColumn("block", F.floor(F.col("pos") / capacity).cast("long"))
-    roles = F.array(
-        F.struct(F.col("block").alias("b"), F.lit(True).alias("asks")),
-        F.struct((F.col("block") + 1).alias("b"), F.lit(False).alias("asks")),
-    )
-    spread = placed.withColumn("r", F.explode(roles)).select(
-        "scope", F.col("r.b").alias("block"), F.col("r.asks").alias("asks"), "pos", "query_id", "at", "embedding", "reply_chars"
-    )
-
-    def best_in_band(pdf: pd.DataFrame) -> pd.DataFrame:
+    placed = _blocks(queries.select("query_id", "scope", "at", "embedding", "reply_chars"), ttl_ms)
+    pairs = _block_pairs(placed)
+    pair = ["scope", "span", "part", "e_span", "e_part"]
+    row = ["pos", "query_id", "at", "embedding", "reply_chars"]
+    asking = placed.join(pairs, ["scope", "span", "part"]).select(*pair, F.lit(True).alias("asks"), *row)
+    held = placed.withColumnsRenamed({"span": "e_span", "part": "e_part"}).join(pairs, ["scope", "e_span", "e_part"])
+    held = held.select(*pair, F.lit(False).alias("asks"), *row)
+
+    def best_of_pair(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        asks = pdf[pdf["asks"]]
-        if asks.empty:
-            return pd.DataFrame({"query_id": [], "hit": [], "match_id": [], "similarity": [], "saved_tokens": []})
-        entries = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-        sims = np.stack(asks["embedding"].to_numpy()).astype(np.float64) @ entries.T
-        back = asks["pos"].to_numpy()[:, None] - pdf["pos"].to_numpy()[None, :]
-        age = asks["at"].to_numpy()[:, None] - pdf["at"].to_numpy()[None, :]
-        sims = np.where((back > 0) & (back <= capacity) & (age <= ttl_ms), sims, -2.0)
+        asks, entries = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        matrix = np.stack(entries["embedding"].to_numpy()).astype(np.float64)
+        sims = np.round(np.stack(asks["embedding"].to_numpy()).astype(np.float64) @ matrix.T, 12)
+        back = asks["pos"].to_numpy()[:, None] - entries["pos"].to_numpy()[None, :]
+        age = asks["at"].to_numpy()[:, None] - entries["at"].to_numpy()[None, :]
+        sims = np.where((back > 0) & (age <= ttl_ms), sims, -2.0)
         best = sims.argmax(axis=1)  # the earliest of equals
-        top = sims[np.arange(len(asks)), best]
-        hit = top >= threshold
-        ids, chars = pdf["query_id"].to_numpy()[best], pdf["reply_chars"].to_numpy()[best]
         return pd.DataFrame(
             {
                 "query_id": asks["query_id"].to_numpy(),
-                "hit": hit,
-                "match_id": pd.Series(ids).where(pd.Series(hit)).astype("Int64"),
-                "similarity": np.where(hit, np.floor(top * 1000 + 0.5) / 1000, np.nan),
-                "saved_tokens": pd.Series(np.floor(chars / 4 + 0.5)).where(pd.Series(hit)).astype("Int64"),
+                "sim": sims[np.arange(len(asks)), best],
+                "pos": entries["pos"].to_numpy()[best],
+                "match_id": entries["query_id"].to_numpy()[best],
+                "chars": entries["reply_chars"].to_numpy()[best],
             }
         )
 
-    schema = "query_id long, hit boolean, match_id long, similarity double, saved_tokens long"
-    found = spread.groupBy("scope", "block").applyInPandas(best_in_band, schema)
-    return found.withColumn("similarity", F.when(F.col("hit"), F.col("similarity")))
+    found = asking.unionByName(held).groupBy(*pair).applyInPandas(best_of_pair, "query_id long, sim double, pos long, match_id long, chars long")
+    best = F.max(F.struct("sim", (-F.col("pos")).alias("back"), "match_id", "chars")).alias("b")
+    rows = found.groupBy("query_id").agg(best).withColumn("hit", F.col("b.sim") >= threshold)
+    return rows.select(
+        "query_id",
+        "hit",
+        F.when(F.col("hit"), F.col("b.match_id")).alias("match_id"),
+        F.when(F.col("hit"), F.floor(F.col("b.sim") * 1000 + 0.5) / 1000).alias("similarity"),
+        F.when(F.col("hit"), F.floor(F.col("b.chars") / 4 + 0.5)).cast("long").alias("saved_tokens"),
+    )
 
 
-def cache_stats(results: DataFrame) -> DataFrame:
-    """Hits, misses, hit rate and tokens saved over lookup results."""
+def cache_stats(results: DataFrame, live: DataFrame | None = None) -> DataFrame:
+    """Hits, misses, hit rate and tokens saved over lookup results; with ``live`` entries (see lru_keep) their number too."""
     hits = F.count_if("hit")
-    return results.agg(
+    if live is not None:
+        results = results.select("hit", "saved_tokens", F.lit(0).alias("entry"))
+        live = live.select(F.lit(None).cast("boolean").alias("hit"), F.lit(None).cast("long").alias("saved_tokens"), F.lit(1).alias("entry"))
+        both = results.unionByName(live).agg(F.sum("entry").alias("total_entries"), *_stats(hits, F.count("hit")))
+        return both.withColumn("total_entries", F.coalesce("total_entries", F.lit(0)))
+    return results.agg(*_stats(hits, F.count("hit")))
+
+
+def _stats(hits: Column, lookups: Column) -> list[Column]:
+    return [
         hits.alias("total_hits"),
         F.count_if(~F.col("hit")).alias("total_misses"),
-        F.when(F.count(F.lit(1)) > 0, hits / F.count(F.lit(1))).otherwise(F.lit(0.0)).alias("hit_rate"),
+        F.when(lookups > 0, hits / lookups).otherwise(F.lit(0.0)).alias("hit_rate"),
         F.coalesce(F.sum("saved_tokens"), F.lit(0)).alias("tokens_saved"),
-    )
+    ]
 
 
-def lru_keep(entries: DataFrame, now_ms: Column, ttl_ms: int = TTL_MS, capacity: int = CAPACITY, per_scope: bool = True) -> DataFrame:
-    """Drop expired entries, keep the most recently hit; the limit is applied per task before the shuffle."""
+def lru_keep(entries: DataFrame, now_ms: Column, ttl_ms: int = TTL_MS, capacity: int | None = CAPACITY, per_scope: bool = True) -> DataFrame:
+    """Drop expired entries, keep the most recently hit (all without a capacity); the limit is applied per task first."""
     live = entries.filter(now_ms - F.col("last_hit") <= ttl_ms)
     order = [F.col("last_hit").desc(), F.col("entry_id")]
+    if capacity is None:
+        return live
     if not per_scope:
         return live.orderBy(*order).limit(capacity)
     w = Window.partitionBy("scope").orderBy(*order)

@@ -110,7 +110,7 @@ def recency_weight(turns: DataFrame, size: int = SEGMENT) -> DataFrame:
     )
 
 
-def keep_last(rows: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
-    """The n latest rows per key; the limit is applied per task before the shuffle."""
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
+def keep_last(rows: DataFrame, keys: list[str], order: str, n: int, tie: str) -> DataFrame:
+    """The n latest rows per key, of equal times those with the larger ``tie``; the limit is applied per task first."""
+    w = Window.partitionBy(*keys).orderBy(F.col(order).desc(), F.col(tie).desc())
     return rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")

@@ -91,8 +91,8 @@ def newest_requests(requests: DataFrame) -> DataFrame:
 
 
 def recent_usage(usage: DataFrame, n: int = 100) -> DataFrame:
-    """The n latest calls of every key."""
-    return keep_last(usage, ["key_id"], "called_at", n)
+    """The n latest calls of every key, of equal times those with the larger id."""
+    return keep_last(usage, ["key_id"], "called_at", n, "id")
 
 
 def resolve_key(calls: DataFrame, keys: DataFrame) -> DataFrame:

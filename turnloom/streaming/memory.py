@@ -29,7 +29,7 @@ def memory_sink(path: str, sections_of: Callable[[DataFrame], DataFrame] = page_
         earlier = stored.filter(F.col("batch") < batch_id).select("owner", "seq", "source_id", "title")
         touched = earlier.join(new.select("owner").distinct(), "owner", "left_semi")
         # only listed in trails: their own sections were written by their batch
-        before = keep_last(touched, ["owner"], "seq", TRAIL).withColumn("content", F.lit("-"))
+        before = keep_last(touched, ["owner"], "seq", TRAIL, "source_id").withColumn("content", F.lit("-"))
         sections = sections_of(new.unionByName(before, allowMissingColumns=True))
         own = sections.join(new.select("owner", "seq"), ["owner", "seq"], "left_semi")
         own.write.mode("overwrite").parquet(f"{path}/sections/batch={batch_id}")
