@@ -121,6 +121,17 @@ def broken_links(spark, path):
     return op.broken_links(s, op.merge_pages(s))
 
 
+@query(
+    "lint_report",
+    f"""{_PAGES}, k AS (SELECT DISTINCT owner, unnest(regexp_extract_all(markdown, '\\[\\[([^\\]]+)\\]\\]', 1)) AS title FROM sec),
+i AS (SELECT k.owner, 'Missing page for link: ' || k.title AS issue FROM k ANTI JOIN pages2 p ON p.owner = k.owner AND p.title = k.title)
+SELECT o.owner, coalesce(i.issue, 'No issues.') AS issue FROM (SELECT DISTINCT owner FROM sec) o LEFT JOIN i ON i.owner = o.owner""",
+)
+def lint_report(spark, path):
+    s = sections(spark, path)
+    return op.lint_report(s, op.merge_pages(s))
+
+
 @query("list_namespaces", "SELECT DISTINCT source AS owner FROM documents")
 def list_namespaces(spark, path):
     return op.list_namespaces(sources(spark, path))

@@ -22,8 +22,7 @@ def now():
 
 
 def dashboard(spark, path):
-    keys = op.derived_quota(api_keys(spark, path), usage(spark, path))
-    return op.key_dashboard(keys, usage(spark, path), now())
+    return op.key_dashboard(api_keys(spark, path), usage(spark, path), now(), derive_quota=True)
 
 
 @query("key_dashboard", f"{_DASH} SELECT id, name, active, created_at, total_calls, total_tokens_saved, last24h_calls FROM d")
@@ -118,8 +117,40 @@ def resolve_key(spark, path):
     f"WITH u AS ({USAGE_SQL}), k AS ({KEYS_SQL}) SELECT k.id, max(u.called_at) AS last_used_at FROM u JOIN k ON k.id = u.key_id WHERE k.active GROUP BY k.id",
 )
 def last_used(spark, path):
-    resolved = op.resolve_key(calls(spark, path).drop("id", "key_id"), api_keys(spark, path))
-    return op.last_used(resolved)
+    return op.last_used(calls(spark, path).select("raw_key", "called_at"), api_keys(spark, path))
+
+
+@query(
+    "usage_report",
+    f"""{_DASH}, r AS ({REQUESTS_SQL}), q AS (SELECT id, CAST(CASE WHEN quota_limit > 0 THEN least(100, round(total_calls / quota_limit * 100)) ELSE 0 END AS BIGINT) AS pct FROM d),
+t AS (SELECT count(*) AS n FROM r WHERE fulfilled_at IS NULL), o AS (SELECT email, count(*) AS n FROM r WHERE fulfilled_at IS NULL GROUP BY email)
+SELECT 'dashboard' AS section, id AS item, pct AS value FROM q
+UNION ALL SELECT 'kpis', 'active_keys', count(*) FILTER (WHERE active) FROM d
+UNION ALL SELECT 'kpis', 'calls_24h', CAST(sum(last24h_calls) AS BIGINT) FROM d
+UNION ALL SELECT 'kpis', 'keys', count(*) FROM d
+UNION ALL SELECT 'kpis', 'tokens_saved', CAST(sum(total_tokens_saved) AS BIGINT) FROM d
+UNION ALL SELECT 'recent', key_id, id FROM (SELECT *, row_number() OVER (PARTITION BY key_id ORDER BY called_at DESC, id DESC) AS rn FROM u) WHERE rn <= 100
+UNION ALL SELECT 'waitlist', 'waiting', n FROM t
+UNION ALL SELECT 'positions', e.email, t.n - coalesce(o.n, 0) + 1 FROM (SELECT DISTINCT email FROM r) e CROSS JOIN t LEFT JOIN o ON o.email = e.email
+UNION ALL SELECT 'requests', email, id FROM r""",
+)
+def usage_report(spark, path):
+    """The whole report in long form."""
+    report = op.usage_report(api_keys(spark, path), usage(spark, path), key_requests(spark, path), now())
+    kpis = report["kpis"].select(F.explode(F.create_map(*[x for c in ("keys", "active_keys", "calls_24h", "tokens_saved") for x in (F.lit(c), F.col(c).cast("long"))])).alias("item", "value"))
+    parts = {
+        "dashboard": report["dashboard"].select(F.col("id").alias("item"), F.col("quota_pct").alias("value")),
+        "kpis": kpis,
+        "recent": report["recent"].select(F.col("key_id").alias("item"), F.col("id").alias("value")),
+        "waitlist": report["waitlist"].select(F.lit("waiting").alias("item"), F.col("waiting").alias("value")),
+        "positions": report["positions"].select(F.col("email").alias("item"), F.col("position").alias("value")),
+        "requests": report["requests"].select(F.col("email").alias("item"), F.col("id").alias("value")),
+    }
+    out = None
+    for name, rows in parts.items():
+        rows = rows.select(F.lit(name).alias("section"), "item", F.col("value").cast("long").alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query(

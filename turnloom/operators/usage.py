@@ -37,12 +37,16 @@ def own_usage(usage: DataFrame, key_id: str, now: Column) -> DataFrame:
     return usage.filter(F.col("key_id") == key_id).agg(*_measures(day_before(now)))
 
 
-def key_dashboard(keys: DataFrame, usage: DataFrame, now: Column) -> DataFrame:
-    """Every key with its measures. The log is aggregated before the join, so it never meets the keys row by row."""
+def key_dashboard(keys: DataFrame, usage: DataFrame, now: Column, derive_quota: bool = False) -> DataFrame:
+    """Every key with its measures. The log is aggregated before the join, so it never meets the keys row by row.
+
+    With ``derive_quota`` the used counter is the number of calls in the log, from the same aggregation.
+    """
     joined = keys.drop("key_hash").join(
         usage_by_key(usage, now), keys["id"] == F.col("key_id"), "left"
     ).drop("key_id")
-    return joined.fillna(0, ["total_calls", "total_tokens_saved", "last24h_calls"])
+    joined = joined.fillna(0, ["total_calls", "total_tokens_saved", "last24h_calls"])
+    return joined.withColumn("quota_used", F.col("total_calls").cast("int")) if derive_quota else joined
 
 
 def newest_first(rows: DataFrame, at: str, tie: str) -> DataFrame:
@@ -102,8 +106,10 @@ def resolve_key(calls: DataFrame, keys: DataFrame) -> DataFrame:
     return hashed.drop("raw_key").join(active, "key_hash").drop("key_hash")
 
 
-def last_used(resolved: DataFrame) -> DataFrame:
-    return resolved.groupBy("id").agg(F.max("called_at").alias("last_used_at"))
+def last_used(calls: DataFrame, keys: DataFrame) -> DataFrame:
+    """Latest call of every active key; the calls are brought down to one row per raw key before they meet the keys."""
+    latest = calls.groupBy("raw_key").agg(F.max("called_at").alias("called_at"))
+    return resolve_key(latest, keys).groupBy("id").agg(F.max("called_at").alias("last_used_at"))
 
 
 def usage_rollup(usage: DataFrame, size: str = "24 hours", slide: str = "1 hour") -> DataFrame:
@@ -253,7 +259,7 @@ def rate_limit(calls: DataFrame, limit: int = RATE_LIMIT, window_ms: int = WINDO
 
 def usage_report(keys: DataFrame, usage: DataFrame, requests: DataFrame, now: Column, recent: int = 100) -> dict:
     """All reporting tables of the admin view."""
-    dashboard = key_dashboard(keys, usage, now)
+    dashboard = key_dashboard(keys, usage, now, derive_quota=True)
     return {
         "dashboard": quota_utilisation(dashboard),
         "kpis": dashboard_kpis(dashboard),
