@@ -676,7 +676,7 @@ def compress_with_summary(
     compressed = est_tokens(_chars(F.col("compressed")))
     measured = work.select(
         "conv_id",
-        F.array(F.lit("Model summary. Last 4 turns kept verbatim.")).alias("kept_reasons"),
+        F.array(F.concat(F.lit("Model summary; turns kept as they were: "), (F.size("compressed") - 1).cast("string"))).alias("kept_reasons"),
         F.greatest(F.lit(0), F.col("n") - F.least(F.col("keep"), F.col("n"))).cast("long").alias("dropped_count"),
         original.alias("original_tokens"),
         compressed.alias("compressed_tokens"),
@@ -689,18 +689,19 @@ def compress_with_summary(
         "conv_id", F.col("out_pos").cast("long").alias("out_pos"), "m.pos", "m.role", "m.text"
     )
 
-    by_rule = compress(turns, frames, protect=False, vocab=vocab, label=label, size=size)
     is_model = modelled.select("conv_id")
+    others = turns.join(is_model, "conv_id", "left_anti")
+    by_rule = compress(others, frames, protect=False, vocab=vocab, label=label, size=size)
     short = F.array_contains("kept_reasons", "Short history kept in full.")
     fallback = F.concat(F.array(F.lit("Model unavailable; rule compressor fallback used.")), "kept_reasons")
-    rule = by_rule.summary.join(is_model, "conv_id", "left_anti").drop("protected").withColumns(
+    rule = by_rule.summary.drop("protected").withColumns(
         {
             "method": F.when(short, F.lit("whole")).otherwise(F.lit("rule")),
             "kept_reasons": F.when(short, F.col("kept_reasons")).otherwise(fallback),
         }
     )
     return Compression(
-        turns=model_turns.unionByName(by_rule.turns.join(is_model, "conv_id", "left_anti")),
+        turns=model_turns.unionByName(by_rule.turns),
         summary=done.drop("compressed").unionByName(rule),
     )
 

@@ -27,17 +27,38 @@ BLOCKERS = (
     (("error", "throws", "failing"), "blocker_pattern: recurring debugging/errors"),
     (("not connected", "missing"), "blocker_pattern: missing integration surfaces"),
 )
-WORK_PATTERN = r"(?i)\b(?:building|working on|creating|making|debugging|launching)\s+([^.\n]{3,70})"
-STUDY_PATTERN = r"(?i)\b(?:study at|student at|from)\s+([^.\n]{3,50})"
+WORK = (r"(?i)\b(?:building|working on|creating|making|debugging|launching)", 70)
+STUDY = (r"(?i)\b(?:study at|student at|from)", 50)
+LEAST_CHARS = 3
 
 
-def first_match(text: Column, pattern: str) -> Column:
-    """Group 1 of the first match, trimmed; null without a match."""
-    return ws_trim(F.get(F.regexp_extract_all(text, F.lit(java(pattern)), F.lit(1)), 0))
+def after_opening(text: Column, following: Column, opening: str, most: int) -> Column:
+    """What follows the first opening phrase, trimmed; null without one. The phrase may end the text: white space runs on
+    into the following text, as it does when the turns of a session are joined by line breaks."""
+    body = f"([^.\\n]{{{LEAST_CHARS},{most}}})"
+    own = F.get(F.regexp_extract_all(text, F.lit(java(rf"{opening}\s+{body}")), F.lit(1)), 0)
+    open_end = text.rlike(java(rf"{opening}\s*\z"))
+    next_ = F.when(open_end, F.get(F.regexp_extract_all(ws_trim(following), F.lit(java(rf"\A{body}")), F.lit(1)), 0))
+    return ws_trim(F.coalesce(own, next_))
+
+
+def with_following(turns: DataFrame, size: int = SEGMENT, chars: int = 200) -> DataFrame:
+    """Adds ``following``: the beginning of the conversation's next text that is not blank, null after the last.
+
+    Windows run within segments; what follows a segment comes from a table with one row per segment.
+    """
+    rows = turns.withColumn("seg", segment_of(F.col("turn"), size)).withColumn("_head", F.substring(ws_trim(F.col("text")), 1, chars))
+    rows = rows.withColumn("_head", F.when(F.col("_head") != "", F.col("_head")))
+    segments = rows.groupBy("conv_id", "seg").agg(F.min_by("_head", F.when(F.col("_head").isNotNull(), F.col("turn"))).alias("_first"))
+    later = Window.partitionBy("conv_id").orderBy("seg").rowsBetween(1, Window.unboundedFollowing)
+    segments = segments.select("conv_id", "seg", F.first("_first", ignorenulls=True).over(later).alias("_later"))
+    after = Window.partitionBy("conv_id", "seg").orderBy("turn").rowsBetween(1, Window.unboundedFollowing)
+    found = rows.withColumn("following", F.first("_head", ignorenulls=True).over(after)).join(segments, ["conv_id", "seg"])
+    return found.withColumn("following", F.coalesce("following", "_later")).drop("_head", "_later", "seg")
 
 
 def session_items(turns: DataFrame, frames: DataFrame) -> DataFrame:
-    """(conv_id, five item arrays): what one session adds. Each turn is scanned on its own, then combined."""
+    """(conv_id, five item arrays): what one session adds. Each turn is scanned with the beginning of the next, then combined."""
     low = F.lower("text")
 
     def seen(words) -> Column:
@@ -46,8 +67,8 @@ def session_items(turns: DataFrame, frames: DataFrame) -> DataFrame:
             cond = cond | low.contains(w)
         return F.coalesce(F.bool_or(cond), F.lit(False))
 
-    work, study = first_match(F.col("text"), WORK_PATTERN), first_match(F.col("text"), STUDY_PATTERN)
-    hit = valid_turns(turns).withColumns({"work": work, "study": study})
+    work, study = (after_opening(F.col("text"), F.col("following"), *phrase) for phrase in (WORK, STUDY))
+    hit = with_following(valid_turns(turns)).withColumns({"work": work, "study": study})
     found = hit.groupBy("conv_id").agg(
         F.min_by("work", F.when(F.col("work").isNotNull(), F.col("turn"))).alias("work"),
         F.min_by("study", F.when(F.col("study").isNotNull(), F.col("turn"))).alias("study"),
