@@ -26,17 +26,20 @@ def classify_stream(turns: DataFrame, plugins=None, vocab: Vocabulary = DEFAULT,
     ored = [layout.CONTEXT, *range(layout.plugin_slot, layout.score_slot)]
     summed = list(range(layout.score_slot, layout.size))
 
+    # the fold is sent to the workers, so it holds numbers only
+    size, context, near_bits = layout.size, layout.CONTEXT, layout.NEAR
+
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        pos, slots, near = state.get if state.exists else (0, [0] * layout.size, [])
+        pos, slots, near = state.get if state.exists else (0, [0] * size, [])
         slots, near = list(slots), list(near)
         out = []
         pdf = pd.concat(list(batches)).sort_values("turn")
         for turn, feat in zip(pdf["turn"], pdf["feat"]):
             feat = [int(x) for x in feat]
-            history = slots[layout.CONTEXT]
+            history = slots[context]
             for i in ored:
                 slots[i] |= feat[i]
             for i in summed:
@@ -48,7 +51,7 @@ def classify_stream(turns: DataFrame, plugins=None, vocab: Vocabulary = DEFAULT,
                     bits |= b
                 before.append(bits)
             out.append((key[0], turn, pos, feat, history, list(slots), before))
-            near = [*near, feat[layout.NEAR]][-LOOKBACK_RISK:]
+            near = [*near, feat[near_bits]][-LOOKBACK_RISK:]
             pos += 1
         state.update((pos, slots, near))
         state.setTimeoutDuration(idle_ms)
