@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from test_usage_reuse import run_once_per_batch, run_stream
 from turnloom import schemas
-from turnloom.catalog.test_words import TEST
+from turnloom.catalog.data_words import TEST
 from turnloom.operators.classify import classify
 from turnloom.operators.memory import page_sections
 from turnloom.operators.reuse import cache_stats

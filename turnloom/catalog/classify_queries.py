@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from turnloom.catalog.registry import lit, query
 from turnloom.catalog.tables import VALID_TURNS, conversations
-from turnloom.catalog.test_words import PLUGINS, TEST
+from turnloom.catalog.data_words import PLUGINS, TEST
 from turnloom.functions.vocab import (
     DEFAULT,
     DEMO_PROMPTS,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from turnloom.catalog.classify_queries import FRAMES
 from turnloom.catalog.registry import lit, query
 from turnloom.catalog.tables import VALID_TURNS, conversations, documents
-from turnloom.catalog.test_words import TEST
+from turnloom.catalog.data_words import TEST
 from turnloom.functions.facts import contained_count, entity_budget, extract_facts, rank_facts
 from turnloom.functions.vocab import DEFAULT, DOMAINS, HARD_FACT_PATTERNS, IMPORTANT_FACTS
 from turnloom.operators import compress as op

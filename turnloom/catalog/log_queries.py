@@ -41,13 +41,53 @@ def stacky(docs):
     return docs.withColumn("text", text)
 
 
-@query("log_compaction")
+def compaction_sql(source: str) -> str:
+    """CTEs up to z(doc_id, text, compacted) over source(doc_id, text): a walk over the lines that jumps over repeated blocks,
+    then the middles of runs of stack lines, images and long lines."""
+    return f"""WITH RECURSIVE src AS ({source}), a AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM src),
+e AS (SELECT doc_id, s, i FROM a, range(1, {logs.MAX_BLOCK + 1}) AS ss(s), unnest(range(1, len(l) - 2 * s + 2)) AS ii(i)
+  WHERE l[i] = l[i + s] AND l[i:i + s - 1] = l[i + s:i + 2 * s - 1] AND len(list_filter(l[i:i + s - 1], lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '')) > 0),
+g AS (SELECT *, i // s - row_number() OVER (PARTITION BY doc_id, s, i % s ORDER BY i) AS run FROM e),
+c AS (SELECT doc_id, s, i, (max(i) OVER (PARTITION BY doc_id, s, i % s, run) - i) // s + 1 AS n FROM g),
+j AS (SELECT doc_id, i, arg_min(s, s) AS s, arg_min(n, s) AS n FROM c WHERE n > 1 GROUP BY doc_id, i),
+w AS (SELECT doc_id, CAST(1 AS BIGINT) AS i FROM a UNION ALL
+  SELECT w.doc_id, w.i + coalesce(j.s * (j.n + 1), 1) FROM w JOIN a ON a.doc_id = w.doc_id LEFT JOIN j ON j.doc_id = w.doc_id AND j.i = w.i
+  WHERE w.i + coalesce(j.s * (j.n + 1), 1) <= len(a.l)),
+o AS (SELECT w.doc_id, w.i, unnest(CASE WHEN j.s IS NULL THEN [a.l[w.i]] ELSE
+    list_append(a.l[w.i:w.i + j.s - 1], '... [' || j.n || ' IDENTICAL BLOCKS COMPRESSED BY CTX] ...') END) AS line,
+  generate_subscripts(CASE WHEN j.s IS NULL THEN [1] ELSE range(j.s + 1) END, 1) AS k
+  FROM w JOIN a ON a.doc_id = w.doc_id LEFT JOIN j ON j.doc_id = w.doc_id AND j.i = w.i),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) AS pos, regexp_matches(line, '^\\s*at ') OR contains(line, 'Traceback ')
+  OR contains(line, 'node_modules') OR contains(line, 'File "') AS st FROM o),
+r AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, st ORDER BY pos) AS run FROM p),
+m AS (SELECT *, row_number() OVER (PARTITION BY doc_id, st, run ORDER BY pos) AS nth, count(*) OVER (PARTITION BY doc_id, st, run) AS size FROM r),
+k AS (SELECT doc_id, pos, CASE WHEN st AND size > 6 AND nth = 4 THEN '... [' || (size - 6) || ' STACK TRACE LINES COMPRESSED BY CTX] ...' ELSE line END AS line
+  FROM m WHERE NOT st OR size <= 6 OR nth <= 4 OR nth > size - 3),
+f AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS t FROM k GROUP BY doc_id),
+z AS (SELECT a.doc_id, a.text, array_to_string(list_transform(string_split(regexp_replace(t, 'data:image/[a-zA-Z]*;base64,[A-Za-z0-9+/=]+', '[BASE64_IMAGE_REMOVED]', 'g'), chr(10)),
+  lambda x: CASE WHEN length(x) > 300 THEN left(x, 150) || ' ... [LONG LINE OF ' || length(x) || ' CHARS TRUNCATED] ... ' || right(x, 50) ELSE x END), chr(10)) AS compacted
+  FROM f JOIN a ON a.doc_id = f.doc_id)"""
+
+
+@query(
+    "log_compaction",
+    compaction_sql(f"SELECT doc_id, {_STACKY} AS text FROM documents")
+    + " SELECT doc_id, length(text) AS n_before, length(compacted) AS n_after, md5(compacted) AS compacted_md5 FROM z",
+)
 def log_compaction(spark, path):
     out = logs.compact_logs(stacky(documents(spark, path)))
     return out.select("doc_id", F.length("text").alias("n_before"), F.length("compacted").alias("n_after"), F.md5("compacted").alias("compacted_md5"))
 
 
-@query("digest_logs")
+@query(
+    "digest_logs",
+    compaction_sql("SELECT doc_id, text FROM documents")
+    + f""", d AS (SELECT z.doc_id, z.text, CASE WHEN len(string_split(compacted, ' ')) < {logs.MODEL_WORDS} AND z.doc_id % 3 > 0 THEN 'Log of source ' || source
+  ELSE left(compacted, {logs.OUTPUT_CHARS}) END AS digest FROM z JOIN documents USING (doc_id)),
+t AS (SELECT *, CAST(ceil(length(text) / 4.1) AS BIGINT) AS o, CAST(ceil(length(digest) / 4.1) AS BIGINT) AS c FROM d)
+SELECT doc_id, md5(digest) AS digest_md5, o AS original_tokens, c AS compressed_tokens, greatest(0, o - c) AS saved_tokens,
+CASE WHEN o > 0 THEN round(greatest(0, o - c) / o * 100) ELSE 0.0 END AS savings_pct FROM t""",
+)
 def digest_logs(spark, path):
     summary = F.concat(F.lit("Log of source "), "source")
     out = logs.digest_logs(documents(spark, path).withColumn("summary", F.when(F.col("doc_id") % 3 > 0, summary)), "summary")

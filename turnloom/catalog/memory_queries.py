@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from turnloom.catalog.classify_queries import FRAMES
 from turnloom.catalog.registry import query
 from turnloom.catalog.tables import SOURCES_SQL, conversations, sources
-from turnloom.catalog.test_words import TEST
+from turnloom.catalog.data_words import TEST
 from turnloom.catalog.turn_queries import _LEAD, _TITLE_SQL
 from turnloom.operators import memory as op
 from turnloom.operators import profiles

@@ -70,6 +70,23 @@ def clear_session(spark, path):
     return op.clear_session(entries(spark, path), gone).select("entry_id", "session_id")
 
 
-@query("reply_reuse")
+_ENTRY = "STRUCT(id BIGINT, chars BIGINT, ms BIGINT)[]"
+_LIVE_SQL = f"""WITH RECURSIVE v AS (SELECT vec_id AS id, 'general::' || label AS scope, vec_id * 60000 AS ms, CAST(embedding AS DOUBLE[]) AS e,
+  CAST(40 + vec_id % 200 AS BIGINT) AS chars, label <> 3 AS storable, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings),
+s AS (SELECT q.id, c.id AS cid, list_dot_product(q.e, c.e) AS sim FROM v q JOIN v c ON c.scope = q.scope AND c.k < q.k),
+m AS (SELECT id, list({{'cid': cid, 'sim': sim}} ORDER BY sim DESC, cid) AS m FROM s WHERE sim >= {THRESHOLD} GROUP BY id),
+q AS (SELECT v.id, scope, ms, chars, storable, k, m.m FROM v LEFT JOIN m ON m.id = v.id),
+r AS (SELECT DISTINCT scope, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS cid, CAST(NULL AS DOUBLE) AS sim,
+    CAST(NULL AS BIGINT) AS chars, CAST([] AS {_ENTRY}) AS st FROM v
+  UNION ALL SELECT scope, k, id, b.cid, b.sim, list_filter(live, lambda x: x.id = b.cid)[1].chars,
+    CASE WHEN b IS NOT NULL THEN list_transform(live, lambda x: {{'id': x.id, 'chars': x.chars, 'ms': CASE WHEN x.id = b.cid THEN ms ELSE x.ms END}})
+      WHEN storable AND chars >= 50 THEN list_append(live, {{'id': id, 'chars': chars, 'ms': ms}}) ELSE live END
+  FROM (SELECT *, list_filter(m, lambda y: list_contains(list_transform(live, lambda x: x.id), y.cid))[1] AS b
+    FROM (SELECT q.*, list_filter(r.st, lambda x: q.ms - x.ms <= {TTL}) AS live FROM r JOIN q ON q.scope = r.scope AND q.k = r.k + 1)))
+SELECT scope, id AS query_id, cid IS NOT NULL AS hit, cid AS match_id, round(sim, 3) AS similarity, CAST(round(chars / 4) AS BIGINT) AS saved_tokens
+FROM r WHERE k > 0"""
+
+
+@query("reply_reuse", _LIVE_SQL)
 def reply_reuse(spark, path):
     return op.reply_reuse(vectors(spark, path), THRESHOLD, TTL, 500, 50)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from turnloom.catalog.registry import lit, query
 from turnloom.catalog.tables import VALID_TURNS, conversations, documents
-from turnloom.catalog.test_words import TEST
+from turnloom.catalog.data_words import TEST
 from turnloom.functions import text as tx
 from turnloom.functions.facts import ordered_distinct
 from turnloom.operators import turns as op
