@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from turnloom.catalog.classify_queries import FRAMES
+from turnloom.catalog.classify_queries import FRAMES, frame_sql
 from turnloom.catalog.registry import lit, query
 from turnloom.catalog.tables import VALID_TURNS, conversations, documents
 from turnloom.catalog.data_words import TEST
 from turnloom.functions.facts import contained_count, entity_budget, extract_facts, rank_facts
-from turnloom.functions.vocab import DEFAULT, DOMAINS, HARD_FACT_PATTERNS, IMPORTANT_FACTS
+from turnloom.functions.vocab import (
+    CONSTRAINT_PATTERNS,
+    DEFAULT,
+    DOMAIN_CONSTRAINTS,
+    DOMAINS,
+    HARD_FACT_PATTERNS,
+    HIGH_VALUE_DOMAINS,
+    IMPORTANT_FACTS,
+    UNRESOLVED_PATTERNS,
+)
 from turnloom.operators import compress as op
 from turnloom.operators.classify import classify
 from turnloom.operators.hard_facts import hard_facts
@@ -196,7 +207,102 @@ def budgets(spark, path):
     return f.select("conv_id", "turn", entity_budget(F.col("domain"), F.col("intent")).alias("budget"))
 
 
-@query("memory_frames")
+def _fact_ctes(name: str, vocab, source: str) -> str:
+    """CTEs up to {name}_r(id, v, rk): the facts of source(id, text, domain), best first."""
+    body = _facts_sql(vocab, source)[len("WITH ") :]
+    for cte in ("src", "a", "u", "c", "k", "s"):
+        body = re.sub(rf"(^|\n|, )\b{cte} AS \(", rf"\g<1>{name}_{cte} AS (", body)
+        body = re.sub(rf"FROM {cte}\b", f"FROM {name}_{cte}", body)
+    return f"{body}, {name}_r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, length(v), i) AS rk FROM {name}_s)"
+
+
+def _distinct_ctes(name: str, items: str, limit: int) -> str:
+    """CTEs up to {name}(id, l): the first distinct entries of items(id, l)."""
+    return f"""{name}_u AS (SELECT id, unnest(l) AS r, generate_subscripts(l, 1) AS i FROM ({items})),
+{name}_c AS (SELECT id, i, regexp_replace(trim(r), '^[''"]|[''"]$', '', 'g') AS v FROM {name}_u),
+{name}_k AS (SELECT *, row_number() OVER (PARTITION BY id, lower(v) ORDER BY i) AS rn FROM {name}_c WHERE length(v) BETWEEN 2 AND 160),
+{name}_o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS rk FROM {name}_k WHERE rn = 1),
+{name} AS (SELECT id, list(v ORDER BY rk) AS l FROM {name}_o WHERE rk <= {limit} GROUP BY id)"""
+
+
+def _all(patterns) -> str:
+    return "list_concat(" + ", ".join(f"regexp_extract_all(text, {lit(p)})" for p in patterns) + ", [])"
+
+
+def _unique(items: str) -> str:
+    return f"list_filter({items}, lambda x, i: len(list_filter(({items})[1:i - 1], lambda o: o.role = x.role AND o.text = x.text)) = 0)"
+
+
+def _sentence(text: str) -> str:
+    return f"left(regexp_replace(trim(regexp_replace({text}, '\\s+', ' ', 'g')), '[|]', '', 'g'), 96)"
+
+
+def _unresolved() -> str:
+    branches = {}
+    for d, (guard, items) in UNRESOLVED_PATTERNS.items():
+        found = f"regexp_extract_all(text, {lit(items)})"
+        ok = f"regexp_matches(lower(text), {lit(guard)})" if guard else "true"
+        ok = f"({ok} OR intent = 'summarization')" if d == "education" else ok
+        branches[d] = f"CASE WHEN {ok} THEN {found} ELSE [] END"
+    return _by_domain(branches, "[]")
+
+
+def _overlap(facts: str) -> str:
+    return f"len(list_filter(coalesce({facts}, []), lambda f: length(f) >= 3 AND contains(low, f)))"
+
+
+_HIGH = "domain IN (" + ", ".join(lit(d) for d in HIGH_VALUE_DOMAINS) + ")"
+_BUDGET = """CASE WHEN domain = 'coding' AND intent = 'generation' THEN 8 WHEN domain IN ('legal', 'medical', 'commerce', 'general') THEN 7
+  WHEN domain IN ('coding', 'customer_support', 'sales') THEN 6 ELSE 5 END"""
+
+
+def _chosen(name: str, score: str, limit: str) -> str:
+    """CTEs up to {name}(conv_id, m): the best turns in turn order; repeated ones once if any reaches the score."""
+    return f"""{name}_s AS (SELECT *, {score} AS s FROM sc),
+{name}_r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN s >= {op.FOCUS_SCORE} THEN s END DESC NULLS LAST, pos DESC) AS rk FROM {name}_s),
+{name}_k AS (SELECT *, bool_or(s >= {op.FOCUS_SCORE}) OVER (PARTITION BY conv_id) AS good FROM {name}_r WHERE rk <= {limit}),
+{name}_l AS (SELECT conv_id, any_value(good) AS good, any_value(domain) AS domain, list({{'pos': pos, 'role': role, 'text': text}} ORDER BY pos) AS l
+  FROM {name}_k WHERE s >= {op.FOCUS_SCORE} OR NOT good GROUP BY conv_id),
+{name} AS (SELECT conv_id, domain, CASE WHEN good THEN {_unique('l')} ELSE l END AS m FROM {name}_l)"""
+
+
+def memory_sql(vocab) -> str:
+    """CTEs up to mem, one memory frame per conversation, and sc, its turns with their base score."""
+    goal = """CASE WHEN latest <> '' THEN {} END""".format(
+        _sentence(
+            "(CASE WHEN intent = 'debugging' THEN 'Resolve ' WHEN intent = 'generation' THEN 'Produce ' WHEN domain = 'customer_support' THEN "
+            "'Support request: ' WHEN domain = 'sales' THEN 'Advance the sales conversation: ' ELSE '' END || latest)"
+        )
+    )
+    scores = SCORES[SCORES.index("t1 AS") :].replace("+ 3 * overlap ", "").replace(
+        f", len(list_filter([{', '.join(lit(f) for f in FACTS)}], lambda f: contains(low, f))) AS overlap", ""
+    ).replace(" AS relevance FROM t3", " AS base FROM t3")
+    own = _by_domain({d: f"regexp_extract_all(text, {lit(p)})" for d, p in DOMAIN_CONSTRAINTS.items()}, "[]")
+    focus = f"base + 3 * {_overlap('f1')} + CASE WHEN role = 'user' THEN 0.75 ELSE 0.0 END + pos / greatest(1, n)"
+    return f"""{frame_sql(vocab)},
+h AS (SELECT conv_id, turn AS cur, text AS latest, domain, intent, state, risk, pos + 1 AS n, context_chars FROM frames
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1),
+{_fact_ctes('lf', vocab, 'SELECT conv_id AS id, latest AS text, domain FROM h')},
+l8 AS (SELECT id, list(lower(v)) AS f1 FROM lf_r WHERE rk <= 8 GROUP BY id),
+t0 AS (SELECT v.conv_id, v.turn, v.role, v.text, lower(v.text) AS low, h.domain, h.n, l8.f1, row_number() OVER (PARTITION BY v.conv_id ORDER BY v.turn) - 1 AS pos
+  FROM (SELECT * FROM {VALID_TURNS}) v JOIN h ON h.conv_id = v.conv_id AND v.turn <= h.cur LEFT JOIN l8 ON l8.id = v.conv_id),
+{scores},
+{_chosen('focus', focus, f"CASE WHEN {_HIGH} THEN 8 ELSE 6 END")},
+m1 AS (SELECT h.*, l8.f1, latest || chr(10) || array_to_string(list_transform(m, lambda x: x.text), chr(10)) AS text
+  FROM h JOIN focus ON focus.conv_id = h.conv_id LEFT JOIN l8 ON l8.id = h.conv_id),
+{_fact_ctes('ff', vocab, 'SELECT conv_id AS id, text, domain FROM m1')},
+en AS (SELECT ff_r.id, list(v ORDER BY rk) AS l FROM ff_r JOIN m1 ON m1.conv_id = ff_r.id WHERE rk <= least(10, {_BUDGET.replace('domain', 'm1.domain').replace('intent', 'm1.intent')}) GROUP BY ff_r.id),
+{_distinct_ctes('co', f"SELECT conv_id AS id, list_concat({_all(CONSTRAINT_PATTERNS)}, {own}) AS l FROM m1", 4)},
+{_distinct_ctes('un', f"SELECT conv_id AS id, {_unresolved()} AS l FROM m1", 4)},
+mem AS (SELECT m1.conv_id, cur, n, intent, state, domain, risk, f1, context_chars, {_sentence('latest')} AS task, {goal} AS user_goal,
+  coalesce(en.l, []) AS entities, coalesce(co.l, []) AS constraints, coalesce(un.l, []) AS unresolved
+  FROM m1 LEFT JOIN en ON en.id = m1.conv_id LEFT JOIN co ON co.id = m1.conv_id LEFT JOIN un ON un.id = m1.conv_id)"""
+
+
+_LISTS = ", ".join(f"array_to_string({c}, '|') AS {c}" for c in ("risk", "entities", "constraints", "unresolved"))
+
+
+@query("memory_frames", f"WITH {memory_sql(TEST)} SELECT conv_id, n, intent, state, domain, task, user_goal, {_LISTS} FROM mem")
 def memory(spark, path):
     m = op.memory_frames(conversations(spark, path), vocab=TEST)
     lists = [F.array_join(c, "|").alias(c) for c in ("risk", "entities", "constraints", "unresolved")]
