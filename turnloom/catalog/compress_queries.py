@@ -15,10 +15,13 @@ from turnloom.functions.vocab import (
     CONSTRAINT_PATTERNS,
     DEFAULT,
     DOMAIN_CONSTRAINTS,
+    DOMAIN_LEADS,
     DOMAINS,
     HARD_FACT_PATTERNS,
     HIGH_VALUE_DOMAINS,
     IMPORTANT_FACTS,
+    LABEL,
+    OTHER_DOMAIN_LEAD,
     UNRESOLVED_PATTERNS,
 )
 from turnloom.operators import compress as op
@@ -44,21 +47,26 @@ def _by_domain(branches: dict, default: str) -> str:
     return "CASE " + " ".join(f"WHEN domain = {lit(d)} THEN {e}" for d, e in branches.items()) + f" ELSE {default} END"
 
 
-def _off_topic() -> str:
-    words = [f"CASE WHEN {_hit(chr(92) + 'b' + w + chr(92) + 'b', 'low')} THEN 3 ELSE 0 END" for w in TEST.distractors]
-    extra = [f"CASE WHEN {_hit(p, 'low')} THEN {n} ELSE 0 END" for p, n in TEST.extra_distractors]
+def _off_topic(vocab) -> str:
+    words = [f"CASE WHEN {_hit(chr(92) + 'b' + w + chr(92) + 'b', 'low')} THEN 3 ELSE 0 END" for w in vocab.distractors]
+    extra = [f"CASE WHEN {_hit(p, 'low')} THEN {n} ELSE 0 END" for p, n in vocab.extra_distractors]
     return " + ".join(words + extra)
 
 
+def score_ctes(vocab) -> str:
+    """CTEs from t0(conv_id, turn, role, text, low, domain, pos, n) to sc, with base: the relevance without known facts."""
+    return f"""t1 AS (SELECT *, {_by_domain({d: _count(p) for d, p in vocab.domain_patterns.items()}, _count(chr(92) + 'w+'))} AS ds, {_off_topic(vocab)} AS off,
+  {_by_domain({d: f"CASE WHEN {_hit(p)} THEN {n} ELSE 0 END" for d, (p, n) in vocab.structure_boosts.items()}, '0')} AS sb,
+  {_by_domain({d: f"CASE WHEN {_hit(r.pattern, 'low')} THEN {n} ELSE 0 END" for d, (r, n) in vocab.action_boosts.items()}, '0')} AS ab FROM t0),
+t2 AS (SELECT *, CASE WHEN ds > 0 THEN greatest(0, off - 2) ELSE off END AS o1 FROM t1),
+t3 AS (SELECT *, CASE WHEN {_hit(vocab.on_topic.pattern, 'low')} THEN greatest(0, o1 - 3) ELSE o1 END AS o2 FROM t2),
+sc AS (SELECT *, ds + sb + ab - CASE WHEN contains(low, 'requests') AND contains(low, 'python') THEN greatest(0, o2 - 2) ELSE o2 END AS base FROM t3)"""
+
+
 SCORES = f"""WITH t0 AS (SELECT conv_id, turn, role, text, lower(text) AS low, {_DOMAIN} AS domain,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, count(*) OVER (PARTITION BY conv_id) AS n FROM {VALID_TURNS}),
-t1 AS (SELECT *, {_by_domain({d: _count(p) for d, p in TEST.domain_patterns.items()}, _count(chr(92) + 'w+'))} AS ds, {_off_topic()} AS off,
-  {_by_domain({d: f"CASE WHEN {_hit(p)} THEN {n} ELSE 0 END" for d, (p, n) in TEST.structure_boosts.items()}, '0')} AS sb,
-  {_by_domain({d: f"CASE WHEN {_hit(r.pattern, 'low')} THEN {n} ELSE 0 END" for d, (r, n) in TEST.action_boosts.items()}, '0')} AS ab,
-  len(list_filter([{', '.join(lit(f) for f in FACTS)}], lambda f: contains(low, f))) AS overlap FROM t0),
-t2 AS (SELECT *, CASE WHEN ds > 0 THEN greatest(0, off - 2) ELSE off END AS o1 FROM t1),
-t3 AS (SELECT *, CASE WHEN {_hit(TEST.on_topic.pattern, 'low')} THEN greatest(0, o1 - 3) ELSE o1 END AS o2 FROM t2),
-sc AS (SELECT *, ds + 3 * overlap + sb + ab - CASE WHEN contains(low, 'requests') AND contains(low, 'python') THEN greatest(0, o2 - 2) ELSE o2 END AS relevance FROM t3)"""
+{score_ctes(TEST).replace("sc AS", "base AS")},
+sc AS (SELECT *, base + 3 * len(list_filter([{', '.join(lit(f) for f in FACTS)}], lambda f: contains(low, f))) AS relevance FROM base)"""
 
 
 def placed(spark, path):
@@ -230,7 +238,7 @@ def _all(patterns) -> str:
 
 
 def _unique(items: str) -> str:
-    return f"list_filter({items}, lambda x, i: len(list_filter(({items})[1:i - 1], lambda o: o.role = x.role AND o.text = x.text)) = 0)"
+    return f"list_filter({items}, lambda x, i: len(list_filter(({items})[1:i - 1], lambda e: e.role = x.role AND e.text = x.text)) = 0)"
 
 
 def _sentence(text: str) -> str:
@@ -274,9 +282,6 @@ def memory_sql(vocab) -> str:
             "'Support request: ' WHEN domain = 'sales' THEN 'Advance the sales conversation: ' ELSE '' END || latest)"
         )
     )
-    scores = SCORES[SCORES.index("t1 AS") :].replace("+ 3 * overlap ", "").replace(
-        f", len(list_filter([{', '.join(lit(f) for f in FACTS)}], lambda f: contains(low, f))) AS overlap", ""
-    ).replace(" AS relevance FROM t3", " AS base FROM t3")
     own = _by_domain({d: f"regexp_extract_all(text, {lit(p)})" for d, p in DOMAIN_CONSTRAINTS.items()}, "[]")
     focus = f"base + 3 * {_overlap('f1')} + CASE WHEN role = 'user' THEN 0.75 ELSE 0.0 END + pos / greatest(1, n)"
     return f"""{frame_sql(vocab)},
@@ -286,7 +291,7 @@ h AS (SELECT conv_id, turn AS cur, text AS latest, domain, intent, state, risk,
 l8 AS (SELECT id, list(lower(v)) AS f1 FROM lf_r WHERE rk <= 8 GROUP BY id),
 t0 AS (SELECT v.conv_id, v.turn, v.role, v.text, lower(v.text) AS low, h.domain, h.n, l8.f1, row_number() OVER (PARTITION BY v.conv_id ORDER BY v.turn) - 1 AS pos
   FROM (SELECT * FROM {VALID_TURNS}) v JOIN h ON h.conv_id = v.conv_id AND v.turn <= h.cur LEFT JOIN l8 ON l8.id = v.conv_id),
-{scores},
+{score_ctes(vocab)},
 {_chosen('focus', focus, f"CASE WHEN {_HIGH} THEN 8 ELSE 6 END")},
 m1 AS (SELECT h.*, l8.f1, latest || chr(10) || array_to_string(list_transform(m, lambda x: x.text), chr(10)) AS text
   FROM h JOIN focus ON focus.conv_id = h.conv_id LEFT JOIN l8 ON l8.id = h.conv_id),
@@ -309,6 +314,88 @@ def memory(spark, path):
     return m.select("conv_id", "n", "intent", "state", "domain", "task", "user_goal", *lists)
 
 
+def _reasons() -> str:
+    rescue = f"CASE WHEN len(rescue) > 0 THEN '{LABEL} rescued ' || len(rescue) || ' message(s) to preserve: ' || array_to_string(missing[1:3], ', ') || '.' END"
+    shape = (
+        f"CASE WHEN len(result) = 1 THEN '{LABEL} replaced the raw history with a natural-language summary.' "
+        f"WHEN len(list_filter(result, lambda x: list_contains(recent_pos, x.pos))) > 0 THEN '{LABEL} kept a natural-language summary plus the most relevant recent turns.' "
+        f"ELSE '{LABEL} kept a natural-language summary plus a couple of high-signal anchor turns.' END"
+    )
+    return f"""CASE WHEN n <= {op.KEEP_WHOLE} THEN 'Short history kept in full.' WHEN protected THEN 'Protected conversation kept in full.'
+  ELSE concat_ws(' ', {rescue}, {shape}) END"""
+
+
+def _summary_line() -> str:
+    lead = "CASE " + " ".join(f"WHEN domain = {lit(d)} THEN {lit(t)}" for d, t in DOMAIN_LEADS.items()) + f" ELSE {lit(OTHER_DOMAIN_LEAD)} END"
+    task = "coalesce(nullif(task, ''), nullif(user_goal, ''), 'Follow the active conversation.')"
+    parts = [
+        f"CASE WHEN len({c}) > 0 THEN {lit(title + ': ')} || array_to_string({c}, ', ') || '.' END"
+        for title, c in (("Key facts", "entities"), ("Important constraints", "constraints"), ("Still unresolved", "unresolved"), ("Risk flags", "risk"))
+    ]
+    return f"concat_ws(' ', '{LABEL} summary: ' || {lead} || {task} || '.', {', '.join(parts)})"
+
+
+def _tokens(messages: str) -> str:
+    return f"CAST(ceil(list_sum(list_transform({messages}, lambda x: length(x.text))) / 4.0) AS BIGINT)"
+
+
+_LAST_HARD = _HARD.replace("FROM src", "FROM hsrc")
+
+
+def compress_sql(vocab, protect: bool = True) -> str:
+    """CTEs up to res, one compressed conversation per row: result (its messages), whole, protected and all measures."""
+    gate = "domain IN ('medical', 'legal') OR list_contains(risk, 'crisis')" if protect else "false"
+    recent = f"base + 3 * {_overlap('all_facts')} + CASE WHEN role = 'user' THEN 0.75 ELSE 0.0 END + pos / greatest(1, n)"
+    anchor = f"base + 3 * {_overlap('memory_facts')} + pos / greatest(1, n)"
+    message = "{'pos': pos, 'role': role, 'text': text}"
+    count = f"CASE WHEN {_HIGH} THEN 4 ELSE 2 END"
+    return f"""{memory_sql(vocab)},
+m2 AS (SELECT *, {gate} AS protected, list_distinct(list_transform(list_concat(entities, constraints, unresolved), lambda x: lower(x))) AS memory_facts FROM mem),
+sc0 AS (SELECT sc.* EXCLUDE (domain, n, f1), m2.domain, m2.n, m2.memory_facts, list_distinct(list_concat(coalesce(m2.f1, []), m2.memory_facts)) AS all_facts
+  FROM sc JOIN m2 ON m2.conv_id = sc.conv_id),
+{_chosen('rc', recent, f"{count} + 2").replace('FROM sc)', 'FROM sc0)')},
+rt AS (SELECT conv_id, m[greatest(1, len(m) - {count} + 1):] AS recent FROM rc),
+an0 AS (SELECT *, {anchor} AS s FROM sc0),
+an1 AS (SELECT an0.*, row_number() OVER (PARTITION BY an0.conv_id ORDER BY s DESC, pos DESC) AS rk FROM an0 JOIN rt ON rt.conv_id = an0.conv_id
+  WHERE s >= {op.ANCHOR_SCORE} AND NOT list_contains(list_transform(recent, lambda x: x.pos), pos)),
+an2 AS (SELECT conv_id, list({message} ORDER BY pos) AS l FROM an1 WHERE rk <= {op.ANCHORS} GROUP BY conv_id),
+p0 AS (SELECT m2.*, recent, CASE WHEN an2.l IS NULL THEN [] ELSE {_unique('an2.l')} END AS anchors, CAST(ceil(context_chars / 4.0) AS BIGINT) AS o,
+  {_summary_line()} AS line FROM m2 JOIN rt ON rt.conv_id = m2.conv_id LEFT JOIN an2 ON an2.conv_id = m2.conv_id),
+p1 AS (SELECT *, [{{'pos': CAST(-1 AS BIGINT), 'role': 'assistant', 'text': line}}] AS head FROM p0),
+p2 AS (SELECT *, list_concat(head, anchors, recent) AS ha, list_concat(head, recent) AS hr, list_concat(anchors, recent) AS ar FROM p1),
+p3 AS (SELECT * EXCLUDE (ha, hr, ar), {_unique('ha')} AS ha, {_unique('hr')} AS hr, {_unique('ar')} AS ar FROM p2),
+p4 AS (SELECT *, CASE WHEN {_tokens('ha')} / greatest(1, o) <= CASE WHEN {_HIGH} THEN 0.62 ELSE 0.5 END THEN ha
+  WHEN {_tokens('hr')} / greatest(1, o) <= CASE WHEN {_HIGH} THEN 0.62 ELSE 0.5 END THEN hr ELSE head END AS first_pick FROM p3),
+p5 AS (SELECT *, CASE WHEN {_tokens('first_pick')} >= o THEN ar[greatest(1, len(ar) - 3):] ELSE first_pick END AS picked FROM p4),
+hsrc AS (SELECT t0.conv_id AS id, string_agg(t0.text, ' ' ORDER BY pos) AS text, any_value(t0.domain) AS domain FROM t0 JOIN m2 ON m2.conv_id = t0.conv_id
+  WHERE NOT (m2.n <= {op.KEEP_WHOLE} OR protected) GROUP BY t0.conv_id),
+hu AS ({_LAST_HARD}), hc AS (SELECT id, trim(r, ' ' || chr(10) || chr(9) || chr(13)) AS v, family, i FROM hu),
+hk AS (SELECT *, row_number() OVER (PARTITION BY id, lower(v) ORDER BY family, i) AS rn FROM hc WHERE length(v) >= 3),
+ho AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY family, i) AS rk FROM hk WHERE rn = 1),
+hl AS (SELECT id, list([v] ORDER BY rk) AS vs FROM ho WHERE rk <= 20 GROUP BY id),
+hf AS (SELECT id, list_reduce(vs, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: contains(lower(y), lower(x[1])) AND y <> x[1])) > 0
+  THEN acc ELSE list_concat(acc, x) END)[1:12] AS hard FROM hl),
+p6 AS (SELECT p5.*, list_filter(coalesce(hard, []), lambda f: NOT contains(lower(array_to_string(list_transform(picked, lambda x: x.text), ' ')), lower(f))) AS missing
+  FROM p5 LEFT JOIN hf ON hf.id = p5.conv_id),
+rs0 AS (SELECT t0.conv_id, t0.pos, t0.role, t0.text, len(list_filter(missing, lambda f: contains(t0.low, lower(f)))) AS coverage
+  FROM t0 JOIN p6 ON p6.conv_id = t0.conv_id WHERE NOT list_contains(list_transform(picked, lambda x: x.pos), t0.pos)),
+rs1 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY coverage DESC, pos) AS rk FROM rs0 WHERE coverage > 0),
+rs AS (SELECT conv_id, list({message} ORDER BY pos) AS l FROM rs1 WHERE rk <= {op.RESCUES} GROUP BY conv_id),
+p7 AS (SELECT p6.*, coalesce(rs.l, []) AS rescue FROM p6 LEFT JOIN rs ON rs.conv_id = p6.conv_id),
+p8 AS (SELECT *, list_concat(picked[1:1], rescue, picked[2:]) AS joined FROM p7),
+p9 AS (SELECT *, CASE WHEN len(rescue) > 0 THEN {_unique('joined')} ELSE picked END AS result, list_transform(recent, lambda x: x.pos) AS recent_pos FROM p8),
+res AS (SELECT *, n <= {op.KEEP_WHOLE} OR protected AS whole, {_tokens('result')} AS result_tokens,
+  len(list_filter(result, lambda x: x.role <> 'assistant' OR x.text <> line)) AS retained, {_reasons()} AS kept_reasons FROM p9)"""
+
+
+_FLAT = """ SELECT conv_id, domain, intent, protected, CASE WHEN whole THEN 0 ELSE greatest(0, n - retained) END AS dropped_count, o AS original_tokens,
+CASE WHEN whole THEN o ELSE result_tokens END AS compressed_tokens, greatest(0, o - CASE WHEN whole THEN o ELSE result_tokens END) AS tokens_saved,
+CASE WHEN whole THEN n ELSE len(result) END AS n_compressed, kept_reasons FROM res"""
+_MESSAGES_SQL = """, out AS (SELECT conv_id, unnest(result) AS m, generate_subscripts(result, 1) - 1 AS out_pos FROM res WHERE NOT whole)
+SELECT conv_id, out_pos, m.pos AS pos, m.role AS role, m.text AS text FROM out
+UNION ALL SELECT t0.conv_id, t0.pos, t0.pos, t0.role, t0.text FROM t0 JOIN res ON res.conv_id = t0.conv_id WHERE whole"""
+
+
 def flat_summary(summary):
     return summary.select(
         "conv_id", "domain", "intent", "protected", "dropped_count", "original_tokens", "compressed_tokens", "tokens_saved",
@@ -316,21 +403,21 @@ def flat_summary(summary):
     )
 
 
-@query("compress")
+@query("compress", f"WITH {compress_sql(TEST)}{_FLAT}")
 def compress(spark, path):
     return flat_summary(op.compress(conversations(spark, path), vocab=TEST).summary)
 
 
-@query("compressed_turns")
+@query("compressed_turns", f"WITH {compress_sql(TEST)}{_MESSAGES_SQL}")
 def compressed_turns(spark, path):
     return op.compress(conversations(spark, path), vocab=TEST).turns
 
 
-@query("compress_default_vocabulary")
+@query("compress_default_vocabulary", f"WITH {compress_sql(DEFAULT)}{_FLAT}")
 def compress_default(spark, path):
     return flat_summary(op.compress(conversations(spark, path)).summary)
 
 
-@query("compress_unprotected")
+@query("compress_unprotected", f"WITH {compress_sql(TEST, protect=False)}{_FLAT}")
 def compress_unprotected(spark, path):
     return flat_summary(op.compress(conversations(spark, path), protect=False, vocab=TEST).summary)
