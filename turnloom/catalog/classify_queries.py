@@ -361,16 +361,23 @@ def _policy(column: str, table: dict, default: str = "NULL") -> str:
     return _case([(f"{column} = {lit(k)}", lit(t)) for k, t in table.items()], default)
 
 
-_ROUTE = f"""{_PLUGGED}, r AS (SELECT conv_id, turn, intent, state, domain, risk,
-  list_filter([{_policy('intent', INTENT_POLICY)}, {_policy('state', STATE_POLICY)},
-    {_case([(f"domain = {lit(p['id'])}", f"nullif({lit(p['behavior'])}, '')") for p in PLUGINS], 'NULL')}], lambda x: x IS NOT NULL) AS behavior,
-  list_concat([{_case([(f"domain = {lit(p['id'])}", lit(p['constraints'])) for p in PLUGINS], _policy('domain', DOMAIN_POLICY, lit(OTHER_DOMAIN_POLICY)))}],
+def route_ctes(plugins=()) -> str:
+    """CTEs up to routed(conv_id, turn, system_prompt) over frames."""
+    own = [(f"domain = {lit(p['id'])}", f"nullif({lit(p['behavior'])}, '')") for p in plugins]
+    ruled = [(f"domain = {lit(p['id'])}", lit(p["constraints"])) for p in plugins]
+    fixed = _policy("domain", DOMAIN_POLICY, lit(OTHER_DOMAIN_POLICY))
+    return f"""pr AS (SELECT conv_id, turn, intent, state, domain, risk,
+  list_filter([{_policy('intent', INTENT_POLICY)}, {_policy('state', STATE_POLICY)}, {_case(own, 'NULL') if own else 'NULL'}], lambda x: x IS NOT NULL) AS behavior,
+  list_concat([{_case(ruled, fixed) if ruled else fixed}],
     list_filter([{", ".join(f"CASE WHEN list_contains(risk, {lit(k)}) THEN {lit(t)} END" for k, t in RISK_POLICY)}], lambda x: x IS NOT NULL)) AS constraints
-  FROM frames)
-SELECT conv_id, turn, {lit(PROMPT_HEAD.replace('{label}', LABEL))} || chr(10) ||
+  FROM frames),
+routed AS (SELECT conv_id, turn, {lit(PROMPT_HEAD.replace('{label}', LABEL))} || chr(10) ||
   'Intent: ' || intent || '. State: ' || state || '. Domain: ' || domain || '.' || chr(10) ||
   'Behavior: ' || array_to_string(behavior, ' ') || chr(10) || 'Constraints: ' || array_to_string(constraints, ' ') || chr(10) ||
-  {lit(PROMPT_END)} AS system_prompt FROM r"""
+  {lit(PROMPT_END)} AS system_prompt FROM pr)"""
+
+
+_ROUTE = f"{_PLUGGED}, {route_ctes(PLUGINS)} SELECT conv_id, turn, system_prompt FROM routed"
 
 
 @query("route_policy", _ROUTE)

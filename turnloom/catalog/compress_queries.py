@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from turnloom.catalog.classify_queries import FRAMES, frame_sql
+from turnloom.catalog.classify_queries import FRAMES, frame_sql, route_ctes
 from turnloom.catalog.registry import lit, query
 from turnloom.catalog.tables import VALID_TURNS, conversations, documents
 from turnloom.catalog.data_words import TEST
@@ -26,6 +26,7 @@ from turnloom.functions.vocab import (
 )
 from turnloom.operators import compress as op
 from turnloom.operators.classify import classify
+from turnloom.operators.handle import handle
 from turnloom.operators.hard_facts import hard_facts
 from turnloom.operators.relevance import scored_turns
 from turnloom.operators.turns import valid_turns
@@ -421,3 +422,17 @@ def compress_default(spark, path):
 @query("compress_unprotected", f"WITH {compress_sql(TEST, protect=False)}{_FLAT}")
 def compress_unprotected(spark, path):
     return flat_summary(op.compress(conversations(spark, path), protect=False, vocab=TEST).summary)
+
+
+@query(
+    "handle_requests",
+    f"""WITH {compress_sql(TEST)}, {route_ctes()}
+SELECT res.conv_id, res.domain, res.intent, res.state, protected, md5(system_prompt) AS prompt_md5, CASE WHEN whole THEN o ELSE result_tokens END AS compressed_tokens,
+kept_reasons FROM res JOIN routed ON routed.conv_id = res.conv_id AND routed.turn = res.cur""",
+)
+def handle_requests(spark, path):
+    routed, _ = handle(conversations(spark, path), vocab=TEST)
+    return routed.select(
+        "conv_id", "domain", "intent", "state", "protected", F.md5("system_prompt").alias("prompt_md5"), "compressed_tokens",
+        F.array_join("kept_reasons", " ").alias("kept_reasons"),
+    )

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from turnloom.catalog.compress_queries import compress_sql
 from turnloom.catalog.registry import lit, query
 from turnloom.catalog.tables import conversations, documents
+from turnloom.functions.vocab import DEFAULT
 from turnloom.operators import evals, logs
 from turnloom.sources.io import read_table
 
@@ -229,12 +231,32 @@ def conversation_cases(spark, path):
     )
 
 
-@query("evaluate")
+_CASES = f"""WITH {compress_sql(DEFAULT, protect=False)},
+ct AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY pos) AS all_text FROM t0 GROUP BY conv_id),
+v AS (SELECT res.*, CASE WHEN whole THEN all_text ELSE array_to_string(list_transform(result, lambda x: x.text), chr(10)) END AS short,
+  CASE WHEN whole THEN o ELSE result_tokens END AS c FROM res JOIN ct ON ct.conv_id = res.conv_id),
+x AS (SELECT CAST(conv_id AS VARCHAR) AS id, intent, domain, state, o AS original_tokens, c AS compressed_tokens, greatest(0, o - c) AS saved,
+  intent = 'task_execution' AS pass_intent, domain = 'general' AS pass_domain, state = 'opening' AS pass_state, len(risk) = 0 AS pass_risk,
+  contains(lower(short), 'the') AS pass_must_keep, NOT regexp_matches(short, '(?i)\\bund\\b') AS pass_should_drop,
+  CASE WHEN o = 0 THEN 0 ELSE greatest(0, o - c) / o * 100 END >= 30 AS pass_savings FROM v),
+y AS (SELECT *, pass_must_keep AND pass_should_drop AND pass_savings AS pass_quality FROM x),
+z AS (SELECT *, pass_intent AND pass_domain AND pass_quality AS pass_value FROM y)"""
+
+
+@query(
+    "evaluate",
+    f"""{_CASES} SELECT id, intent, domain, state, original_tokens, compressed_tokens, pass_value AND pass_state AND pass_risk AS pass_all, pass_intent, pass_domain,
+pass_state, pass_risk, pass_must_keep, pass_should_drop, pass_savings, pass_quality, pass_value FROM z""",
+)
 def evaluate(spark, path):
     out = evals.evaluate(conversation_cases(spark, path))
     return out.select("id", "intent", "domain", "state", "original_tokens", "compressed_tokens", *[f"pass_{f}" for f in evals.PASS_FLAGS])
 
 
-@query("route_savings")
+@query(
+    "route_savings",
+    f"""{_CASES} SELECT count(*) FILTER (WHERE pass_intent AND pass_domain) AS route_passes, count(*) AS cases, CAST(sum(original_tokens) AS BIGINT) AS original_tokens,
+CAST(sum(saved) AS BIGINT) AS tokens_saved, CASE WHEN sum(original_tokens) = 0 THEN 0.0 ELSE sum(saved) / sum(original_tokens) END AS savings_ratio FROM z""",
+)
 def route_savings(spark, path):
     return evals.route_savings(conversation_cases(spark, path))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from turnloom.catalog.classify_queries import FRAMES
+from turnloom.catalog.compress_queries import memory_sql
 from turnloom.catalog.registry import query
 from turnloom.catalog.tables import SOURCES_SQL, conversations, sources
 from turnloom.catalog.data_words import TEST
@@ -323,7 +324,17 @@ def user_lists(spark, path):
     return folded.select("user_id", F.col("version").cast("long").alias("version"), "last_seq", *[F.array_join(c, "|").alias(c) for c in _LISTS])
 
 
-@query("memory_sources")
+def _part(title: str, column: str) -> str:
+    return f"CASE WHEN len({column}) > 0 THEN '{title}: ' || array_to_string({column}, ', ') END"
+
+
+@query(
+    "memory_sources",
+    f"""WITH {memory_sql(TEST)}, titled AS (SELECT *, 'Session memory — ' || domain || ' (' || CAST(floor((n - 1) / 2) AS BIGINT) || ' turns)' AS title FROM mem)
+SELECT CAST(conv_id AS VARCHAR) AS owner, 1 AS seq, 'src-' || left(sha256(conv_id || chr(1) || '1' || chr(1) || title), 12) AS source_id, title,
+concat_ws(chr(10), 'Domain: ' || domain || ' | Intent: ' || intent || ' | State: ' || state, 'Task: ' || task, CASE WHEN coalesce(user_goal, '') <> '' THEN 'Goal: ' || user_goal END,
+  {_part('Entities', 'entities')}, {_part('Constraints', 'constraints')}, {_part('Unresolved', 'unresolved')}, {_part('Risk', 'risk')}) AS content, domain, intent, state FROM titled""",
+)
 def memory_sources(spark, path):
     return frame_sources(memory_frames(conversations(spark, path), vocab=TEST)).drop("added_at")
 
