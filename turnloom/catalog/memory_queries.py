@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnloom.catalog.classify_queries import FRAMES
 from turnloom.catalog.compress_queries import memory_sql
-from turnloom.catalog.registry import query
+from turnloom.catalog.registry import lit, query
 from turnloom.catalog.tables import SOURCES_SQL, conversations, sources
 from turnloom.catalog.data_words import TEST
 from turnloom.catalog.turn_queries import _LEAD, _TITLE_SQL
@@ -232,14 +232,17 @@ def new_sources(spark, path):
     )
 
 
-@query(
-    "related_pages",
-    f"""{_PAGES}, q AS (SELECT 'new-' || item_id AS source_id, 'src' || (item_id % {OWNERS}) AS owner, text || ' fresh' AS text FROM benchmark),
+_RELATED = f"""{_PAGES}, q AS (SELECT 'new-' || item_id AS source_id, 'src' || (item_id % {OWNERS}) AS owner, text || ' fresh' AS text FROM benchmark),
 tk AS (SELECT source_id, owner, token, count(*) AS n FROM (SELECT source_id, owner, unnest(regexp_extract_all(lower(text), '\\b[a-z][a-z0-9-]{{3,}}\\b')) AS token FROM q) GROUP BY ALL),
 body AS (SELECT owner, path, lower(string_agg(markdown, chr(10))) AS b FROM sec GROUP BY ALL),
 sc AS (SELECT q.source_id, p.owner, p.path, p.first, coalesce(sum(tk.n), 0) AS score FROM q JOIN pages2 p ON p.owner = q.owner
   JOIN body ON body.owner = p.owner AND body.path = p.path LEFT JOIN tk ON tk.source_id = q.source_id AND contains(body.b, tk.token) GROUP BY ALL),
-rk AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, first) AS rank FROM sc)
+rk AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, first) AS rank FROM sc)"""
+
+
+@query(
+    "related_pages",
+    f"""{_RELATED}
 SELECT source_id, rank, owner, path, CAST(score AS BIGINT) AS score FROM rk WHERE rank <= 3""",
 )
 def related_pages(spark, path):
@@ -247,13 +250,40 @@ def related_pages(spark, path):
     return op.related_pages(new_sources(spark, path), s, op.merge_pages(s))
 
 
-@query("ingest_prompt")
+@query(
+    "ingest_prompt",
+    f"""{_RELATED},
+hd AS (SELECT owner, path, left(string_agg(markdown, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY seq, ord), {op.RELATED_CHARS}) AS head FROM sec GROUP BY ALL),
+bl AS (SELECT rk.source_id, string_agg('### ' || rk.path || chr(10) || hd.head, chr(10) ORDER BY rk.rank) AS blocks FROM rk
+  JOIN hd ON hd.owner = rk.owner AND hd.path = rk.path WHERE rk.rank <= 3 GROUP BY rk.source_id),
+ix AS (SELECT owner, left('# Index' || chr(10) || chr(10) || string_agg('- [' || path || '] ' || title || ' — ' || array_to_string(tags, ', ') || ' — ' || n_sources || ' source(s)',
+  chr(10) ORDER BY path), 600) AS head FROM pages2 GROUP BY owner),
+nw AS (SELECT 'new-' || item_id AS source_id, 'src' || (item_id % {OWNERS}) AS owner, text AS content FROM benchmark)
+SELECT nw.source_id, concat_ws(chr(10), {lit(op.INSTRUCTIONS[0])}, 'general / generation / opening', '## Index', coalesce(ix.head, 'none'), '## Related pages' || chr(10) || bl.blocks,
+  '## Source: fresh', left(content, {op.SOURCE_CHARS}), {lit(op.INSTRUCTIONS[1].replace('{words}', str(op.PAGE_WORDS)))}) AS prompt
+FROM nw LEFT JOIN ix ON ix.owner = nw.owner LEFT JOIN bl ON bl.source_id = nw.source_id""",
+)
 def ingest_prompt(spark, path):
     s = sections(spark, path)
     return op.ingest_prompt(new_sources(spark, path), s, op.merge_pages(s))
 
 
-@query("remembered_sections")
+_REMEMBERED = _SECTIONS[: _SECTIONS.index("sec AS (")].replace("[1:10], ' '), 700)", "[1:8], ' '), 900)").replace("left(content, 700)", "left(content, 900)").replace(
+    "ROWS BETWEEN 5 PRECEDING", "ROWS BETWEEN 7 PRECEDING"
+).replace("list_concat([title], regexp_extract_all(content,", "list_concat(regexp_extract_all(title || chr(10) || content,").replace(
+    "regexp_extract_all(lower(content),", "regexp_extract_all(lower(title || chr(10) || content),"
+)
+
+
+@query(
+    "remembered_sections",
+    f"""WITH {_REMEMBERED}
+sec AS (SELECT owner, 'overview.md' AS path, 'Overview' AS title, seq, 0 AS ord, array_to_string(['# Overview', '', 'Latest source: ' || title, '', '## Current synthesis',
+    summary, '', '## Source trail', array_to_string(trail, chr(10))], chr(10)) AS markdown FROM m
+  UNION ALL SELECT m.owner, 'concepts/' || {_SLUG.format('c4.concept')} || '.md', c4.concept, m.seq, c4.rn,
+    array_to_string(['# ' || c4.concept, '', '## Notes', m.summary, '', 'Sources: ' || m.source_id], chr(10)) FROM m JOIN c4 ON c4.owner = m.owner AND c4.seq = m.seq WHERE c4.rn <= 5)
+SELECT owner, path, title, seq, ord, md5(markdown) AS markdown_md5 FROM sec""",
+)
 def remembered_sections(spark, path):
     return op.remember(sources(spark, path)).select("owner", "path", "title", "seq", "ord", F.md5("markdown").alias("markdown_md5"))
 
@@ -278,11 +308,53 @@ def sessions(spark, path):
     )
 
 
-@query("user_memory")
+def _seen(words) -> str:
+    return "bool_or(" + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + ")"
+
+
+def _first(phrase) -> str:
+    opening, most = phrase
+    found = f"regexp_extract(joined, '{opening}\\s+([^.\\n]{{{profiles.LEAST_CHARS},{most}}})', 1)"
+    return f"nullif({_TRIM.format(found)}, '')"
+
+
+def _listed(*items: str) -> str:
+    cleaned = "list_transform(list_filter([" + ", ".join(items) + "], lambda x: x IS NOT NULL), lambda x: left(trim(regexp_replace(x, '\\s+', ' ', 'g')), 90))"
+    return f"list_filter({cleaned}, lambda x: x <> '')"
+
+
+_DISTINCT = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+
+
+def _kept(name: str) -> str:
+    added = f"list_concat(uf.{name}, list_filter({_DISTINCT.format(f'uk.{name}')}, lambda x: NOT list_contains(uf.{name}, x)))"
+    return f"list_slice({added}, greatest(1, len({added}) - {profiles.LIST_SIZES[name] - 1}), len({added})) AS {name}"
+
+
+_TITLES = {"profile": "Profile", "patterns": "Patterns", "active_context": "Active context", "mistakes": "Recurring blockers", "behavioral_signals": "Behavioral signals"}
+_CONTEXT = ", ".join(
+    f"CASE WHEN len({c}) > 0 THEN '{t}:' || chr(10) || array_to_string(list_transform({c}, lambda v: '- ' || v), chr(10)) END" for c, t in _TITLES.items()
+)
+_USER_SQL = f"""{FRAMES.replace('WITH ', 'WITH RECURSIVE ', 1)},
+lf AS (SELECT conv_id, domain, intent FROM frames QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1),
+uj AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS joined, {", ".join(f"{_seen(w)} AS p{i}" for i, (w, _) in enumerate(profiles.PREFERENCES))},
+  {", ".join(f"{_seen(w)} AS b{i}" for i, (w, _) in enumerate(profiles.BLOCKERS))} FROM t GROUP BY conv_id),
+uk AS (SELECT 'u' || (conv_id % 7) AS user_id, row_number() OVER (PARTITION BY conv_id % 7 ORDER BY conv_id) AS k,
+  {_listed("'profile_fact: ' || " + _first(profiles.STUDY))} AS profile,
+  {_listed("'common_domain: ' || domain", "'recent_intent: ' || intent")} AS patterns,
+  {_listed("'current_work: ' || " + _first(profiles.WORK))} AS active_context,
+  {_listed(*[f"CASE WHEN b{i} THEN '{x}' END" for i, (_, x) in enumerate(profiles.BLOCKERS)])} AS mistakes,
+  {_listed(*[f"CASE WHEN p{i} THEN '{x}' END" for i, (_, x) in enumerate(profiles.PREFERENCES)])} AS behavioral_signals FROM uj JOIN lf USING (conv_id)),
+uf AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, {", ".join(f"CAST([] AS VARCHAR[]) AS {c}" for c in profiles.LIST_SIZES)} FROM uk
+  UNION ALL SELECT uk.user_id, uk.k, {", ".join(_kept(c) for c in profiles.LIST_SIZES)} FROM uf JOIN uk ON uk.user_id = uf.user_id AND uk.k = uf.k + 1)
+SELECT user_id, k AS version, concat_ws(chr(10), {_CONTEXT}) AS context FROM uf QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1"""
+
+
+@query("user_memory", _USER_SQL)
 def user_memory(spark, path):
     turns = conversations(spark, path)
     folded = profiles.ingest_sessions(turns, last_frames(classify(turns, vocab=TEST)), sessions(spark, path))
-    return folded.select("user_id", "version", profiles.memory_context().alias("context"))
+    return folded.select("user_id", F.col("version").cast("long").alias("version"), profiles.memory_context().alias("context"))
 
 
 _LISTS = {"profile": (10, 13, 4), "patterns": (12, 5, 3), "active_context": (8, 11, 9), "mistakes": (8, 3, 2), "behavioral_signals": (12, 29, 14)}
@@ -298,7 +370,6 @@ def _folded(name):
     return f"list_slice({added}, greatest(1, len({added}) - {_LISTS[name][0] - 1}), len({added})) AS {name}"
 
 
-_DISTINCT = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
 _FOLD_SQL = f"""WITH RECURSIVE n AS (SELECT source AS user_id, doc_id AS seq, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k,
   {", ".join(f"{_pushed(c)} AS {c}" for c in _LISTS)} FROM documents),
 f AS (SELECT user_id, k, seq, {", ".join(f"CAST([] AS VARCHAR[]) AS {c}" for c in _LISTS)} FROM n WHERE false
