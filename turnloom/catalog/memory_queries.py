@@ -79,20 +79,30 @@ def source_trail(spark, path):
     f"{_PAGES} SELECT owner, path, title, updated_at, n_sections, n_sources, array_to_string(tags, '|') AS tags FROM pages2",
 )
 def memory_pages(spark, path):
-    return op.merge_pages(sections(spark, path)).select(
+    return op.merge_pages(op.page_sections(sources(spark, path), with_text=False)).select(
         "owner", "path", "title", "updated_at", "n_sections", "n_sources", F.array_join("tags", "|").alias("tags")
     )
 
 
 @query(
     "page_text",
-    f"""WITH {_SECTIONS}, n AS (SELECT *, (row_number() OVER (PARTITION BY owner, path ORDER BY seq, ord) - 1) // 100 AS part FROM sec)
-SELECT owner, path, part, md5(string_agg(markdown, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY seq, ord)) AS text_md5,
-count(DISTINCT source_id) AS n_sources FROM n GROUP BY owner, path, part""",
+    f"""{_PAGES}, n AS (SELECT owner, path, md5(string_agg(markdown, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY seq, ord)) AS text_md5 FROM sec GROUP BY owner, path),
+si AS (SELECT owner, path, source_id, min(seq * 1000 + ord) AS place FROM sec GROUP BY ALL),
+sl AS (SELECT owner, path, md5(string_agg(source_id, '|' ORDER BY place)) AS sources_md5 FROM si GROUP BY ALL)
+SELECT p.owner, p.path, p.title, n.text_md5, sl.sources_md5 FROM pages2 p JOIN n ON n.owner = p.owner AND n.path = p.path JOIN sl ON sl.owner = p.owner AND sl.path = p.path""",
 )
 def page_text(spark, path):
-    parts = op.page_parts(sections(spark, path), 100)
-    return parts.select("owner", "path", "part", F.md5("markdown").alias("text_md5"), F.size("source_ids").cast("long").alias("n_sources"))
+    """Whole pages with their text and the ids of their sources."""
+    pages = op.whole_pages(sections(spark, path))
+    return pages.select("owner", "path", "title", F.md5("markdown").alias("text_md5"), F.md5(F.array_join("source_ids", "|")).alias("sources_md5"))
+
+
+@query(
+    "merged_log",
+    f"""WITH s0 AS ({SOURCES_SQL}) SELECT row_number() OVER (ORDER BY owner, seq) - 1 AS position, owner, seq FROM s0""",
+)
+def merged_log(spark, path):
+    return op.merged_log(sources(spark, path)).select("position", "owner", "seq")
 
 
 @query(
@@ -100,7 +110,7 @@ def page_text(spark, path):
     f"""{_PAGES} SELECT owner, path, '- [' || path || '] ' || title || ' — ' || array_to_string(tags, ', ') || ' — ' || n_sources || ' source(s)' AS line FROM pages2""",
 )
 def page_index(spark, path):
-    return op.page_index(op.merge_pages(sections(spark, path)))
+    return op.page_index(op.merge_pages(op.page_sections(sources(spark, path), with_text=False)))
 
 
 @query(
@@ -145,7 +155,7 @@ SELECT CAST(sum(n) AS BIGINT) AS n_sources, max(n) + 1 AS version, max(u) AS las
 (SELECT count(*) FROM pages2) AS n_pages FROM o""",
 )
 def merge_namespaces(spark, path):
-    return op.merge_namespaces(sources(spark, path), op.merge_pages(sections(spark, path)))
+    return op.merge_namespaces(sources(spark, path), op.merge_pages(op.page_sections(sources(spark, path), with_text=False)))
 
 
 @query(
