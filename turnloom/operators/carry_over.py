@@ -9,6 +9,7 @@ from turnloom.functions.vocab import DEFAULT, Vocabulary
 from turnloom.operators.compress import memory_frames
 from turnloom.operators.memory import context_block, merge_pages, page_heads, page_sections, rank_pages, source_id
 from turnloom.operators.profiles import frame_to_source
+from turnloom.session import durable
 
 
 def frame_sources(memory: DataFrame, owner: str = "conv_id", seq=None, added_at=None) -> DataFrame:
@@ -35,9 +36,13 @@ def frame_sources(memory: DataFrame, owner: str = "conv_id", seq=None, added_at=
 
 
 def carry_over(first: DataFrame, second: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
-    """(query_id, context): what second(query_id, owner, text) recalls from the sessions in ``first``."""
-    sections = page_sections(frame_sources(memory_frames(first, vocab=vocab)))
-    pages = merge_pages(sections)
+    """(query_id, context): what second(query_id, owner, text) recalls from the sessions in ``first``.
+
+    Sources, sections and pages are read several times and each is a long expression of the one before, so each is written
+    to the shared folder first.
+    """
+    sections = durable(page_sections(durable(frame_sources(memory_frames(first, vocab=vocab)))))
+    pages = durable(merge_pages(sections))
     ranked = rank_pages(second, sections, pages)
     return context_block(ranked, page_heads(sections), second, "LLM Wiki context:", "", with_owner=False)
 

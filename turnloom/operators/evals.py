@@ -181,10 +181,8 @@ def expected_labels(cases: DataFrame) -> DataFrame:
 def case_turns(cases: DataFrame) -> DataFrame:
     """Cases as a turn table: the history, then the message as the last user turn."""
     message = "array<struct<role:string,content:string>>"
-    past = F.transform(
-        F.coalesce("history", F.array().cast(message)),
-        lambda h: F.struct(h["role"].alias("role"), h["content"].alias("content")),
-    )
+    past = F.transform("history", lambda h: F.struct(h["role"].alias("role"), h["content"].alias("content")))
+    past = F.coalesce(past, F.array().cast(message))
     last = F.array(F.struct(F.lit("user").alias("role"), F.col("message").alias("content")))
     return cases.select(F.col("id").alias("conv_id"), F.posexplode(F.concat(past, last)).alias("turn", "m")).select(
         "conv_id", F.col("turn").cast("long").alias("turn"), F.col("m.role").alias("role"), F.col("m.content").alias("text")
