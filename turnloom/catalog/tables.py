@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.sources.io import read_table, spread
+from turnloom.sources.io import read_table
 
 NOW = "2024-01-31 00:00:00"
 VALID_TURNS = "conversations WHERE role IN ('user', 'assistant') AND text IS NOT NULL"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The supplied tables are one file with one row group each, which Spark reads in one task. Here, and nowhere in the
+    operators or readers, such a table is dealt out once; a table of as many splits as cores is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def conversations(spark: SparkSession, path: str) -> DataFrame:
     return spread(read_table(spark, path, "conversations").select("conv_id", "turn", "role", "text"))
 

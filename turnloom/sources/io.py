@@ -13,12 +13,6 @@ def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input of very few files; a large input has more splits than cores and is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def read_turns(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Turns with a fixed schema; rows that are no user or assistant turn are dropped at the scan."""
     return valid_turns(spark.read.schema(schemas.TURNS).format(fmt).load(path))
