@@ -187,18 +187,21 @@ def code_texts(frequent: dict[bytes, tuple[int, int]], buckets: int):
                         own_class.append(class_of(word))
                     at.append(number)
                 at = np.array(at, np.int64)
-                code[other] = np.array(own_class, np.int64)[at] if len(at) else 0
+                code[other] = -1 - at
                 lengths.append(len(words) + 1)
-                codes.append(np.append(code, END).astype(np.uint16))
+                codes.append(np.append(code, END))
                 numbers, times = np.unique(at, return_counts=True)
                 docs.append(np.full(len(numbers), i))
                 which.append(numbers)
                 freq.append(times)
+            coded = np.concatenate(codes)
+            unknown = np.flatnonzero(coded < 0)
+            coded[unknown] = np.array(own_class, np.int64)[-1 - coded[unknown]]
             chunk = f"{task}-{nth}"
             dealt = deal(list(index), *map(np.concatenate, (docs, which, freq)), len(ids), buckets, 0)
             parts = [{"bucket": b, "words": b"\n".join(w), "docs": pack(d), "which": pack(h), "freq": pack(f)} for b, w, d, h, f in dealt]
             training = pack(np.array([remainder_of(i, MODULUS) != HELD_OUT for i in ids], np.int64))
-            row = [chunk, ids, training, pack(np.array(lengths)), np.concatenate(codes).tobytes(), common, pack(np.array(known)), parts]
+            row = [chunk, ids, training, pack(np.array(lengths)), coded.astype(np.uint16).tobytes(), common, pack(np.array(known)), parts]
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, CODED_TYPES, strict=True)], names=CODED_NAMES)
 
     return fn
