@@ -78,7 +78,7 @@ z AS (SELECT a.doc_id, a.text, array_to_string(list_transform(string_split(regex
 )
 def log_compaction(spark, path):
     out = logs.compact_logs(stacky(documents(spark, path)))
-    return out.select("doc_id", F.length("text").alias("n_before"), F.length("compacted").alias("n_after"), F.md5("compacted").alias("compacted_md5"))
+    return out.select("doc_id", F.length("text").cast("long").alias("n_before"), F.length("compacted").cast("long").alias("n_after"), F.md5("compacted").alias("compacted_md5"))
 
 
 @query(

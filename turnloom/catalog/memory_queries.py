@@ -295,7 +295,7 @@ sec AS (SELECT owner, 'overview.md' AS path, 'Overview' AS title, seq, 0 AS ord,
 SELECT owner, path, title, seq, ord, md5(markdown) AS markdown_md5 FROM sec""",
 )
 def remembered_sections(spark, path):
-    return op.remember(sources(spark, path)).select("owner", "path", "title", "seq", "ord", F.md5("markdown").alias("markdown_md5"))
+    return op.remember(sources(spark, path)).select("owner", "path", "title", "seq", F.col("ord").cast("long").alias("ord"), F.md5("markdown").alias("markdown_md5"))
 
 
 @query(
@@ -412,7 +412,7 @@ def _part(title: str, column: str) -> str:
 @query(
     "memory_sources",
     f"""WITH {memory_sql(TEST)}, titled AS (SELECT *, 'Session memory — ' || domain || ' (' || CAST(floor((n - 1) / 2) AS BIGINT) || ' turns)' AS title FROM mem)
-SELECT CAST(conv_id AS VARCHAR) AS owner, 1 AS seq, 'src-' || left(sha256(conv_id || chr(1) || '1' || chr(1) || title), 12) AS source_id, title,
+SELECT CAST(conv_id AS VARCHAR) AS owner, CAST(1 AS BIGINT) AS seq, 'src-' || left(sha256(conv_id || chr(1) || '1' || chr(1) || title), 12) AS source_id, title,
 concat_ws(chr(10), 'Domain: ' || domain || ' | Intent: ' || intent || ' | State: ' || state, 'Task: ' || task, CASE WHEN coalesce(user_goal, '') <> '' THEN 'Goal: ' || user_goal END,
   {_part('Entities', 'entities')}, {_part('Constraints', 'constraints')}, {_part('Unresolved', 'unresolved')}, {_part('Risk', 'risk')}) AS content, domain, intent, state FROM titled""",
 )
