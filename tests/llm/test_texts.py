@@ -53,6 +53,8 @@ def test_bpe_equals_the_library(docs):
     got = bpe.bpe_digest(docs, BYTES).collect()
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == want
     assert bpe.bpe_digest(docs.limit(0), BYTES).count() == 0
+    apart = bpe.decode(bpe.encode(docs, BYTES), BYTES)
+    assert Counter(map(tuple, apart.collect())) == Counter(map(tuple, bpe.round_trip(docs, BYTES).collect()))
 
 
 def test_the_short_way_knows_its_characters():

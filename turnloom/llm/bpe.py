@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 from turnloom.llm.common import text_strings
 from turnloom.llm.token_counts import UNUSUAL, byte_letters
 
-KNOWN = 500_000  # pre-tokens that a worker remembers
+KNOWN = 250_000  # pre-tokens that a worker remembers
 SLICE = 1 << 20  # characters that are split at a time
 #: The split of the byte-level vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -149,10 +149,23 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(fn, "doc_id long, ids binary, text string")
 
 
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`decode` of `encode` in one pass, so that a task needs one worker with the vocabulary instead of two."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = coder_of(path)
+        for batch in batches:
+            ids = [coder.encode(t) for t in text_strings(batch.column(1))]
+            texts = pa.array(map(coder.decode, ids), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), texts], names=["doc_id", "ids", "text"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"))
+    return rows.mapInArrow(fn, "doc_id long, ids binary, text string")
+
+
 def bpe_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode, decode, and the digests of both."""
-    both = decode(encode(docs, path, id_col, text_col), path)
-    return both.select(
+    return round_trip(docs, path, id_col, text_col).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
