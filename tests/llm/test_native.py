@@ -86,6 +86,21 @@ def test_masked_text_has_no_base_span(spark, texts):
             assert row.text == HAND[row.doc_id]
 
 
+FOLLOWED = {
+    "BE68 5390 0754 7034 paid": [(0, 19)], "BE68 5390 0754 7034 I paid": [(0, 19)], "BE68539007547034 I paid": [(0, 16)],
+    "ES91 2100 0418 4502 0005 1332 IBAN": [(0, 29)], "to BE68 5390 0754 7034 BE68 5390 0754 7034 NOW": [(3, 22), (23, 42)],
+    "XY12 CODE BE68 5390 0754 7034 OK": [(10, 29)], "NO93 8601 1117 947 A1": [(0, 18)], "DE89 3704 0044 0532 0130 00 EUR": [(0, 27)],
+    "BE68 5390 0754 7035 I paid": [], "xBE68539007547034": [], "BE685390075470341": [],
+}
+
+
+def test_account_numbers_before_words(spark):
+    docs = spark.createDataFrame(list(enumerate(FOLLOWED)), "doc_id long, text string")
+    spans = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("iban")] for r in pii.pii_digest(docs).collect()}
+    for i, (text, want) in enumerate(FOLLOWED.items()):
+        assert spans[i] == [f"iban:{a}:{b}" for a, b in want], text
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, n_chars long")
     assert pii.pii_digest(docs).count() == 0 and pii.mask_pii(docs).count() == 0 and sharding.shard(docs).count() == 0

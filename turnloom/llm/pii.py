@@ -21,6 +21,28 @@ THRESHOLD = 0.5  # score from which a span of an added kind is kept
 NEAR = 0.3  # what a context word adds
 BLOCK = 512  # matches whose lengths are summed at a time
 BASE_KINDS = ("email", "ip", "card", "phone")
+#: Published lengths of account numbers by country; IBAN_OTHERS are in use without being registered.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN_OTHERS = {25: "AO CV GW MZ", 26: "DZ IR", 27: "CF CG CM GA GQ KM MG TD", 28: "BF BJ CI MA ML NE SN TG"}
+
+
+def _iban() -> str:
+    """Account numbers of the length of their country; those of other codes take in what follows, up to a known beginning."""
+    by_length = [(n, codes) for table in (IBAN_LENGTHS, IBAN_OTHERS) for n, codes in table.items()]
+    known = "|".join(codes.replace(" ", "|") for _, codes in by_length)
+
+    def of_length(n: int, codes: str) -> str:
+        groups, rest = divmod(n - 4, 4)
+        tail = rf"\x20?[A-Z0-9]{{{rest}}}" if rest else ""
+        return rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{groups}}}{tail}"
+
+    following = rf"(?:\x20(?!(?:{known})[0-9]{{2}}))?"
+    other = rf"(?!{known})[A-Z]{{2}}[0-9]{{2}}(?:{following}[A-Z0-9]{{4}}){{2,7}}(?:\x20?[A-Z0-9]{{1,3}})?"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(of_length(*x) for x in by_length)}|{other})(?![A-Za-z0-9])"
 
 
 def digits(value: Column) -> Column:
@@ -84,7 +106,7 @@ KINDS = (
         lambda value: F.length(digits(value)).between(9, 15),
     ),
     Kind(
-        "iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}",
+        "iban", _iban(), "[A-Z]{2}[0-9]{2}",
         "(?i)iban|account|bank|konto|compte|cuenta", 0.8, mod97, base=False,
     ),
     Kind(
