@@ -101,6 +101,26 @@ def test_account_numbers_before_words(spark):
         assert spans[i] == [f"iban:{a}:{b}" for a, b in want], text
 
 
+def test_every_found_span_is_masked(spark, texts):
+    made = [*texts, *FOLLOWED, "my ssn is 123-45-6789, é👍 a@b.cd " * 400, "x" * 511 + " 10.0.0.1", "é" * 512 + " a@b.cd" + "z " * 600 + "10.0.0.1", "+1 4111 1111 1111 1111"]
+    docs = spark.createDataFrame([(i, t, "x", 7) for i, t in enumerate(made)], "doc_id long, text string, found string, n_chars long")
+    got = {r.doc_id: r for r in pii.mask_found(docs).collect()}
+    assert pii.mask_found(docs).columns == docs.columns and len(got) == len(made)
+    seen = set()
+    for row in pii.find_pii(docs).collect():
+        text, want, at = made[row.doc_id] or "", "", 0
+        for s in row.found:
+            if s.start >= at:
+                want += text[at : s.start] + f"[{s.kind.upper()}]"
+            at = max(at, s.end)
+            seen.add(s.kind)
+        new = got[row.doc_id]
+        assert (new.text or "") == want + text[at:] and new.found == "x"
+        assert (new.text is None) == (made[row.doc_id] is None) and new.n_chars == (None if new.text is None else len(new.text))
+    assert seen == {k.name for k in pii.KINDS}
+    assert pii.mask_found(docs.limit(0)).count() == 0
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, n_chars long")
     assert pii.pii_digest(docs).count() == 0 and pii.mask_pii(docs).count() == 0 and sharding.shard(docs).count() == 0

@@ -20,6 +20,7 @@ WINDOW = 40  # characters on either side in which a context word counts
 THRESHOLD = 0.5  # score from which a span of an added kind is kept
 NEAR = 0.3  # what a context word adds
 BLOCK = 512  # matches whose lengths are summed at a time
+CHUNK = 512  # characters that are cut out of at a time
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Published lengths of account numbers by country; IBAN_OTHERS are in use without being registered.
 IBAN_LENGTHS = {
@@ -219,3 +220,53 @@ def mask_pii(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n
         out = out.withColumn(text, F.when(F.size(hits) > 0, F.array_join(pieces, "")).otherwise(F.col(text))).drop(hits, gaps)
     out = out.withColumn(text_col, F.col(text)).drop(text)
     return out.withColumn(chars_col, F.length(text_col).cast("long")) if chars_col and chars_col in docs.columns else out
+
+
+def _reach(ends: Column) -> Column:
+    """The greatest end before each span, by blocks like `_running`."""
+    n = F.size(ends)
+    zero = F.lit(0).cast("bigint")
+    none = F.array().cast("array<bigint>")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: F.slice(ends, b * BLOCK + 1, BLOCK))
+
+    def push(done: Column, end: Column) -> Column:
+        return F.concat(done, F.array(F.greatest(F.element_at(done, -1), end)))
+
+    tops = F.aggregate(F.transform(blocks, F.array_max), F.array(zero), push)
+    inner = F.zip_with(blocks, F.slice(tops, F.lit(1), F.size(blocks)), lambda b, top: F.slice(F.aggregate(b, F.array(top), push), F.lit(1), F.size(b)))
+    return F.when(n > 0, F.flatten(inner)).otherwise(none)
+
+
+def _between(chunks: Column, start: Column, end: Column) -> Column:
+    """The text from start to end, cut out of chunks of CHUNK characters."""
+    first, last = (F.floor(at / CHUNK).cast("int") for at in (start, end))
+    skip, rest = ((at % CHUNK).cast("int") for at in (start, end))
+    head = F.coalesce(F.get(chunks, first), F.lit(""))
+    whole = F.array_join(F.slice(chunks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    tail = F.coalesce(F.substr(F.get(chunks, last), F.lit(1), rest), F.lit(""))
+    return F.when(first == last, F.substr(head, skip + 1, rest - skip)).otherwise(F.concat(F.substr(head, skip + 1), whole, tail))
+
+
+def mask_found(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """docs with every span of `find_pii` replaced by its kind in brackets, and nothing else.
+
+    Spans that overlap are replaced together, by the kind that begins first. A null text stays null; chars_col, if there,
+    follows the new text.
+    """
+    found = find_pii(docs.select(F.struct(*docs.columns).alias("doc_id"), F.col(text_col).alias("text")))
+    spans = F.col("found")
+    chunks = F.when(F.size(spans) > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)))
+    out = found.withColumn("chunks", chunks).withColumn("reach", _reach(F.transform(spans, lambda s: s["end"])))
+    text = F.col("doc_id")[text_col]
+
+    def piece(span: Column, before: Column) -> Column:
+        mark = F.concat(F.lit("["), F.upper(span["kind"]), F.lit("]"))
+        return F.when(span["start"] >= before, F.concat(_between(F.col("chunks"), before, span["start"]), mark)).otherwise("")
+
+    end = F.array_max(F.transform(spans, lambda s: s["end"]))
+    new = F.concat(F.array_join(F.zip_with("found", "reach", piece), ""), _between(F.col("chunks"), end, F.length("text").cast("bigint")))
+    out = out.withColumn("new", F.when(F.size(spans) > 0, new).otherwise(text.cast("string")))
+    changed = {text_col: F.col("new")}
+    if chars_col and chars_col in docs.columns:
+        changed[chars_col] = F.length("new").cast("long")
+    return out.select(*(changed.get(c, F.col("doc_id")[c]).alias(c) for c in docs.columns))
