@@ -248,6 +248,29 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(frame, bench.limit(0)).count() == 0 and decontaminate.contaminated(frame.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("copies", [1, 2000])
+def test_decontamination_of_copies_with_broken_grams(spark, copies):
+    rng = random.Random(12)
+    items = [[f"v{rng.randint(0, 3000)}" for _ in range(40)] for _ in range(3)]
+    passages = [
+        [w if i % 4 else "edited" for i, w in enumerate(items[0])],
+        [w if i % 5 else "edited" for i, w in enumerate(items[1])],
+        items[2][:20],
+    ]
+    docs, want = [], set()
+    for n in range(copies):
+        for at, passage in enumerate(passages):
+            around = [f"z{rng.randint(0, 500)}" for _ in range(30)]
+            docs.append((len(docs), " ".join(around[:15] + passage + around[15:])))
+            want.add((len(docs) - 1, at))
+    # one n-gram of an item is no copy
+    docs += [(10_000 + n, " ".join([f"z{rng.randint(0, 500)}" for _ in range(50)] + items[n % 3][30:33])) for n in range(200)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    found = decontaminate.contaminated(frame, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want and len(found) == len(want)
+
+
 def test_items_in_blocks(spark):
     bench = spark.createDataFrame([(i, f"alpha{i} beta{i} gamma delta{i}") for i in range(50)], "item_id long, text string")
     blocks = list(decontaminate.item_blocks(bench, most_words=60))

@@ -1,8 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds propose (document, item, place), Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds propose (document, item, place), Smith-Waterman alignment scores them.
 
-The n-grams of the items are counted in all documents. For each item its rarer half always makes seeds, and so does every
-n-gram in no more than RARE of the documents; the other n-grams are common phrases, found everywhere. A passage around each
-seed is aligned with the item's words, with gaps and replaced words, so edited and paraphrased copies score too.
+Every n-gram of an item makes seeds, however many documents have it: copies raise the counts of the very n-grams they keep.
+A passage around each seed is aligned with the item's words, with gaps and replaced words, so edited and paraphrased copies
+score too. Passages that share too few words with the item to reach the least score are not aligned; nothing else is left out.
 
 Items are broadcast in blocks of a bounded number of words; each block is one pass over the documents.
 """
@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from turnloom.llm.common import text_strings
 
 GRAM = 3  # words of a seed
-RARE = 2e-4  # share of the documents up to which an n-gram is a seed for every item that has it
 ITEM_WORDS = 400_000  # words of the items in a block
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.33  # least score, as a share of an item that matches whole
@@ -114,36 +113,43 @@ def align(item: list[np.ndarray], passage: list[np.ndarray]) -> tuple[np.ndarray
     return best // scale, end, best % scale
 
 
-def _gram_counts(items: Items):
-    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = np.array(sorted(items.grams), np.int64)
-        counts = np.zeros(len(codes), np.int64)
-        for batch in batches:
-            for text in text_strings(batch.column(1)):
-                found = items.code(items.numbers(text))
-                found = np.unique(found[found >= 0])
-                at = np.minimum(np.searchsorted(codes, found), len(codes) - 1)
-                counts[at[codes[at] == found]] += 1
-        some = counts > 0
-        yield pa.RecordBatch.from_arrays([pa.array(codes[some]), pa.array(counts[some])], names=["code", "n"])
-
-    return fn
-
-
-def rare_seeds(items: Items, counts: dict[int, int], n_docs: int) -> dict[int, list[tuple[int, int]]]:
-    """The n-grams that make seeds, with the items and places they are seeds of."""
-    seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    of_item: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for code, places in items.grams.items():
-        for at, place in places:
-            of_item[at].append((code, place))
-    for at, grams in of_item.items():
-        ranked = sorted(counts.get(c, 0) for c, _ in grams)
-        limit = max(RARE * n_docs, ranked[(len(ranked) - 1) // 2])
-        for code, place in grams:
-            if counts.get(code, 0) <= limit:
-                seeds[code].append((at, place))
-    return dict(seeds)
+def _enough(score: float, same: int, size: int) -> bool:
+    return score >= THRESHOLD * MATCH * size and same >= min(size, LEAST_WORDS)
+
+
+class Seeds:
+    """The places of every n-gram in the items, as sorted arrays."""
+
+    def __init__(self, items: Items):
+        self.items = items
+        self.codes = np.array(sorted(items.grams), np.int64)
+        places = [items.grams[c] for c in self.codes.tolist()]
+        self.ends = np.cumsum([0, *map(len, places)])
+        self.item, self.place = np.array([x for p in places for x in p], np.int64).T
+        self.bags = [np.unique(w, return_counts=True) for w in items.words]
+
+    def starts(self, numbers: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+        """Items that share an n-gram with the text, each with the distinct places where it would begin, in order."""
+        found = self.items.code(numbers)
+        at = np.minimum(np.searchsorted(self.codes, found), len(self.codes) - 1)
+        hits = np.flatnonzero(self.codes[at] == found)
+        first = self.ends[at[hits]]
+        many = self.ends[at[hits] + 1] - first
+        seed = np.arange(many.sum()) + np.repeat(first - np.cumsum(many) + many, many)
+        if not len(seed):
+            return
+        pairs = np.unique(np.stack([self.item[seed], np.repeat(hits, many) - self.place[seed]]), axis=1)
+        cuts = np.flatnonzero(np.diff(pairs[0])) + 1
+        for item, starts in zip(pairs[0, [0, *cuts]].tolist(), np.split(pairs[1], cuts), strict=True):
+            yield item, starts.tolist()
+
+    def may_score(self, item: int, passage: np.ndarray) -> bool:
+        """False if the words that the passage shares with the item, in any order, could not score enough."""
+        words, counts = self.bags[item]
+        at = np.minimum(np.searchsorted(words, passage), len(words) - 1)
+        there = np.bincount(at[words[at] == passage], minlength=len(words))
+        same = int(np.minimum(there, counts).sum())
+        return _enough(MATCH * same, same, len(self.items.words[item]))
 
 
 def _score(pending: list[tuple], items: Items) -> Iterator[tuple]:
@@ -154,36 +160,31 @@ def _score(pending: list[tuple], items: Items) -> Iterator[tuple]:
         best, end, same = align([items.words[p[2]] for p in part], [p[3] for p in part])
         for (doc, row, item, _, low), s, e, m in zip(part, best.tolist(), end.tolist(), same.tolist(), strict=True):
             size = len(items.words[item])
-            if s >= THRESHOLD * MATCH * size and m >= min(size, LEAST_WORDS):
+            if _enough(s, m, size):
                 yield doc, row, items.ids[item], s / (MATCH * size), m, low + e + 1
 
 
 MATCHES = "doc_id long, item_id long, score double, n_matching long, end_word long"
 
 
-def _matches(items: Items, seeds: dict[int, list[tuple[int, int]]]):
+def _matches(items: Items):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = np.array(sorted(seeds), np.int64)
+        seeds = Seeds(items)
         for batch in batches:
             pending, rows = [], []
             best: dict[tuple, tuple] = {}
             for row, (key, text) in enumerate(zip(batch.column(0), text_strings(batch.column(1)), strict=True)):
                 numbers = items.numbers(text)
-                found = items.code(numbers)
-                at = np.minimum(np.searchsorted(codes, found), len(codes) - 1)
-                places: dict[int, list[int]] = defaultdict(list)
-                for p in np.flatnonzero(codes[at] == found).tolist():
-                    for item, place in seeds[int(found[p])]:
-                        places[item].append(p - place)
-                for item, starts in places.items():
+                for item, starts in seeds.starts(numbers):
                     size = len(items.words[item])
                     done = -1
-                    for start in sorted(starts):
+                    for start in starts:
                         low = max(0, start - size // 2)
                         if start + size <= done:
                             continue
                         done = min(len(numbers), start + size + size)
-                        pending.append((key.as_py(), row, item, numbers[low:done], low))
+                        if seeds.may_score(item, numbers[low:done]):
+                            pending.append((key.as_py(), row, item, numbers[low:done], low))
                 if len(pending) >= 8 * BATCH:
                     rows.extend(_score(pending, items))
                     pending = []
@@ -218,15 +219,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"))
     found = spark.createDataFrame([], MATCHES)
-    n_docs = None
     for block in item_blocks(benchmark):
         items = items_of(block)
         if not items.grams:
             continue
-        n_docs = rows.count() if n_docs is None else n_docs
-        counted = rows.mapInArrow(_gram_counts(items), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-        seeds = rare_seeds(items, {r["code"]: r["n"] for r in counted.collect()}, n_docs)
-        found = found.union(rows.mapInArrow(_matches(items, seeds), MATCHES))
+        found = found.union(rows.mapInArrow(_matches(items), MATCHES))
     return found
 
 
