@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from turnloom.llm import decontaminate, hmm, simhash, suffixes
+from turnloom.llm import decontaminate, hmm, near_copies, simhash, suffixes
 from turnloom.llm.components import components
 
 SCHEMA = "doc_id long, text string, spans int, fp int"
@@ -141,6 +141,62 @@ def test_near_duplicates_edges(spark):
     assert simhash.keep_first(docs.limit(0)).count() == 0
 
 
+def brute_copies(texts):
+    """The least place of a near copy of each text, by five-word sets and all pairs."""
+    sets = []
+    for text in texts:
+        words = (text or "").lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for j in range(len(texts)):
+        for i in range(j):
+            shared = len(sets[i] & sets[j])
+            if shared * 9 >= 4 * (len(sets[i]) + len(sets[j])):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def test_near_copies_equal_brute_force(spark):
+    rng = random.Random(21)
+    line = " ".join(f"c{i}" for i in range(12))
+    texts = [None, "", " ", "a b", "A  b", "a b c d e", "a b c d f", "a b c d e f g h i j", "a b c d e f g h i k"]
+    for _ in range(40):
+        base = [f"w{rng.randint(0, 900)}" for _ in range(rng.randint(20, 200))]
+        for _ in range(rng.randint(1, 8)):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 35))):
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.randint(0, 2)] = [f"n{rng.randint(0, 9)}"]
+            texts.append(" ".join(copy) + (" " + line if rng.random() < 0.5 else ""))
+    big = [f"b{i}" for i in range(150)]
+    for _ in range(120):
+        copy = list(big)
+        for at in rng.sample(range(150), rng.randint(1, 5)):
+            copy[at] = f"n{rng.randint(0, 9999)}"
+        texts.append(" ".join(copy))
+    texts += texts[20:30]
+    want = brute_copies(texts)
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], SCHEMA).repartition(4)
+    got = {}
+    for r in near_copies.near_copies(docs).collect():
+        got.setdefault(r.root, []).append(r.doc_id)
+    groups = {}
+    for i, r in enumerate(want):
+        groups.setdefault(r, []).append(i)
+    assert sorted(sorted(g) for g in got.values()) == sorted(groups.values())
+    kept = near_copies.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(groups)
+    assert near_copies.keep_one(docs.limit(0)).count() == 0
+    assert len(groups) < simhash.keep_first(docs).count()
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 901), (901, 900)], "a long, b long")
     got = {r.node: r.least for r in components(links).collect()}

@@ -54,7 +54,7 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def _text_hash(text: Column) -> Column:
+def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.array([fingerprint(t) for t in text_bytes(batch.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found)], names=["doc_id", "text_hash", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"), _text_hash(F.col(text_col)))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"), text_hash(F.col(text_col)))
     return rows.mapInArrow(fn, "doc_id long, text_hash long, fp long")
 
 
@@ -134,11 +134,15 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Of each component the row with the least id stays (rows without id last, then the least hash of the text); of rows that
     repeat that id and text, one stays.
     """
-    found = near_duplicates(docs, id_col, text_col)
+    return keep_of(docs, near_duplicates(docs, id_col, text_col), id_col, text_col)
+
+
+def keep_of(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of docs for each root of found (doc_id, text_hash, root), as `keep_first` says."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("first")
     first = found.groupBy("root").agg(first).select("first.doc_id", "first.text_hash").distinct()
     stay_id, stay_hash, own_hash = (f"{id_col}_{i}_{'_'.join(docs.columns)}" for i in range(3))
     stay = first.toDF(stay_id, stay_hash)
-    rows = docs.withColumn(own_hash, _text_hash(F.col(text_col)))
+    rows = docs.withColumn(own_hash, text_hash(F.col(text_col)))
     kept = rows.join(stay, rows[id_col].cast("long").eqNullSafe(stay[stay_id]) & (rows[own_hash] == stay[stay_hash]), "left_semi")
     return kept.dropDuplicates([id_col, own_hash]).select(docs.columns)
