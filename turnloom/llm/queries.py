@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from turnloom.llm import bpe, decontaminate, hmm, pii, prefix_trie, quality, sharding, simhash, suffixes, token_counts, toxicity
+from turnloom.llm import bpe, decontaminate, hard_negatives, hmm, neighbours, pii, prefix_trie, quality, sharding, simhash, suffixes, token_counts, toxicity
 from turnloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +75,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the trie of all rebuilt conversations."""
     return prefix_trie.prefix_trie(documents(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the rows divisible by 100; every seventh row has the next label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+@query
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows of the rows divisible by 50."""
+    return neighbours.nearest(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
