@@ -110,12 +110,14 @@ def _coded(entries: DataFrame, planes: Planes, width: int) -> DataFrame:
     return entries.select("entry", "vector").mapInArrow(fn, "entry long, vector array<double>, codes array<long>")
 
 
-def _sorted_arrays(coded: DataFrame, width: int, block_rows: int) -> DataFrame:
+def _sorted_arrays(coded: DataFrame, total: int, width: int, block_rows: int) -> DataFrame:
     """The trees: tree, block, low, high, codes, entries and vectors of runs of at most block_rows rows."""
     single = coded.select("entry", "vector", F.posexplode("codes").alias("tree", "code"))
     order = ["tree", "code", "entry"]
-    # a row is about the size of its vector, so an index has TREES times the partitions of its table
-    sharded = single.repartitionByRange(TREES * shuffle_partitions(coded.sparkSession), *order).sortWithinPartitions(*order)
+    # the number of blocks follows that of the rows, not that of the tasks, as queries visit blocks
+    blocks = -(-TREES * max(1, total) // block_rows)
+    shards = min(blocks, max(TREES * shuffle_partitions(coded.sparkSession), blocks // 16))
+    sharded = single.repartitionByRange(shards, *order).sortWithinPartitions(*order)
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,7 +280,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
         learned[i, : len(v)] = v
     planes = Planes(learned, width)
     coded = stored(_coded(entries, planes, width), "forest-codes")
-    forest = _sorted_arrays(coded, width, block_rows)
+    forest = _sorted_arrays(coded, total, width, block_rows)
     levels = max(0, (max(1, total) // block_rows).bit_length())
     directory = stored(_directory(forest, levels), "forest-directory")
     ids = rows.filter(is_query).select(F.col("vec_id").alias("query_id"), "vector")
