@@ -3,7 +3,7 @@ from conftest import turns_of
 from pyspark.sql import functions as F
 
 from turnloom.operators.compress import (
-    compress, compress_with_summary, fallback_rate, memory_frames, model_summary_input, placed_rows, requests,
+    ALL_KEPT, ALL_PROTECTED, compress, compress_with_summary, fallback_rate, memory_frames, model_summary_input, placed_rows, requests,
     segment_heads, turn_rows,
 )
 from turnloom.operators.classify import classify
@@ -42,8 +42,8 @@ def result(turns):
 
 def test_kept_whole(result):
     summary, texts = result
-    assert summary[4].kept_reasons == ["Short history kept in full."] and len(texts[4]) == 4
-    assert summary[2].protected and summary[2].kept_reasons == ["Protected conversation kept in full."]
+    assert summary[4].kept_reasons == [ALL_KEPT] and len(texts[4]) == 4
+    assert summary[2].protected and summary[2].kept_reasons == [ALL_PROTECTED]
     assert [r.text for r in texts[2]] == MEDICAL and summary[2].tokens_saved == 0
 
 

@@ -316,13 +316,14 @@ def memory(spark, path):
 
 
 def _reasons() -> str:
-    rescue = f"CASE WHEN len(rescue) > 0 THEN '{LABEL} rescued ' || len(rescue) || ' message(s) to preserve: ' || array_to_string(missing[1:3], ', ') || '.' END"
+    before, rest = op.RESCUED.split("{n}")
+    between = rest.replace("{facts}", "")
+    rescue = f"CASE WHEN len(rescue) > 0 THEN '{before}' || len(rescue) || '{between}' || array_to_string(missing[1:3], ', ') END"
     shape = (
-        f"CASE WHEN len(result) = 1 THEN '{LABEL} replaced the raw history with a natural-language summary.' "
-        f"WHEN len(list_filter(result, lambda x: list_contains(recent_pos, x.pos))) > 0 THEN '{LABEL} kept a natural-language summary plus the most relevant recent turns.' "
-        f"ELSE '{LABEL} kept a natural-language summary plus a couple of high-signal anchor turns.' END"
+        f"CASE WHEN len(result) = 1 THEN '{op.SUMMARY_ALONE}' "
+        f"WHEN len(list_filter(result, lambda x: list_contains(recent_pos, x.pos))) > 0 THEN '{op.WITH_RECENT}' ELSE '{op.WITH_ANCHORS}' END"
     )
-    return f"""CASE WHEN n <= {op.KEEP_WHOLE} THEN 'Short history kept in full.' WHEN protected THEN 'Protected conversation kept in full.'
+    return f"""CASE WHEN n <= {op.KEEP_WHOLE} THEN '{op.ALL_KEPT}' WHEN protected THEN '{op.ALL_PROTECTED}'
   ELSE concat_ws(' ', {rescue}, {shape}) END"""
 
 

@@ -12,6 +12,7 @@ from turnloom.catalog.data_words import TEST
 from turnloom.catalog.turn_queries import _LEAD, _TITLE_SQL
 from turnloom.operators import memory as op
 from turnloom.operators import profiles
+from turnloom.operators import recall as rank
 from turnloom.operators.carry_over import frame_sources, memory_trigger
 from turnloom.operators.classify import classify, last_frames
 from turnloom.operators.compress import memory_frames
@@ -186,8 +187,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, u
 SELECT query_id, rank, owner, path, CAST(score AS BIGINT) AS score FROM rk WHERE rank <= 4""",
 )
 def recall_top_pages(spark, path):
-    s = sections(spark, path)
-    return op.recall(recall_queries(spark, path), s, op.merge_pages(s))
+    return rank.recall(recall_queries(spark, path), rank.write_index(sections(spark, path)))
 
 
 OWNERS = 20  # owners of the supplied sources: src0 to src19
@@ -210,8 +210,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, u
 
 @query("context_pages", f"{_RANK} SELECT query_id, rank, owner, path, CAST(score AS BIGINT) AS score FROM rk WHERE rank <= 4")
 def context_pages(spark, path):
-    s = sections(spark, path)
-    return op.rank_pages(owned_queries(spark, path), s, op.merge_pages(s))
+    return rank.rank_pages(owned_queries(spark, path), rank.write_index(sections(spark, path)))
 
 
 @query(
@@ -221,10 +220,9 @@ SELECT rk.query_id, md5('LLM Wiki context:' || chr(10) || chr(10) || string_agg(
 FROM rk JOIN j ON j.owner = rk.owner AND j.path = rk.path WHERE rk.rank <= 4 GROUP BY rk.query_id""",
 )
 def context_block(spark, path):
-    s = sections(spark, path)
+    index = rank.write_index(sections(spark, path))
     q = owned_queries(spark, path)
-    ranked = op.rank_pages(q, s, op.merge_pages(s))
-    block = op.context_block(ranked, op.page_heads(s), q, "LLM Wiki context:", "", with_owner=False)
+    block = rank.context_block(rank.rank_pages(q, index), op.page_heads(index.sections), q, "LLM Wiki context:", "", with_owner=False)
     return block.select("query_id", F.md5("context").alias("context_md5"))
 
 
@@ -255,26 +253,24 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC,
 SELECT source_id, rank, owner, path, CAST(score AS BIGINT) AS score FROM rk WHERE rank <= 3""",
 )
 def related_pages(spark, path):
-    s = sections(spark, path)
-    return op.related_pages(new_sources(spark, path), s, op.merge_pages(s))
+    return rank.related_pages(new_sources(spark, path), rank.write_index(sections(spark, path)))
 
 
 @query(
     "ingest_prompt",
     f"""{_RELATED},
-hd AS (SELECT owner, path, left(string_agg(markdown, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY seq, ord), {op.RELATED_CHARS}) AS head FROM sec GROUP BY ALL),
+hd AS (SELECT owner, path, left(string_agg(markdown, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY seq, ord), {rank.RELATED_CHARS}) AS head FROM sec GROUP BY ALL),
 bl AS (SELECT rk.source_id, string_agg('### ' || rk.path || chr(10) || hd.head, chr(10) ORDER BY rk.rank) AS blocks FROM rk
   JOIN hd ON hd.owner = rk.owner AND hd.path = rk.path WHERE rk.rank <= 3 GROUP BY rk.source_id),
 ix AS (SELECT owner, left('# Index' || chr(10) || chr(10) || string_agg('- [' || path || '] ' || title || ' — ' || array_to_string(tags, ', ') || ' — ' || n_sources || ' source(s)',
   chr(10) ORDER BY path), 600) AS head FROM pages2 GROUP BY owner),
 nw AS (SELECT 'new-' || item_id AS source_id, 'src' || (item_id % {OWNERS}) AS owner, text AS content FROM benchmark)
-SELECT nw.source_id, concat_ws(chr(10), {lit(op.INSTRUCTIONS[0])}, 'general / generation / opening', '## Index', coalesce(ix.head, 'none'), '## Related pages' || chr(10) || bl.blocks,
-  '## Source: fresh', left(content, {op.SOURCE_CHARS}), {lit(op.INSTRUCTIONS[1].replace('{words}', str(op.PAGE_WORDS)))}) AS prompt
+SELECT nw.source_id, concat_ws(chr(10), {lit(rank.INSTRUCTIONS[0])}, 'general / generation / opening', '## Index', coalesce(ix.head, 'none'), '## Related pages' || chr(10) || bl.blocks,
+  '## Source: fresh', left(content, {rank.SOURCE_CHARS}), {lit(rank.INSTRUCTIONS[1].replace('{words}', str(rank.PAGE_WORDS)))}) AS prompt
 FROM nw LEFT JOIN ix ON ix.owner = nw.owner LEFT JOIN bl ON bl.source_id = nw.source_id""",
 )
 def ingest_prompt(spark, path):
-    s = sections(spark, path)
-    return op.ingest_prompt(new_sources(spark, path), s, op.merge_pages(s))
+    return rank.ingest_prompt(new_sources(spark, path), rank.write_index(sections(spark, path)))
 
 
 _REMEMBERED = _SECTIONS[: _SECTIONS.index("sec AS (")].replace("[1:10], ' '), 700)", "[1:8], ' '), 900)").replace("left(content, 700)", "left(content, 900)").replace(

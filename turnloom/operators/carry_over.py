@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from turnloom.functions.vocab import DEFAULT, Vocabulary
 from turnloom.operators.compress import memory_frames
-from turnloom.operators.memory import context_block, merge_pages, page_heads, page_sections, rank_pages, source_id
+from turnloom.operators.memory import page_heads, page_sections, source_id
 from turnloom.operators.profiles import frame_to_source
-from turnloom.session import durable
+from turnloom.operators.recall import context_block, rank_pages, write_index
 
 
 def frame_sources(memory: DataFrame, owner: str = "conv_id", seq=None, added_at=None) -> DataFrame:
@@ -38,13 +38,10 @@ def frame_sources(memory: DataFrame, owner: str = "conv_id", seq=None, added_at=
 def carry_over(first: DataFrame, second: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
     """(query_id, context): what second(query_id, owner, text) recalls from the sessions in ``first``.
 
-    Sources, sections and pages are read several times and each is a long expression of the one before, so each is written
-    to the shared folder first.
+    The pages of the first sessions are written as an index, which is all that the second sessions read.
     """
-    sections = durable(page_sections(durable(frame_sources(memory_frames(first, vocab=vocab)))))
-    pages = durable(merge_pages(sections))
-    ranked = rank_pages(second, sections, pages)
-    return context_block(ranked, page_heads(sections), second, "LLM Wiki context:", "", with_owner=False)
+    index = write_index(page_sections(frame_sources(memory_frames(first, vocab=vocab))))
+    return context_block(rank_pages(second, index), page_heads(index.sections), second, "LLM Wiki context:", "", with_owner=False)
 
 
 def memory_trigger(frames: DataFrame, min_history: int = 4, any_state: bool = False) -> DataFrame:

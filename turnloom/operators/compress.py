@@ -51,6 +51,15 @@ RESCUES = 2
 USER_BONUS = 0.75
 MESSAGES = "array<struct<pos:bigint,role:string,text:string>>"
 
+# why turns were kept; queries and their SQL take the wording from here
+ALL_KEPT = "Nothing to shorten: at most four turns."
+ALL_PROTECTED = "Left unchanged: a protected subject."
+RESCUED = "Turns brought back for values the rest had lost ({n}): {facts}"
+SUMMARY_ALONE = "Only the summary is left."
+WITH_RECENT = "Summary and the latest turns that matter."
+WITH_ANCHORS = "Summary and older turns that matter."
+NO_MODEL = "No summary of a model; shortened by rules."
+
 
 @dataclass
 class Compression:
@@ -526,24 +535,15 @@ def with_result(rows: DataFrame, label: str = LABEL) -> DataFrame:
     )
     recent_pos = _kept_positions(F.col("recent"))
     keeps_recent = F.exists("compressed", lambda m: F.array_contains(recent_pos, m["pos"]))
+    before, between = RESCUED.split("{n}")[0], RESCUED.split("{n}")[1].split("{facts}")[0]
     rescue_reason = F.when(
         F.size("rescue") > 0,
-        F.concat(
-            F.lit(f"{label} rescued "),
-            F.size("rescue").cast("string"),
-            F.lit(" message(s) to preserve: "),
-            F.array_join(F.slice("missing", 1, 3), ", "),
-            F.lit("."),
-        ),
+        F.concat(F.lit(before), F.size("rescue").cast("string"), F.lit(between), F.array_join(F.slice("missing", 1, 3), ", ")),
     )
     shape_reason = (
-        F.when(F.size("compressed") == 1, F.lit(f"{label} replaced the raw history with a natural-language summary."))
-        .when(keeps_recent, F.lit(f"{label} kept a natural-language summary plus the most relevant recent turns."))
-        .otherwise(F.lit(f"{label} kept a natural-language summary plus a couple of high-signal anchor turns."))
-    )
-    whole_reason = F.when(F.col("n") <= KEEP_WHOLE, F.lit("Short history kept in full.")).otherwise(
-        F.lit("Protected conversation kept in full.")
+        F.when(F.size("compressed") == 1, F.lit(SUMMARY_ALONE)).when(keeps_recent, F.lit(WITH_RECENT)).otherwise(F.lit(WITH_ANCHORS))
     )
+    whole_reason = F.when(F.col("n") <= KEEP_WHOLE, F.lit(ALL_KEPT)).otherwise(F.lit(ALL_PROTECTED))
     reasons = F.when(whole, F.array(whole_reason)).otherwise(F.array_compact(F.array(rescue_reason, shape_reason)))
     tokens = F.when(whole, F.col("original_tokens")).otherwise(est_tokens(_chars(F.col("compressed"))))
     dropped = F.when(whole, F.lit(0)).otherwise(F.greatest(F.lit(0), F.col("n") - retained)).cast("long")
@@ -692,8 +692,8 @@ def compress_with_summary(
     is_model = modelled.select("conv_id")
     others = turns.join(is_model, "conv_id", "left_anti")
     by_rule = compress(others, frames, protect=False, vocab=vocab, label=label, size=size)
-    short = F.array_contains("kept_reasons", "Short history kept in full.")
-    fallback = F.concat(F.array(F.lit("Model unavailable; rule compressor fallback used.")), "kept_reasons")
+    short = F.array_contains("kept_reasons", ALL_KEPT)
+    fallback = F.concat(F.array(F.lit(NO_MODEL)), "kept_reasons")
     rule = by_rule.summary.drop("protected").withColumns(
         {
             "method": F.when(short, F.lit("whole")).otherwise(F.lit("rule")),

@@ -18,18 +18,19 @@ def words_of(text, min_length: int = GRAM):
     return F.array_distinct(runs)
 
 
-def token_word_pairs(tokens: DataFrame, words: DataFrame) -> DataFrame:
-    """(token, word) with token a substring of word; tokens have at least four characters."""
-    starts = words.select("word").distinct().filter(F.length("word") >= GRAM)
-    starts = starts.withColumn("i", F.explode(F.sequence(F.lit(1), F.length("word") - (GRAM - 1))))
-    starts = starts.withColumn("gram", F.expr(f"substring(word, i, {GRAM})"))
-    needles = tokens.select("token").distinct().withColumn("gram", F.substring("token", 1, GRAM))
-    hit = F.expr("substring(word, i, length(token)) = token")
-    return starts.join(needles, "gram").filter(hit).select("token", "word").distinct()
-
-
-def texts_containing(needles: DataFrame, texts: DataFrame, key: str, needle: str = "needle", text: str = "low") -> DataFrame:
-    """(key, needle) for short texts and arbitrary needles, by first 1 to 4 characters at every position."""
+def positions(words: DataFrame, word: str) -> DataFrame:
+    """Adds gram: a row for each position of a word, with the characters that a token found there begins with."""
+    rows = words.filter(F.length(word) >= GRAM)
+    return rows.withColumn("i", F.explode(F.sequence(F.lit(1), F.length(word) - (GRAM - 1)))).withColumn("gram", F.expr(f"substring({word}, i, {GRAM})"))
+
+
+def texts_containing(
+    needles: DataFrame, texts: DataFrame, key: str, needle: str = "needle", text: str = "low", longest: int | None = None
+) -> DataFrame:
+    """(key, needle) for short texts and arbitrary needles, by first 1 to 4 characters at every position.
+
+    With the length of the longest needle a position carries only that many characters, not the rest of the text.
+    """
     probes = (
         needles.select(F.col(needle).alias("needle"))
         .filter(F.length("needle") > 0)
@@ -38,8 +39,8 @@ def texts_containing(needles: DataFrame, texts: DataFrame, key: str, needle: str
     )
     starts = texts.select(key, F.col(text).alias("low")).filter(F.length("low") > 0)
     starts = starts.withColumn("i", F.explode(F.sequence(F.lit(1), F.length("low"))))
-    starts = starts.select(
-        key, F.explode(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.col("low").substr(F.col("i"), n))).alias("gram"), "low", "i"
-    )
-    hit = F.expr("substring(low, i, length(needle)) = needle")
-    return starts.join(probes, "gram").filter(hit).select(key, "needle").distinct()
+    here = F.col("low").substr(F.col("i"), F.lit(max(longest, GRAM)) if longest is not None else F.length("low"))
+    starts = starts.select(key, here.alias("here"))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.col("here").substr(F.lit(1), n)))
+    starts = starts.distinct().select(key, "here", F.explode(grams).alias("gram"))
+    return starts.join(probes, "gram").filter(F.col("here").startswith(F.col("needle"))).select(key, "needle").distinct()
