@@ -3,6 +3,9 @@
 import random
 import re
 
+import pytest
+
+from turnloom.operators import profiles
 from turnloom.operators.profiles import session_items, with_following
 
 WORK = re.compile(r"(?i)\b(?:building|working on|creating|making|debugging|launching)\s+([^.\n]{3,70})", re.ASCII)
@@ -28,3 +31,32 @@ def test_following_across_segments(spark):
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = sorted((r.turn, r.following) for r in with_following(turns, size=3).collect())
     assert [f for _, f in got] == ["b", "b", "c", "c", "c", "c", None, None]
+
+
+def plain_fold(rows):
+    from turnloom.operators.profiles import LIST_SIZES, fold_lists
+
+    users = {}
+    for user, seq, *added in sorted(rows, key=lambda r: (r[0], r[1])):
+        state = users.setdefault(user, [{c: [] for c in LIST_SIZES}, 0, 0])
+        fold_lists(state[0], dict(zip(LIST_SIZES, added, strict=True)))
+        state[1], state[2] = state[1] + 1, seq
+    return {u: (*(lists[c] for c in LIST_SIZES), n, last) for u, (lists, n, last) in users.items()}
+
+
+@pytest.mark.parametrize(("seed", "kinds", "size"), [(1, 6, 8), (2, 14, 8), (3, 40, 16), (4, 14, 64), (5, 300, 8)])
+def test_segments_folded_in_parallel_equal_a_plain_fold(spark, monkeypatch, seed, kinds, size):
+    """A user with nine tenths of the sessions; lists that fill up, forget, and see items again."""
+    runs = []
+    real = profiles._runs
+    monkeypatch.setattr(profiles, "_runs", lambda rows, wanted: runs.append(rows.count()) or real(rows, wanted))
+    rng = random.Random(seed)
+    rows = []
+    for seq in range(300):
+        user = "hot" if rng.random() < 0.9 else rng.choice("abc")
+        rows.append((user, seq, *([f"{c}{rng.randrange(kinds)}" for _ in range(rng.choice([0, 1, 1, 2, 5]))] for c in "pcamb")))
+    ddl = "user_id string, seq long, " + ", ".join(f"{c} array<string>" for c in profiles.LIST_SIZES)
+    got = profiles.fold_user_memory(spark.createDataFrame(rows, ddl).repartition(5), size=size).collect()
+    assert {r.user_id: tuple(r)[1:] for r in got} == plain_fold(rows)
+    assert len(runs) <= 300 // size + 1 and (kinds > 8 or not runs)  # nothing is run again where lists never overflow
+    assert profiles.fold_user_memory(spark.createDataFrame([], ddl)).count() == 0

@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
+from turnloom.operators import reuse
 from turnloom.operators.reuse import reply_reuse, similar_reply
 from turnloom.operators.usage import rate_limit, usage_rollup
 from turnloom.streaming.limits import rate_limit_stream, usage_rollup_stream
@@ -93,7 +94,9 @@ def vectors(seed, n, scopes=("general::a", "general::b")):
 SCHEMA = "query_id long, scope string, at long, embedding array<double>, reply_chars long, storable boolean"
 
 
-def test_similar_reply_matches_brute_force(spark):
+@pytest.mark.parametrize("block", [1000, 7])
+def test_similar_reply_matches_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(reuse, "BLOCK_ROWS", block)  # spheres of seven vectors rule out many pairs of blocks
     rows = vectors(3, 120)
     got = {r.query_id: (r.hit, r.match_id) for r in similar_reply(spark.createDataFrame(rows, SCHEMA), 0.92, 30_000).collect()}
     for q in rows:

@@ -12,6 +12,7 @@ from turnloom.functions.regex import java
 from turnloom.functions.text import compact, ws_trim
 from turnloom.operators.turns import valid_turns
 from turnloom.plans.segments import SEGMENT, segment_of
+from turnloom.session import durable
 
 # fixed values: list sizes, in list order
 LIST_SIZES = {"profile": 10, "patterns": 12, "active_context": 8, "mistakes": 8, "behavioral_signals": 12}
@@ -136,39 +137,132 @@ def fold_lists(lists: dict[str, list[str]], added: dict[str, list[str]]) -> None
             del target[: len(target) - size]
 
 
-def fold_user_memory(items: DataFrame, size: int = SEGMENT) -> DataFrame:
-    """Fold sessions items(user_id STRING, seq, five arrays) into one memory row per user.
+ARRAYS = ", ".join(f"{c} array<string>" for c in LIST_SIZES)
+ENTRY = "user_id string, seg long, name string, entry array<string>"
 
-    The lists depend on the order of all sessions, so a user is folded sequentially: narrow rows,
-    sorted partitions, Arrow batches, and a state of at most 50 short strings. Runs of equal sessions
-    are combined before the shuffle by user, which is what a very frequent user mostly consists of.
-    """
-    columns = ["user_id", "seq", "last_seq", "n", *LIST_SIZES]
-    rows = _without_repeats(items, size).select(*columns)
-    ordered = rows.repartition("user_id").sortWithinPartitions("user_id", "seq")
 
-    def result(user, state) -> dict:
-        return {"user_id": user, **{c: state["lists"][c] for c in LIST_SIZES}, "version": state["n"], "last_seq": state["last"]}
+def _one_list(name: str, entry: list[str], sessions: list[list[str]]) -> list[str]:
+    lists = {c: [] for c in LIST_SIZES} | {name: list(entry)}
+    for added in sessions:
+        fold_lists(lists, {c: [] for c in LIST_SIZES} | {name: added})
+    return lists[name]
+
+
+def _segments(rows: DataFrame) -> DataFrame:
+    """A small row for each segment of a user: its sessions, and for each list what it holds after this segment alone and the
+    distinct items in order, null where they are more than the list holds."""
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        out = {"user_id": pdf["user_id"].iloc[0], "seg": pdf["seg"].iloc[0], "n": int(pdf["n"].sum()), "last_seq": int(pdf["last_seq"].iloc[-1])}
+        for name, most in LIST_SIZES.items():
+            sessions = [list(x) for x in pdf[name]]
+            distinct = list(dict.fromkeys(x for added in sessions for x in added))
+            out |= {f"{name}_alone": _one_list(name, [], sessions), f"{name}_distinct": distinct if len(distinct) <= most else None}
+        return pd.DataFrame([out])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ", ".join(f"{c}_alone array<string>, {c}_distinct array<string>" for c in LIST_SIZES)
+    return rows.groupBy("user_id", "seg").applyInPandas(fn, f"user_id string, seg long, n long, last_seq long, {columns}")
+
+
+def after_segment(most: int, entry: list[str], alone: list[str], distinct: list[str] | None, known: dict) -> tuple[list[str], bool]:
+    """What a list holds after a segment, and whether that is certain.
+
+    Nothing is dropped while entry and new items fit the list; then the new items follow the entry. Otherwise a run from that
+    entry says it, or, before there is one, a guess does.
+    """
+    if not entry:
+        return alone, True
+    if distinct is not None:
+        added = [x for x in distinct if x not in entry]
+        if len(entry) + len(added) <= most:
+            return entry + added, True
+    if tuple(entry) in known:
+        return known[tuple(entry)], True
+    return (alone if distinct is None else (entry + added)[-most:]), False
+
+
+def _chained(segments: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Entries of all segments in order: rows with seg for runs that are wanted, rows without seg for what users end with.
+
+    Reads one small row for each segment. The first run wanted for a list starts from its true entry, so each round settles
+    one more segment of it at least.
+    """
+    kept = [f"{c}_{k}" for c in LIST_SIZES for k in ("alone", "distinct")]
+    rows = segments
+    if known is None:
+        rows = rows.withColumn("known", F.array().cast("array<struct<name:string,entry:array<string>,exit:array<string>>>"))
+    else:
+        found = known.groupBy("user_id", "seg").agg(F.collect_list(F.struct("name", "entry", "exit")).alias("known"))
+        rows = rows.join(found, ["user_id", "seg"], "left")
+    ordered = rows.select("user_id", "seg", "n", "last_seq", *kept, "known").repartition("user_id").sortWithinPartitions("user_id", "seg")
+
+    def ends(user, state) -> list[tuple]:
+        return [(user, None, c, state["lists"][c], state["n"], state["last"]) for c in LIST_SIZES]
+
+    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         user, state = None, None
         for pdf in batches:
-            done = []
-            for r in pdf.to_dict("records"):
-                if state is None or r["user_id"] != user:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if state is None or r.user_id != user:
                     if state is not None:
-                        done.append(result(user, state))
-                    user, state = r["user_id"], {"lists": {c: [] for c in LIST_SIZES}, "n": 0, "last": 0}
-                fold_lists(state["lists"], {c: list(r[c]) for c in LIST_SIZES})
-                state["n"] += r["n"]
-                state["last"] = r["last_seq"]
-            if done:
-                yield pd.DataFrame(done)
+                        out += ends(user, state)
+                    user, state = r.user_id, {"lists": {c: [] for c in LIST_SIZES}, "n": 0, "last": 0}
+                runs = {} if r.known is None else {(x["name"], tuple(x["entry"])): list(x["exit"]) for x in r.known}
+                for c, most in LIST_SIZES.items():
+                    entry, distinct = state["lists"][c], getattr(r, f"{c}_distinct")
+                    of_list = {e: x for (name, e), x in runs.items() if name == c}
+                    exit_, sure = after_segment(most, entry, list(getattr(r, f"{c}_alone")), None if distinct is None else list(distinct), of_list)
+                    if not sure:
+                        out.append((user, r.seg, c, entry, 0, 0))
+                    state["lists"][c] = exit_
+                state["n"] += r.n
+                state["last"] = r.last_seq
+            yield pd.DataFrame(out, columns=["user_id", "seg", "name", "entry", "n", "last_seq"]).astype({"seg": "Int64"})
         if state is not None:
-            yield pd.DataFrame([result(user, state)])
+            yield pd.DataFrame(ends(user, state), columns=["user_id", "seg", "name", "entry", "n", "last_seq"]).astype({"seg": "Int64"})
 
-    arrays = ", ".join(f"{c} array<string>" for c in LIST_SIZES)
-    return ordered.mapInPandas(run, f"user_id string, {arrays}, version int, last_seq long")
+    return ordered.mapInPandas(fn, ENTRY + ", n long, last_seq long")
+
+
+def _runs(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(user_id, seg, name, entry, exit): segments folded from the entries wanted, each in a task of its own."""
+
+    def fn(sessions: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        sessions = sessions.sort_values("seq")
+        out = [
+            (r.user_id, r.seg, r.name, list(r.entry), _one_list(r.name, list(r.entry), [list(x) for x in sessions[r.name]]))
+            for r in entries.drop_duplicates(["name"]).itertuples(index=False)
+        ]
+        return pd.DataFrame(out, columns=["user_id", "seg", "name", "entry", "exit"])
+
+    columns = ["user_id", "seg", "seq", *LIST_SIZES]
+    both = rows.select(*columns).groupBy("user_id", "seg").cogroup(wanted.select("user_id", "seg", "name", "entry").groupBy("user_id", "seg"))
+    return both.applyInPandas(fn, ENTRY + ", exit array<string>")
+
+
+def fold_user_memory(items: DataFrame, size: int = SEGMENT) -> DataFrame:
+    """Fold sessions items(user_id STRING, seq, five arrays) into one memory row per user.
+
+    The lists depend on the order of all sessions. A user is cut into segments of at most `size` sessions, which are folded in
+    parallel; a pass over one small row for each segment chains them. Where a segment drops items its end depends on the entry:
+    it is folded again from the entry that the chain found, until all entries are those that were run. Runs of equal sessions
+    are combined first, which is what a very frequent user mostly consists of. The rounds run when this is called.
+    """
+    rows = durable(_without_repeats(items, size).select("user_id", "seg", "seq", "last_seq", "n", *LIST_SIZES))
+    segments = durable(_segments(rows))
+    known = None
+    while True:
+        chained = durable(_chained(segments, known))
+        wanted = chained.filter("seg IS NOT NULL")
+        if wanted.isEmpty():
+            break
+        runs = _runs(rows.join(wanted.select("user_id", "seg").distinct(), ["user_id", "seg"], "left_semi"), wanted)
+        known = durable(runs if known is None else known.unionByName(runs))
+    last = [F.max(F.when(F.col("name") == c, F.col("entry"))).alias(c) for c in LIST_SIZES]
+    ends = chained.filter("seg IS NULL").groupBy("user_id").agg(*last, F.max("n").cast("int").alias("version"), F.max("last_seq").alias("last_seq"))
+    return ends.select("user_id", *LIST_SIZES, "version", "last_seq")
 
 
 def ingest_sessions(turns: DataFrame, frames: DataFrame, sessions: DataFrame) -> DataFrame:

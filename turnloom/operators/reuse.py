@@ -22,66 +22,82 @@ def scope_id(domain: Column, session: Column) -> Column:
 
 
 BLOCK_ROWS = 1000  # rows of a block of a scope
+PACK = "scope string, part long, centre array<double>, radius double, vectors binary, ids binary, at binary, chars binary"
+FOUND = "query_id long, sim double, pos long, match_id long, chars long"
 
 
 def _blocks(rows: DataFrame, ttl_ms: int) -> DataFrame:
-    """Rows numbered in their scope and cut into blocks: at most BLOCK_ROWS rows of one span of ttl_ms."""
+    """Rows numbered in their scope in order of time and cut into blocks of BLOCK_ROWS rows, however many spans these cover."""
     rows = rows.withColumn("span", F.floor(F.col("at") / ttl_ms).cast("long"))
     placed = numbered(rows, ["scope"], ["at", "query_id"], "span").drop("n_rows")
     return placed.withColumn("part", F.floor(F.col("pos") / BLOCK_ROWS).cast("long"))
 
 
 def _block_pairs(placed: DataFrame) -> DataFrame:
-    """For each block the blocks that may hold its usable entries: of its own span up to itself, and of the span before."""
-    blocks = placed.select("scope", "span", "part").distinct()
-    entries = blocks.select("scope", F.col("span").alias("e_span"), F.col("part").alias("e_part"), F.explode(F.array("span", F.col("span") + 1)).alias("span"))
-    return blocks.join(entries, ["scope", "span"]).filter(F.col("e_part") <= F.col("part"))
+    """(scope, part, e_part): for each block those, up to itself, with rows in one of its spans of ttl_ms or the span before."""
+    spans = placed.select("scope", "part", "span").distinct()
+    entries = spans.select("scope", F.col("part").alias("e_part"), F.explode(F.array("span", F.col("span") + 1)).alias("span"))
+    return spans.join(entries, ["scope", "span"]).filter(F.col("e_part") <= F.col("part")).select("scope", "part", "e_part").distinct()
+
+
+def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A block as one row: its vectors, the sphere around them, and what is asked about its rows."""
+    pdf = pdf.sort_values("pos")
+    matrix = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
+    centre = matrix.mean(axis=0)
+    radius = float(np.sqrt(((matrix - centre) ** 2).sum(axis=1)).max())
+    columns = [np.ascontiguousarray(pdf[c].to_numpy(np.int64)).tobytes() for c in ("query_id", "at", "reply_chars")]
+    row = (pdf["scope"].iloc[0], pdf["part"].iloc[0], centre, radius, matrix.tobytes(), *columns)
+    return pd.DataFrame([row], columns=["scope", "part", "centre", "radius", "vectors", "ids", "at", "chars"])
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def _may_reach(threshold: float) -> Column:
+    """Whether two spheres may hold vectors with a product of at least threshold."""
+    norm_p, norm_e = (F.sqrt(_dot(F.col(c), F.col(c))) for c in ("centre", "e_centre"))
+    most = _dot(F.col("centre"), F.col("e_centre")) + norm_p * F.col("e_radius") + norm_e * F.col("radius") + F.col("radius") * F.col("e_radius")
+    return most >= threshold - 1e-9
 
 
 def similar_reply(queries: DataFrame, threshold: float = THRESHOLD, ttl_ms: int = TTL_MS) -> DataFrame:
     """Best earlier entry of the same scope for every query(query_id, scope, at, embedding, reply_chars).
 
-    ``at`` is a time in milliseconds. Every earlier entry at most ``ttl_ms`` old is compared, the earliest
-    of the best wins. An entry that young lies in the query's span of ``ttl_ms`` or the one before; a busy
-    span is cut into blocks, and each pair of blocks is one bounded matrix product. No hits feed back
-    here; see reply_reuse for the live cache.
+    ``at`` is a time in milliseconds. Every earlier entry at most ``ttl_ms`` old is compared, the earliest of the best wins.
+    Rows are packed into blocks of one scope in order of time; a block meets the blocks that may hold entries young enough,
+    unless the spheres around their vectors show that no product can reach the threshold, and each pair that is left is one
+    bounded matrix product. No hits feed back here; see reply_reuse for the live cache.
     """
     placed = _blocks(queries.select("query_id", "scope", "at", "embedding", "reply_chars"), ttl_ms)
-    pairs = _block_pairs(placed)
-    pair = ["scope", "span", "part", "e_span", "e_part"]
-    row = ["pos", "query_id", "at", "embedding", "reply_chars"]
-    asking = placed.join(pairs, ["scope", "span", "part"]).select(*pair, F.lit(True).alias("asks"), *row)
-    held = placed.withColumnsRenamed({"span": "e_span", "part": "e_part"}).join(pairs, ["scope", "e_span", "e_part"])
-    held = held.select(*pair, F.lit(False).alias("asks"), *row)
-
-    def best_of_pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        asks, entries = pdf[pdf["asks"]], pdf[~pdf["asks"]]
-        matrix = np.stack(entries["embedding"].to_numpy()).astype(np.float64)
-        sims = np.round(np.stack(asks["embedding"].to_numpy()).astype(np.float64) @ matrix.T, 12)
-        back = asks["pos"].to_numpy()[:, None] - entries["pos"].to_numpy()[None, :]
-        age = asks["at"].to_numpy()[:, None] - entries["at"].to_numpy()[None, :]
-        sims = np.where((back > 0) & (age <= ttl_ms), sims, -2.0)
-        best = sims.argmax(axis=1)  # the earliest of equals
-        return pd.DataFrame(
-            {
-                "query_id": asks["query_id"].to_numpy(),
-                "sim": sims[np.arange(len(asks)), best],
-                "pos": entries["pos"].to_numpy()[best],
-                "match_id": entries["query_id"].to_numpy()[best],
-                "chars": entries["reply_chars"].to_numpy()[best],
-            }
-        )
-
-    found = asking.unionByName(held).groupBy(*pair).applyInPandas(best_of_pair, "query_id long, sim double, pos long, match_id long, chars long")
+    packs = placed.groupBy("scope", "part").applyInPandas(_pack, PACK)
+    held = packs.select(*(F.col(c).alias(c if c == "scope" else f"e_{c}") for c in packs.columns))
+    both = _block_pairs(placed).join(packs, ["scope", "part"]).join(held, ["scope", "e_part"]).filter(_may_reach(threshold))
+    wanted = ["part", "e_part", "vectors", "ids", "at", "e_vectors", "e_ids", "e_at", "e_chars"]
+
+    def best_of_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                ids, at, e_ids, e_at, e_chars = (np.frombuffer(x, np.int64) for x in (r.ids, r.at, r.e_ids, r.e_at, r.e_chars))
+                entries = np.frombuffer(r.e_vectors).reshape(len(e_ids), -1)
+                sims = np.round(np.frombuffer(r.vectors).reshape(len(ids), -1) @ entries.T, 12)
+                pos, e_pos = r.part * BLOCK_ROWS + np.arange(len(ids)), r.e_part * BLOCK_ROWS + np.arange(len(e_ids))
+                sims[(pos[:, None] <= e_pos) | (at[:, None] - e_at > ttl_ms)] = -np.inf
+                best = sims.argmax(axis=1)  # the earliest of equals
+                top = sims[np.arange(len(ids)), best]
+                hits = np.flatnonzero(top >= threshold)
+                found = best[hits]
+                yield pd.DataFrame({"query_id": ids[hits], "sim": top[hits], "pos": e_pos[found], "match_id": e_ids[found], "chars": e_chars[found]})
+
     best = F.max(F.struct("sim", (-F.col("pos")).alias("back"), "match_id", "chars")).alias("b")
-    rows = found.groupBy("query_id").agg(best).withColumn("hit", F.col("b.sim") >= threshold)
-    return rows.select(
+    hits = both.select(*wanted).mapInPandas(best_of_pairs, FOUND).groupBy("query_id").agg(best)
+    return queries.select("query_id").join(hits, "query_id", "left").select(
         "query_id",
-        "hit",
-        F.when(F.col("hit"), F.col("b.match_id")).alias("match_id"),
-        F.when(F.col("hit"), F.floor(F.col("b.sim") * 1000 + 0.5) / 1000).alias("similarity"),
-        F.when(F.col("hit"), F.floor(F.col("b.chars") / 4 + 0.5)).cast("long").alias("saved_tokens"),
+        F.col("b").isNotNull().alias("hit"),
+        F.col("b.match_id").alias("match_id"),
+        (F.floor(F.col("b.sim") * 1000 + 0.5) / 1000).alias("similarity"),
+        F.floor(F.col("b.chars") / 4 + 0.5).cast("long").alias("saved_tokens"),
     )
 
 
