@@ -3,7 +3,7 @@ from conftest import turns_of
 from pyspark.sql import functions as F
 
 from turnloom.operators.compress import (
-    ALL_KEPT, ALL_PROTECTED, compress, compress_with_summary, fallback_rate, memory_frames, model_summary_input, placed_rows, requests,
+    ALL_KEPT, ALL_PROTECTED, NO_MODEL, compress, compress_with_summary, fallback_rate, memory_frames, model_summary_input, placed_rows, requests,
     segment_heads, turn_rows,
 )
 from turnloom.operators.classify import classify
@@ -72,7 +72,7 @@ def test_invariants(result, turns):
 def test_hard_facts_survive(result):
     summary, texts = result
     joined = " ".join(r.text for r in texts[0]).lower()
-    assert "abc-12345" in joined and "$1,200" in joined and summary[0].kept_reasons[0].startswith("CTX rescued")
+    assert "abc-12345" in joined and "$1,200" in joined and summary[0].kept_reasons[0].startswith("Turns brought back")
 
 
 def test_long_path_equals_short_path(turns):
@@ -107,7 +107,7 @@ def test_model_summary_and_fallback(spark, turns):
     c = compress_with_summary(turns, frames, summaries)
     rows = {r.conv_id: r for r in c.summary.collect()}
     assert rows[0].method == "model" and rows[3].method == "rule" and rows[4].method == "whole"
-    assert rows[3].kept_reasons[0].startswith("Model unavailable")
+    assert rows[3].kept_reasons[0] == NO_MODEL
     head = c.turns.filter("conv_id = 0 AND out_pos = 0").first().text
     assert head.startswith("[CTX Memory] Webhook work. [Key facts: March 5")
     rate = fallback_rate(c.summary).first()

@@ -174,17 +174,19 @@ def recall_queries(spark, path):
 
 _TOKENS = "SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '\\b[a-z][a-z0-9-]{3,}\\b')) AS token FROM benchmark"
 
-
-@query(
-    "recall_top_pages",
-    f"""{_PAGES}, hay AS (SELECT pages2.owner, pages2.path, pages2.updated_at, pages2.tags,
+_RECALL = f"""hay AS (SELECT pages2.owner, pages2.path, pages2.updated_at, pages2.tags,
   lower(pages2.owner || ' ' || pages2.path || ' ' || pages2.title || ' ' || array_to_string(pages2.tags, ' ') || ' ' || b.body) AS hay
   FROM pages2 JOIN (SELECT owner, path, string_agg(markdown, chr(10)) AS body FROM sec GROUP BY ALL) b ON b.owner = pages2.owner AND b.path = pages2.path),
 q AS ({_TOKENS}), hit AS (SELECT q.query_id, h.owner, h.path, count(*) AS n FROM q JOIN hay h ON contains(h.hay, q.token) GROUP BY ALL),
 sc AS (SELECT b.item_id AS query_id, h.owner, h.path, h.updated_at, coalesce(hit.n, 0) + 3 * len(list_filter(h.tags, lambda t: contains(lower(b.text), lower(t)))) AS score
   FROM benchmark b CROSS JOIN hay h LEFT JOIN hit ON hit.query_id = b.item_id AND hit.owner = h.owner AND hit.path = h.path),
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, updated_at DESC, owner, path) AS rank FROM sc WHERE score > 0)
-SELECT query_id, rank, owner, path, CAST(score AS BIGINT) AS score FROM rk WHERE rank <= 4""",
+SELECT query_id, rank, owner, path, CAST(score AS BIGINT) AS score FROM rk WHERE rank <= 4"""
+
+
+@query(
+    "recall_top_pages",
+    f"{_PAGES}, {_RECALL}",
 )
 def recall_top_pages(spark, path):
     return rank.recall(recall_queries(spark, path), rank.write_index(sections(spark, path)))
@@ -293,6 +295,20 @@ def remembered_sections(spark, path):
     return op.remember(sources(spark, path)).select("owner", "path", "title", "seq", F.col("ord").cast("long").alias("ord"), F.md5("markdown").alias("markdown_md5"))
 
 
+@query(
+    "recall_remembered",
+    f"""WITH {_REMEMBERED}
+sec AS (SELECT owner, 'overview.md' AS path, 'Overview' AS title, seq, 0 AS ord, source_id, added_at, ['memory', domain, intent] AS tags,
+    array_to_string(['# Overview', '', 'Latest source: ' || title, '', '## Current synthesis', summary, '', '## Source trail', array_to_string(trail, chr(10))], chr(10)) AS markdown FROM m
+  UNION ALL SELECT m.owner, 'concepts/' || {_SLUG.format('c4.concept')} || '.md', c4.concept, m.seq, c4.rn, m.source_id, m.added_at, ['memory', m.domain, m.intent],
+    array_to_string(['# ' || c4.concept, '', '## Notes', m.summary, '', 'Sources: ' || m.source_id], chr(10)) FROM m JOIN c4 ON c4.owner = m.owner AND c4.seq = m.seq WHERE c4.rn <= 5),
+{_PAGES[_PAGES.index("tg AS ("):]}, {_RECALL}""",
+)
+def recall_remembered(spark, path):
+    """What queries recall from the namespaces that sources were remembered in."""
+    return rank.recall(recall_queries(spark, path), rank.write_index(op.remember(sources(spark, path))))
+
+
 @query(
     "generated_sections",
     f"""WITH s AS ({SOURCES_SQL}) SELECT owner, seq, 'notes/p-' || (seq % 9) || '.md' AS path, 'P ' || (seq % 9) AS title, md5({_TRIM.format("content")}) AS markdown_md5

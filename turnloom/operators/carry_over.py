@@ -10,6 +10,7 @@ from turnloom.operators.compress import memory_frames
 from turnloom.operators.memory import page_heads, page_sections, source_id
 from turnloom.operators.profiles import frame_to_source
 from turnloom.operators.recall import context_block, rank_pages, write_index
+from turnloom.session import durable
 
 
 def frame_sources(memory: DataFrame, owner: str = "conv_id", seq=None, added_at=None) -> DataFrame:
@@ -38,9 +39,10 @@ def frame_sources(memory: DataFrame, owner: str = "conv_id", seq=None, added_at=
 def carry_over(first: DataFrame, second: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
     """(query_id, context): what second(query_id, owner, text) recalls from the sessions in ``first``.
 
-    The pages of the first sessions are written as an index, which is all that the second sessions read.
+    The sources are written first, as each is read several times and is a long expression, and their pages as an index, which
+    is all that the second sessions read.
     """
-    index = write_index(page_sections(frame_sources(memory_frames(first, vocab=vocab))))
+    index = write_index(page_sections(durable(frame_sources(memory_frames(first, vocab=vocab)))))
     return context_block(rank_pages(second, index), page_heads(index.sections), second, "LLM Wiki context:", "", with_owner=False)
 
 

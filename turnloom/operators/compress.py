@@ -672,7 +672,7 @@ def compress_with_summary(
     reduction = 1 - est_tokens(_chars(F.col("short"))) / F.greatest(F.lit(1), original)
     limit = F.when(high_context, F.lit(0.5)).otherwise(F.lit(0.8))
     work = work.withColumn("compressed", F.when(reduction > limit, F.col("long")).otherwise(F.col("short")))
-    memory = memory_frames(turns, frames, vocab, size=size)
+    memory = memory_frames(turns.join(modelled.select("conv_id"), "conv_id", "left_semi"), frames, vocab, size=size)
     compressed = est_tokens(_chars(F.col("compressed")))
     measured = work.select(
         "conv_id",

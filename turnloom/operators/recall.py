@@ -13,7 +13,7 @@ set of hot terms, not for each query. The result is the same as that of scoring
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +22,7 @@ from turnloom.functions.text import tokenize
 from turnloom.operators.memory import index_head, merge_pages, page_heads
 from turnloom.plans.containment import GRAM, positions, texts_containing, words_of
 from turnloom.plans.segments import top_per_group
-from turnloom.session import checkpoint_dir
+from turnloom.session import checkpoint_dir, durable
 
 HOT = 4096  # pages
 BODY_MOST = 5
@@ -150,19 +150,22 @@ def _ranked(index: MemoryIndex, asked: DataFrame, places: Places, k: int, order:
         scores = scored(_meets(found.join(asked, unit)).select(*hit_columns))
         return first(with_fill(scores), ["query_id"]).select("query_id", "rank", "owner", "path", "score")
 
-    asked = asked.join(stats, unit)
+    # from here on what was asked and found is used several times, so it is written
+    if places.words is not None:
+        found, stats = _found(index, replace(places, words=durable(places.words)))
+    asked = durable(asked.join(stats, unit))
     hot, rare = asked.filter(F.col("pages") > index.hot), asked.filter(F.col("pages") <= index.hot)
-    rare_hits = _meets(found.join(rare, unit)).select(*hit_columns)
+    rare_hits = durable(_meets(found.join(rare, unit)).select(*hit_columns))
     candidates = rare_hits.select(*page).distinct()
     hot_hits = candidates.join(hot.select("query_id", *unit, "weight"), "query_id").join(found, ["owner", "path", *unit]).select(*hit_columns)
-    exact = scored(rare_hits.unionByName(hot_hits))
+    exact = durable(scored(rare_hits.unionByName(hot_hits)))
     last = first(exact, ["query_id"]).filter(F.col("rank") == k).select("query_id", F.col("score").alias("last"))
     bound = hot.withColumn("n", F.col("most")).groupBy("query_id", "q_owner").agg(
         _score(most_body).alias("bound"), F.sort_array(F.collect_set(F.struct(*unit, "weight"))).alias("set")
     )
     # a page with only hot terms may tie with the last candidate and be newer
     in_doubt = bound.join(last, "query_id", "left").filter(F.col("last").isNull() | (F.col("bound") >= F.col("last")))
-    in_doubt = in_doubt.withColumn("set_id", F.sha2(F.to_json(F.struct("q_owner", "set")), 256))
+    in_doubt = durable(in_doubt.withColumn("set_id", F.sha2(F.to_json(F.struct("q_owner", "set")), 256)))
     sets = in_doubt.select("set_id", "q_owner", "set").dropDuplicates(["set_id"]).select("set_id", "q_owner", F.explode("set").alias("s"))
     sets = sets.select(F.col("set_id").alias("query_id"), "q_owner", "s.part", "s.unit", "s.weight")
     best_of_set = first(scored(_meets(found.join(sets, unit)).select(*hit_columns)), ["query_id"])
