@@ -226,6 +226,21 @@ def test_language_model_without_training_rows(spark):
     assert hmm.score_texts(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_language_model_does_not_depend_on_the_layout(spark):
+    texts = made_texts(n=700)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, "again"), (3, "again"), (None, "no id")]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    some, many = (hmm.score_texts(plain.repartition(n, "text")).collect() for n in (2, 7))
+
+    def ordered(got):
+        return sorted(((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.score) for r in got), key=lambda r: (*r[:3], round(r[3], 3)))
+
+    for a, b in zip(ordered(some), ordered(many), strict=True):
+        assert a[:3] == b[:3] and math.isclose(a[3], b[3], rel_tol=1e-4, abs_tol=1e-4)
+    drawn = sorted(hmm.place_of(i) for i, _ in rows if hmm.remainder_of(i, 7) != 2)[: hmm.WARM]
+    assert len(drawn) == hmm.WARM and drawn[0] < drawn[-1]
+
+
 def naive_forward(model, codes):
     alpha = model.start * model.emit[codes[0]]
     for c in codes[1:]:

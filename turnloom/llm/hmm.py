@@ -21,6 +21,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ FREQUENT = 4_096
 HASHED = 4_096
 STATES = 8
 ROUNDS = 3  # over all training texts
-WARM_ROUNDS = 12  # over the beginnings of at most WARM texts of two chunks, which the first model comes from
+WARM_ROUNDS = 12  # over the first pieces of WARM training texts drawn by the hash of their ids, which the first model comes from
 WARM = 400
 PIECE = 1_024
 CHUNK = 16 << 20  # bytes of text in a chunk
@@ -273,14 +274,37 @@ def first_model(texts: list[np.ndarray], share: np.ndarray, states: int = STATES
     return model
 
 
+def _least_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """First pieces of a task's WARM training texts whose ids have the least hash."""
+    least: list[tuple[int, bytes]] = []
+    for batch in batches:
+        for keys, sizes, training, coded in zip(*(batch.column(c) for c in range(4)), strict=True):
+            codes, starts, lengths, heads = _pieces_of(sizes.as_py(), training.as_py(), coded.as_py())
+            ids = [key for key, learned in zip(keys.as_py(), unpack(training.as_py()), strict=True) if learned]
+            first = zip(ids, starts[heads], lengths[heads], strict=True)
+            least += [(place_of(key), codes[s : s + n].tobytes()) for key, s, n in first]
+            least = sorted(least)[:WARM]
+    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in least], pa.int64()), pa.array([c for _, c in least], pa.binary())], names=["place", "codes"])
+
+
+def place_of(doc_id: int | None) -> int:
+    """Where an id stands in the draw of the first texts; nothing but the id decides it."""
+    return xxhash.xxh64_intdigest(b"" if doc_id is None else str(doc_id).encode(), seed=WARM) >> 1
+
+
+def first_texts(coded: DataFrame) -> list[np.ndarray]:
+    """First pieces of the WARM training texts of the whole table whose ids have the least hash, ties by their codes.
+
+    The draw depends on the rows alone, not on files, chunks or tasks. At most WARM pieces leave a task.
+    """
+    drawn = coded.select("ids", "lengths", "training", "codes").mapInArrow(_least_texts, "place long, codes binary")
+    return [np.frombuffer(r["codes"], np.uint16) for r in drawn.orderBy("place", "codes").limit(WARM).collect()]
+
+
 def learn(coded: DataFrame, share: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Model:
     """Baum-Welch over the stored chunks. Each round sums a row of bounded size per class over the partitions."""
     training = coded.select("lengths", "training", "codes")
-    texts: list[np.ndarray] = []
-    picked = [r["chunk"] for r in coded.select("chunk").orderBy(F.xxhash64("chunk"), "chunk").limit(2).collect()]
-    for row in coded.filter(F.col("chunk").isin(picked)).orderBy("chunk").select("lengths", "training", "codes").collect():
-        codes, starts, lengths, heads = _pieces_of(row["lengths"], row["training"], row["codes"])
-        texts += [codes[s : s + n] for s, n, h in zip(starts, lengths, heads, strict=True) if h][: WARM // 2]
+    texts = first_texts(coded)
     model = first_model(texts, share, states)
     names = [f"s{s}" for s in range(states)]
     for _ in range(rounds):
