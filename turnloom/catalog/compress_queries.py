@@ -81,7 +81,7 @@ def placed(spark, path):
 
 @query("turn_relevance", f"{SCORES} SELECT conv_id, turn, domain, CAST(relevance AS BIGINT) AS relevance FROM sc")
 def turn_relevance(spark, path):
-    score = F.col("base_score") + 3 * contained_count(F.col("facts"), F.col("low"))
+    score = F.expr("base_score + 3 * " + contained_count("facts", "low"))
     return placed(spark, path).select("conv_id", "turn", "domain", score.cast("long").alias("relevance"))
 
 
@@ -94,7 +94,7 @@ SELECT conv_id, pos, role, rk AS rank FROM k WHERE s >= 2.5 OR NOT any_ok""",
 )
 def focus_turns(spark, path):
     rows = placed(spark, path)
-    score = op.focus_score(F.col("base_score"), F.col("facts"), F.col("low"), F.col("role"), F.col("pos"), F.col("n"))
+    score = F.expr(op.focus_score("base_score", "facts", "low", "role", "pos"))
     ranked = rows.select("conv_id", "pos", "role", "text", op.best_first(score, op.FOCUS_SCORE).alias("rank_score"))
     best = op.top_focus(ranked, 3)
     some = best.groupBy("conv_id").agg(F.bool_or(F.col("rank_score").isNotNull()).alias("some"))
@@ -109,7 +109,7 @@ SELECT conv_id, pos, rk AS rank FROM (SELECT *, row_number() OVER (PARTITION BY
 )
 def anchor_turns(spark, path):
     rows = placed(spark, path)
-    score = op.anchor_score(F.col("base_score"), F.col("facts"), F.col("low"), F.col("pos"), F.col("n"))
+    score = F.expr(op.anchor_score("base_score", "facts", "low", "pos"))
     ranked = rows.select("conv_id", "pos", "role", "text", op.best_first(score, op.ANCHOR_SCORE).alias("rank_score"))
     return op.top_focus(ranked.filter(F.col("rank_score").isNotNull()), 2).select("conv_id", "pos", "rank")
 

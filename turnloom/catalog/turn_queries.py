@@ -140,8 +140,8 @@ SELECT doc_id, md5(string_agg(w, ' ' ORDER BY i)) AS words_md5, count(*) AS n_wo
 """,
 )
 def ordered_distinct_words(spark, path):
-    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
-    listed = documents(spark, path).select("doc_id", ordered_distinct(words).alias("l")).filter(F.size("l") > 0)
+    words = "regexp_extract_all(text, '[A-Za-z]+', 0)"
+    listed = documents(spark, path).select("doc_id", F.expr(ordered_distinct(words)).alias("l")).filter(F.size("l") > 0)
     return listed.select("doc_id", F.md5(F.array_join("l", " ")).alias("words_md5"), F.size("l").cast("long").alias("n_words"))
 
 

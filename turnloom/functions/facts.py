@@ -1,4 +1,4 @@
-"""Fact, constraint and open-question extraction over one text. Arguments are SQL text, results columns."""
+"""Fact, constraint and open-question extraction over one text. Arguments are SQL text; what says so returns SQL text, the rest columns."""
 
 from __future__ import annotations
 
@@ -18,12 +18,11 @@ from turnloom.functions.vocab import (
 )
 
 
-def ordered_distinct(items: Column) -> Column:
+def ordered_distinct(items: str) -> str:
     """Trimmed, unquoted, 2 to 160 characters, first occurrence per lower-cased value."""
-    from turnloom.functions.text import ws_trim as trimmed
-
-    bare = F.transform(items, lambda x: F.regexp_replace(trimmed(x), r"\A['\"]|['\"]\z", ""))
-    return distinct_by_lower(F.filter(bare, lambda x: F.length(x).between(2, 160)))
+    quotes = q(r"\A['\"]|['\"]\z")
+    bare = f"transform({items}, x -> regexp_replace({ws_trim('x')}, {quotes}, ''))"
+    return distinct_by_lower(f"filter({bare}, x -> length(x) BETWEEN 2 AND 160)")
 
 
 def _code_blocks(text: str) -> str:
@@ -40,7 +39,7 @@ def _collect(text: str, patterns) -> str:
 def extract_facts(text: str, domain: str, vocab: Vocabulary = DEFAULT) -> Column:
     """Facts in collection order: the domain's patterns one after the other, then the common ones."""
     own = by_domain(domain, {d: _collect(text, p) for d, p in vocab.fact_patterns.items()}, NO_STRINGS)
-    return ordered_distinct(F.expr(strings([own, _collect(text, vocab.common_facts)])))
+    return F.expr(ordered_distinct(strings([own, _collect(text, vocab.common_facts)])))
 
 
 def fact_importance(fact: str, domain: str) -> str:
@@ -57,8 +56,8 @@ def rank_facts(facts: str, domain: str, n: int) -> Column:
 
 def infer_constraints(text: str, domain: str, limit: int = 4) -> Column:
     own = by_domain(domain, {d: find_all(text, p) for d, p in DOMAIN_CONSTRAINTS.items()}, NO_STRINGS)
-    found = F.expr(strings([_collect(text, CONSTRAINT_PATTERNS), own]))
-    return F.slice(ordered_distinct(found), 1, limit)
+    found = strings([_collect(text, CONSTRAINT_PATTERNS), own])
+    return F.expr(f"slice({ordered_distinct(found)}, 1, {limit})")
 
 
 def infer_unresolved(text: str, domain: str, intent: str, limit: int = 4) -> Column:
@@ -72,7 +71,7 @@ def infer_unresolved(text: str, domain: str, intent: str, limit: int = 4) -> Col
         return f"IF({ok}, {found}, {NO_STRINGS})"
 
     branches = {d: guarded(d, g, p) for d, (g, p) in UNRESOLVED_PATTERNS.items()}
-    return F.slice(ordered_distinct(F.expr(by_domain(domain, branches, NO_STRINGS))), 1, limit)
+    return F.expr(f"slice({ordered_distinct(by_domain(domain, branches, NO_STRINGS))}, 1, {limit})")
 
 
 def user_goal(latest: Column, domain: Column, intent: Column) -> Column:
@@ -99,21 +98,18 @@ def entity_budget(domain: Column, intent: Column) -> Column:
     )
 
 
-def contained_count(facts: Column, low_text: Column) -> Column:
+def contained_count(facts: str, low_text: str) -> str:
     """How many facts (already lower-cased) of at least three characters occur in the text."""
-    return F.size(F.filter(facts, lambda f: (F.length(f) >= 3) & low_text.contains(f)))
+    return f"size(filter({facts}, f -> length(f) >= 3 AND contains({low_text}, f)))"
 
 
-def missing_from(facts: Column, low_text: Column) -> Column:
+def missing_from(facts: str, low_text: str) -> str:
     """Facts whose lower-cased form does not occur in the text."""
-    return F.filter(facts, lambda f: ~low_text.contains(F.lower(f)))
+    return f"transform(array({low_text}), t -> filter({facts}, f -> NOT contains(t, lower(f))))[0]"
 
 
-def drop_subsumed(facts: Column, limit: int = 12) -> Column:
+def drop_subsumed(facts: str, limit: int = 12) -> str:
     """Drop a fact when an earlier kept, different fact contains it; order matters."""
-
-    def step(kept: Column, f: Column) -> Column:
-        covered = F.exists(kept, lambda o: F.lower(o).contains(F.lower(f)) & (o != f))
-        return F.when(covered, kept).otherwise(F.concat(kept, F.array(f)))
-
-    return F.slice(F.aggregate(facts, F.array().cast("array<string>"), step), 1, limit)
+    covered = "exists(kept, o -> contains(lower(o), lower(f)) AND o <> f)"
+    step = f"IF({covered}, kept, concat(kept, array(f)))"
+    return f"slice(aggregate({facts}, {NO_STRINGS}, (kept, f) -> {step}), 1, {limit})"

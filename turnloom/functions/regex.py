@@ -102,16 +102,17 @@ class PhraseScan:
 
     def __init__(self, phrases):
         self.phrases = sorted(set(phrases))
-        # constant arrays are written as folded text: two plan nodes instead of hundreds
-        self._index = F.split(F.lit("\n".join(self.phrases)), "\n")
 
-    def hits(self, low: Column) -> Column:
-        """1-based phrase numbers found in the text, without repeats."""
+    def hits(self, low: str) -> str:
+        """1-based phrase numbers found in the text, without repeats, as SQL text."""
+        from turnloom.functions.sqltext import q, string_array
+
         if not self.phrases:
-            return F.array().cast("array<bigint>")
+            return "CAST(array() AS ARRAY<BIGINT>)"
         pattern = f"{_START}(?=({_word_trie(self.phrases, _END)}))"
-        found = F.array_distinct(F.regexp_extract_all(low, F.lit(pattern), F.lit(1)))
-        return F.transform(found, lambda h: F.array_position(self._index, h))
+        found = f"array_distinct(regexp_extract_all({low}, {q(pattern)}, 1))"
+        # constant arrays are written as folded text: two plan nodes instead of hundreds
+        return f"transform({found}, h -> array_position({string_array(self.phrases)}, h))"
 
     def _met_by(self, phrase: str, wanted) -> bool:
         def continues(w: str) -> bool:
@@ -120,15 +121,13 @@ class PhraseScan:
 
         return any(continues(w) for w in wanted)
 
-    def rule_bits(self, hits: Column, rules: list[tuple[int, "Rule"]]) -> Column:
+    def rule_bits(self, hits: str, rules: list[tuple[int, "Rule"]]) -> str:
         """OR over the found phrases of the bits of the rules each one meets."""
         masks = [sum(1 << bit for bit, rule in rules if self._met_by(p, rule.phrases)) for p in self.phrases]
         if not any(masks):
-            return F.lit(0).cast("long")
-        table = F.split(F.lit(",".join(map(str, masks))), ",").cast("array<bigint>")
-        return F.aggregate(
-            hits, F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(F.element_at(table, i.cast("int")))
-        )
+            return "0L"
+        table = f"CAST(split('{','.join(map(str, masks))}', ',') AS ARRAY<BIGINT>)"
+        return f"aggregate({hits}, 0L, (acc, i) -> acc | element_at({table}, CAST(i AS INT)))"
 
 
 def _literal_forms(fragment: str) -> list[str] | None:

@@ -141,16 +141,9 @@ def cosine(a: Column, b: Column) -> Column:
     )
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it in ``body``; inside a lambda a plain expression would run per element."""
-    return F.transform(F.array(value), body)[0]
-
-
-def distinct_by_lower(items: Column) -> Column:
-    """First occurrence per lower-cased value, in order; one sort, no pairwise comparison."""
-    keyed = F.array_sort(
-        F.transform(items, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("v")))
-    )
-    first = let(keyed, lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["k"] != x["k"])))
-    ordered = F.array_sort(F.transform(first, lambda x: F.struct(x["i"].alias("i"), x["v"].alias("v"))))
-    return F.transform(ordered, lambda x: x["v"])
+def distinct_by_lower(items: str) -> str:
+    """First occurrence per lower-cased value, in order, as SQL text; one sort, no pairwise comparison."""
+    keyed = f"array_sort(transform({items}, (x, i) -> struct(lower(x) AS k, i AS i, x AS v)))"
+    # a lambda over a one-element array evaluates the sorted list once
+    first = f"transform(array({keyed}), s -> filter(s, (x, i) -> i = 0 OR get(s, i - 1).k <> x.k))[0]"
+    return f"transform(array_sort(transform({first}, x -> struct(x.i AS i, x.v AS v))), x -> x.v)"

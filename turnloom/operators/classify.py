@@ -117,28 +117,24 @@ def lift(rows: DataFrame, layout: Layout) -> DataFrame:
 
 def lift_arrays(rows: DataFrame, layout: Layout, feats: str = "feats") -> DataFrame:
     """The same columns for the last turn of a bounded, ordered array of packed features."""
-    zero = F.lit(0).cast("long")
-    size = F.size(feats)
+    size = f"size({feats})"
 
-    def ored(items: Column, slot: int) -> Column:
-        return F.aggregate(items, zero, lambda a, x: a.bitwiseOR(x[slot]))
+    def ored(items: str, slot: int) -> Column:
+        return F.expr(f"aggregate({items}, 0L, (a, x) -> a | x[{slot}])")
 
     def summed(slot: int) -> Column:
-        return F.aggregate(feats, zero, lambda a, x: a + x[slot])
+        return F.expr(f"aggregate({feats}, 0L, (a, x) -> a + x[{slot}])")
 
-    def previous(n: int | None) -> Column:
-        start = F.lit(1) if n is None else F.greatest(F.lit(1), size - n)
-        return F.slice(feats, start, size - start)
+    def previous(n: int | None) -> str:
+        start = "1" if n is None else f"greatest(1, {size} - {n})"
+        return f"slice({feats}, {start}, {size} - {start})"
 
     return rows.withColumns(
         {
             "feat": F.element_at(feats, -1),
-            "pos": (size - 1).cast("long"),
+            "pos": F.expr(f"CAST({size} - 1 AS BIGINT)"),
             "hist_bits": ored(previous(None), layout.CONTEXT),
-            **{
-                f"slot{i}": ored(F.col(feats), i)
-                for i in [layout.CONTEXT, *range(layout.plugin_slot, layout.score_slot)]
-            },
+            **{f"slot{i}": ored(feats, i) for i in [layout.CONTEXT, *range(layout.plugin_slot, layout.score_slot)]},
             **{f"slot{i}": summed(i) for i in range(layout.score_slot, layout.size)},
             **{f"before{n}": ored(previous(n), layout.NEAR) for n in LOOKBACKS},
         }

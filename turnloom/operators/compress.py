@@ -19,15 +19,15 @@ from turnloom.functions.facts import (
     contained_count,
     entity_budget,
     extract_facts,
-    high_value,
     infer_constraints,
     infer_unresolved,
     missing_from,
     rank_facts,
     user_goal,
 )
+from turnloom.functions.sqltext import NO_STRINGS, by_domain, q
 from turnloom.functions.text import compact_sentence, est_tokens, saved_tokens
-from turnloom.functions.vocab import DEFAULT, DOMAIN_LEADS, LABEL, OTHER_DOMAIN_LEAD, Vocabulary
+from turnloom.functions.vocab import DEFAULT, DOMAIN_LEADS, HIGH_VALUE_DOMAINS, LABEL, OTHER_DOMAIN_LEAD, Vocabulary
 from turnloom.operators.classify import (
     classify,
     label_frames,
@@ -49,6 +49,7 @@ ANCHOR_SCORE = 4
 ANCHORS = 2
 RESCUES = 2
 USER_BONUS = 0.75
+WHOLE = f"(n <= {KEEP_WHOLE} OR protected)"  # conversations that are passed on unchanged
 MESSAGES = "array<struct<pos:bigint,role:string,text:string>>"
 
 # why turns were kept; queries and their SQL take the wording from here
@@ -69,8 +70,8 @@ class Compression:
     summary: DataFrame
 
 
-def lower_set(items: Column) -> Column:
-    return F.array_distinct(F.transform(items, lambda x: F.lower(x)))
+def lower_set(items: str) -> str:
+    return f"array_distinct(transform({items}, x -> lower(x)))"
 
 
 def requests(turns: DataFrame, frames: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
@@ -95,7 +96,9 @@ def requests(turns: DataFrame, frames: DataFrame, vocab: Vocabulary = DEFAULT) -
 def with_latest_facts(rows: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
     """The best facts of the current text, lower-cased."""
     rows = rows.withColumn("latest_found", extract_facts("latest_text", "domain", vocab))
-    return rows.withColumn("latest_facts", lower_set(rank_facts("latest_found", "domain", 8))).drop("latest_found")
+    return rows.withColumn("latest_best", rank_facts("latest_found", "domain", 8)).select(
+        "*", F.expr(lower_set("latest_best")).alias("latest_facts")
+    ).drop("latest_found", "latest_best")
 
 
 def turn_rows(turns: DataFrame, size: int = SEGMENT) -> DataFrame:
@@ -127,21 +130,26 @@ def placed_rows(rows: DataFrame, seg_heads: DataFrame) -> DataFrame:
     )
 
 
-def focus_limit(domain: Column) -> Column:
-    return F.when(high_value(domain), F.lit(8)).otherwise(F.lit(6))
+def focus_limit(domain: str = "domain") -> str:
+    return f"IF({_high(domain)}, 8, 6)"
 
 
-def recent_count(domain: Column) -> Column:
-    return F.when(high_value(domain), F.lit(4)).otherwise(F.lit(2))
+def recent_count(domain: str = "domain") -> str:
+    return f"IF({_high(domain)}, 4, 2)"
 
 
-def focus_score(base: Column, facts: Column, low: Column, role: Column, pos: Column, n: Column) -> Column:
-    bonus = F.when(role == "user", F.lit(USER_BONUS)).otherwise(F.lit(0.0))
-    return (base + 3 * contained_count(facts, low)) + bonus + pos / F.greatest(F.lit(1), n)
+def _high(domain: str) -> str:
+    return f"{domain} IN ({', '.join(map(q, HIGH_VALUE_DOMAINS))})"
 
 
-def anchor_score(base: Column, facts: Column, low: Column, pos: Column, n: Column) -> Column:
-    return (base + 3 * contained_count(facts, low)) + pos / F.greatest(F.lit(1), n)
+def focus_score(base: str, facts: str, low: str, role: str, pos: str) -> str:
+    """Relevance with known facts, a bonus for the user's turns and up to a point for late ones; n is the row's."""
+    bonus = f"IF({role} = 'user', {USER_BONUS}D, 0.0D)"
+    return f"({base} + 3 * {contained_count(facts, low)} + {bonus} + {pos} / greatest(1, n))"
+
+
+def anchor_score(base: str, facts: str, low: str, pos: str) -> str:
+    return f"({base} + 3 * {contained_count(facts, low)} + {pos} / greatest(1, n))"
 
 
 def best_first(score: Column, threshold: float) -> Column:
@@ -155,48 +163,37 @@ def top_focus(scored: DataFrame, limit: int) -> DataFrame:
     return top_per_group(scored, ["conv_id"], order, limit)
 
 
-def messages_of(items: Column) -> Column:
+def messages_of(items: str) -> str:
     """Items as (pos, role, text), in turn order."""
-    return F.array_sort(
-        F.transform(items, lambda r: F.struct(r["pos"].alias("pos"), r["role"].alias("role"), r["text"].alias("text")))
-    )
+    return f"array_sort(transform({items}, r -> struct(r.pos AS pos, r.role AS role, r.text AS text)))"
 
 
-def chosen(best: Column, limit: Column) -> Column:
+def chosen(best: str, limit: str) -> str:
     """Turn order list of the chosen turns from a best-first list of (pos, role, text, ok)."""
-    within = F.slice(best, F.lit(1), limit)
-    good = F.filter(within, lambda r: r["ok"])
-    return F.when(F.size(good) > 0, unique_messages(messages_of(good))).otherwise(messages_of(within))
-
+    good = f"filter(slice({best}, 1, {limit}), r -> r.ok)"
+    return f"IF(size({good}) > 0, {unique_messages(messages_of(good))}, {messages_of(f'slice({best}, 1, {limit})')})"
 
-def ranked_messages(scored: Column, score, threshold: float, only_ok: bool = False) -> Column:
-    """Best-first list of (pos, role, text, ok) from scored messages; ``score(m)`` gives the score."""
 
-    def entry(m: Column) -> Column:
-        value = score(m)
-        ok = value >= threshold
-        return F.struct(
-            F.when(ok, F.lit(0)).otherwise(F.lit(1)).alias("below"),
-            F.when(ok, -value).otherwise(F.lit(0.0)).alias("neg_score"),
-            (-m["pos"]).alias("neg_pos"),
-            m["pos"].alias("pos"),
-            m["role"].alias("role"),
-            m["text"].alias("text"),
-            ok.alias("ok"),
-        )
-
-    entries = F.array_sort(F.transform(scored, entry))
-    return F.filter(entries, lambda e: e["ok"]) if only_ok else entries
+def ranked_messages(scored: str, score: str, threshold: float, only_ok: bool = False) -> str:
+    """Best-first list of (pos, role, text, ok) from scored messages; ``score`` is the score of a message m."""
+    valued = f"transform({scored}, m -> struct({score} AS v, m.pos AS pos, m.role AS role, m.text AS text))"
+    ok = f"m.v >= {threshold}D"
+    entry = (
+        f"struct(IF({ok}, 0, 1) AS below, IF({ok}, -m.v, 0.0D) AS neg_score, -m.pos AS neg_pos, m.pos AS pos, "
+        f"m.role AS role, m.text AS text, {ok} AS ok)"
+    )
+    entries = f"array_sort(transform({valued}, m -> {entry}))"
+    return f"filter({entries}, m -> m.ok)" if only_ok else entries
 
 
-def recent_tail(focus: Column, count: Column) -> Column:
-    return F.slice(focus, F.greatest(F.lit(1), F.size(focus) - count + 1), count)
+def recent_tail(focus: str, count: str) -> str:
+    return f"slice({focus}, greatest(1, size({focus}) - {count} + 1), {count})"
 
 
-def free_anchors(ranked: Column, recent: Column) -> Column:
+def free_anchors(ranked: str, recent: str) -> str:
     """The two best anchor candidates that are not among the recent turns, in turn order."""
-    taken = _kept_positions(recent)
-    return unique_messages(messages_of(F.slice(F.filter(ranked, lambda m: ~F.array_contains(taken, m["pos"])), 1, ANCHORS)))
+    free = f"filter({ranked}, m -> NOT array_contains({_positions(recent)}, m.pos))"
+    return unique_messages(messages_of(f"slice({free}, 1, {ANCHORS})"))
 
 
 def with_memory(rows: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
@@ -216,12 +213,12 @@ def with_memory(rows: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
 
 
 def with_fact_sets(rows: DataFrame) -> DataFrame:
-    rows = rows.withColumn("memory_facts", lower_set(F.concat("entities", "constraints", "unresolved")))
+    rows = rows.withColumn("memory_facts", F.expr(lower_set("concat(entities, constraints, unresolved)")))
     return rows.withColumn("all_facts", F.array_union("latest_facts", "memory_facts"))
 
 
 def is_whole() -> Column:
-    return (F.col("n") <= KEEP_WHOLE) | F.col("protected")
+    return F.expr(WHOLE)
 
 
 # --- conversations of one segment: one row each --------------------------------------------------
@@ -252,9 +249,9 @@ def conversation_rows(turns: DataFrame, layout: Layout, size: int = SEGMENT, lon
         F.max(F.when(F.col("role") == "user", F.col("turn"))).alias("current_turn"),
     )
     request = grouped.filter(F.col("current_turn").isNotNull()).select(
-        "conv_id", "current_turn", F.filter("all", lambda m: m["turn"] <= F.col("current_turn")).alias("msgs")
+        "conv_id", "current_turn", F.expr("filter(`all`, m -> m.turn <= current_turn)").alias("msgs")
     )
-    return request.withColumn("feats", F.transform("msgs", lambda m: m["feat"]))
+    return request.withColumn("feats", F.expr("transform(msgs, m -> m.feat)"))
 
 
 FRAME_COLUMNS = ("intent", "state", "domain", "risk")
@@ -285,60 +282,43 @@ def short_requests(
 def short_memory(rows: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
     """Score the turns of each row, choose the focus turns, and derive the memory frame from them."""
     rows = rows.withColumn("scored", F.expr(scored_messages("msgs", "domain", vocab)))
-    n = F.col("n")
-    best = ranked_messages(
-        F.col("scored"),
-        lambda m: focus_score(m["base"], F.col("latest_facts"), m["low"], m["role"], m["pos"], n),
-        FOCUS_SCORE,
-    )
-    rows = rows.withColumn("best", F.slice(best, 1, 8))
-    texts = F.transform(chosen(F.col("best"), focus_limit(F.col("domain"))), lambda m: m["text"])
-    fact_text = F.concat("latest_text", F.lit("\n"), F.array_join(texts, "\n"))
-    return with_memory(rows.withColumn("fact_text", fact_text).drop("best"), vocab)
+    best = ranked_messages("scored", focus_score("m.base", "latest_facts", "m.low", "m.role", "m.pos"), FOCUS_SCORE)
+    rows = rows.withColumn("best", F.expr(f"slice({best}, 1, 8)"))
+    return with_memory(rows.withColumn("fact_text", F.expr(_fact_text())).drop("best"), vocab)
+
+
+def _fact_text() -> str:
+    """The current text and the focus turns of the best-first list ``best``."""
+    texts = f"transform({chosen('best', focus_limit())}, m -> m.text)"
+    return f"concat(latest_text, {q(chr(10))}, array_join({texts}, {q(chr(10))}))"
 
 
 def short_compression(memory: DataFrame, label: str = LABEL) -> DataFrame:
     """One row per short conversation with the compressed messages and all measures."""
-    n, domain = F.col("n"), F.col("domain")
     rows = with_fact_sets(memory)
-    count = recent_count(domain)
-    recent = ranked_messages(
-        F.col("scored"),
-        lambda m: focus_score(m["base"], F.col("all_facts"), m["low"], m["role"], m["pos"], n),
-        FOCUS_SCORE,
-    )
-    anchors = ranked_messages(
-        F.col("scored"),
-        lambda m: anchor_score(m["base"], F.col("memory_facts"), m["low"], m["pos"], n),
-        ANCHOR_SCORE,
-        only_ok=True,
-    )
-    rows = rows.withColumns({"r": F.slice(recent, 1, 6), "a": F.slice(anchors, 1, 6)})
-    rows = rows.withColumn("recent", recent_tail(chosen(F.col("r"), count + 2), count))
-    rows = rows.withColumn("anchors", free_anchors(F.col("a"), F.col("recent"))).drop("r", "a")
-    rows = with_picked(rows, label)
+    recent = ranked_messages("scored", focus_score("m.base", "all_facts", "m.low", "m.role", "m.pos"), FOCUS_SCORE)
+    anchors = ranked_messages("scored", anchor_score("m.base", "memory_facts", "m.low", "m.pos"), ANCHOR_SCORE, only_ok=True)
+    rows = rows.withColumns({"r": F.expr(f"slice({recent}, 1, 6)"), "a": F.expr(f"slice({anchors}, 1, 6)")})
+    rows = with_picked(with_recent_and_anchors(rows), label)
     rows = rows.withColumn("all_text", F.expr("array_join(transform(msgs, m -> m.text), ' ')"))
     rows = rows.withColumn("hard_facts", F.when(~is_whole(), hard_facts_of("all_text", "domain"))).drop("all_text")
     rows = with_missing(rows)
-    kept = _kept_positions(F.col("picked"))
+    free = f"filter(scored, m -> NOT array_contains({_positions('picked')}, m.pos))"
+    covered = "size(filter(missing, f -> contains(m.low, lower(f))))"
+    entries = f"transform({free}, m -> struct(-{covered} AS neg, m.pos AS pos, m.role AS role, m.text AS text))"
+    best = messages_of(f"slice(filter(array_sort({entries}), m -> m.neg < 0), 1, {RESCUES})")
+    rows = rows.withColumn("rescue", F.expr(f"IF(size(missing) > 0, {best}, CAST(array() AS {MESSAGES}))"))
+    everything = "transform(msgs, (m, i) -> struct(CAST(i AS BIGINT) AS pos, m.role AS role, m.text AS text))"
+    rows = with_result(rows, label)
+    return rows.withColumn("compressed", F.expr(f"IF({WHOLE}, {everything}, compressed)"))
 
-    def coverage(m: Column) -> Column:
-        return F.size(F.filter("missing", lambda f: m["low"].contains(F.lower(f))))
 
-    covered = F.transform(
-        F.filter("scored", lambda m: ~F.array_contains(kept, m["pos"])),
-        lambda m: F.struct(
-            (-coverage(m)).alias("neg"), m["pos"].alias("pos"), m["role"].alias("role"), m["text"].alias("text")
-        ),
-    )
-    best = F.slice(F.filter(F.array_sort(covered), lambda m: m["neg"] < 0), 1, RESCUES)
-    rescue = F.when(F.size("missing") > 0, messages_of(best)).otherwise(F.array().cast(MESSAGES))
-    rows = with_result(rows.withColumn("rescue", rescue), label)
-    everything = F.transform(
-        "msgs",
-        lambda m, i: F.struct(i.cast("long").alias("pos"), m["role"].alias("role"), m["text"].alias("text")),
-    )
-    return rows.withColumn("compressed", F.when(is_whole(), everything).otherwise(F.col("compressed")))
+def with_recent_and_anchors(rows: DataFrame) -> DataFrame:
+    """The message lists ``recent`` and ``anchors`` from the best-first lists ``r`` and ``a``."""
+    count = recent_count()
+    rows = rows.withColumn("_last", F.expr(chosen("r", f"{count} + 2")))
+    rows = rows.withColumn("recent", F.expr(recent_tail("_last", count))).drop("_last", "r")
+    return rows.withColumn("anchors", F.expr(free_anchors("a", "recent"))).drop("a")
 
 
 # --- long conversations: their turns stay spread over segments ------------------------------------
@@ -350,9 +330,7 @@ def long_memory(
     """Request columns plus the memory frame, for conversations of several segments."""
     slim = heads.select("conv_id", "current_turn", "domain", "n", "latest_facts")
     scored = scored_turns(placed_rows(rows, segment_heads(turns, slim, size)), vocab)
-    score = focus_score(
-        F.col("base_score"), F.col("latest_facts"), F.col("low"), F.col("role"), F.col("pos"), F.col("n")
-    )
+    score = F.expr(focus_score("base_score", "latest_facts", "low", "role", "pos"))
     ranked = scored.select("conv_id", "pos", "role", "text", best_first(score, FOCUS_SCORE).alias("rank_score"))
     best = top_focus(ranked, 8)
     focus = best.groupBy("conv_id").agg(
@@ -361,9 +339,7 @@ def long_memory(
         ).alias("best")
     )
     joined = heads.join(focus, "conv_id")
-    texts = F.transform(chosen(F.col("best"), focus_limit(F.col("domain"))), lambda m: m["text"])
-    fact_text = F.concat("latest_text", F.lit("\n"), F.array_join(texts, "\n"))
-    return with_memory(joined.withColumn("fact_text", fact_text).drop("best"), vocab)
+    return with_memory(joined.withColumn("fact_text", F.expr(_fact_text())).drop("best"), vocab)
 
 
 def memory_frames(
@@ -398,41 +374,30 @@ def _long_inputs(turns, frames, vocab, plugins, size, longs) -> tuple[DataFrame,
     return long_turns, durable(requests(long_turns, frames, vocab))
 
 
-def summary_line(label: str = LABEL) -> Column:
-    """The summary text of a memory frame; empty parts are left out."""
-    task = F.coalesce(
-        F.when(F.col("task") != "", F.col("task")),
-        F.when(F.col("user_goal") != "", F.col("user_goal")),
-        F.lit("Follow the active conversation."),
-    )
-    lead = None
-    for name, text in DOMAIN_LEADS.items():
-        lead = F.when(F.col("domain") == name, F.lit(text)) if lead is None else lead.when(F.col("domain") == name, F.lit(text))
-    lead = lead.otherwise(F.lit(OTHER_DOMAIN_LEAD))
+def summary_line(label: str = LABEL) -> str:
+    """The summary text of a memory frame, as SQL text; empty parts are left out."""
+    task = "CASE WHEN task <> '' THEN task WHEN user_goal <> '' THEN user_goal ELSE 'Follow the active conversation.' END"
+    lead = by_domain("domain", {name: q(text) for name, text in DOMAIN_LEADS.items()}, q(OTHER_DOMAIN_LEAD))
 
-    def part(title: str, column: str) -> Column:
-        return F.when(F.size(column) > 0, F.concat(F.lit(f"{title}: "), F.array_join(column, ", "), F.lit(".")))
+    def part(title: str, column: str) -> str:
+        return f"IF(size({column}) > 0, concat({q(title + ': ')}, array_join({column}, ', '), '.'), NULL)"
 
-    return F.concat_ws(
-        " ",
-        F.concat(F.lit(f"{label} summary: "), lead, task, F.lit(".")),
+    parts = [
+        f"concat({q(label + ' summary: ')}, {lead}, {task}, '.')",
         part("Key facts", "entities"),
         part("Important constraints", "constraints"),
         part("Still unresolved", "unresolved"),
         part("Risk flags", "risk"),
-    )
+    ]
+    return f"concat_ws(' ', {', '.join(parts)})"
 
 
-def _chars(messages: Column) -> Column:
-    return F.aggregate(messages, F.lit(0).cast("long"), lambda a, m: a + F.length(m["text"]))
+def _tokens(messages: str) -> str:
+    return f"CAST(ceil(aggregate({messages}, 0L, (a, m) -> a + length(m.text)) / 4) AS BIGINT)"
 
 
-def _low_text(messages: Column) -> Column:
-    return F.lower(F.array_join(F.transform(messages, lambda m: m["text"]), " "))
-
-
-def _kept_positions(messages: Column) -> Column:
-    return F.transform(messages, lambda m: m["pos"])
+def _positions(messages: str) -> str:
+    return f"transform({messages}, p -> p.pos)"
 
 
 def recent_and_anchor_turns(
@@ -442,11 +407,8 @@ def recent_and_anchor_turns(
     rows = turn_rows(turns, size) if rows is None else rows
     slim = with_fact_sets(memory).select("conv_id", "current_turn", "domain", "n", "memory_facts", "all_facts")
     scored = scored_turns(placed_rows(rows, segment_heads(turns, slim, size)), vocab)
-    base, low = F.col("base_score"), F.col("low")
-    recent = best_first(
-        focus_score(base, F.col("all_facts"), low, F.col("role"), F.col("pos"), F.col("n")), FOCUS_SCORE
-    )
-    anchor = best_first(anchor_score(base, F.col("memory_facts"), low, F.col("pos"), F.col("n")), ANCHOR_SCORE)
+    recent = best_first(F.expr(focus_score("base_score", "all_facts", "low", "role", "pos")), FOCUS_SCORE)
+    anchor = best_first(F.expr(anchor_score("base_score", "memory_facts", "low", "pos")), ANCHOR_SCORE)
     kinds = F.array(
         F.struct(F.lit("recent").alias("kind"), recent.alias("s")),
         F.struct(F.lit("anchor").alias("kind"), anchor.alias("s")),
@@ -464,9 +426,7 @@ def recent_and_anchor_turns(
         F.sort_array(F.collect_list(F.when(F.col("kind") == "recent", entry))).alias("r"),
         F.sort_array(F.collect_list(F.when(F.col("kind") == "anchor", entry))).alias("a"),
     )
-    count = recent_count(F.col("domain"))
-    with_recent = grouped.withColumn("recent", recent_tail(chosen(F.col("r"), count + 2), count))
-    return with_recent.select("conv_id", "recent", free_anchors(F.col("a"), F.col("recent")).alias("anchors"))
+    return with_recent_and_anchors(grouped).select("conv_id", "recent", "anchors")
 
 
 def rescue_turns(
@@ -486,74 +446,58 @@ def rescue_turns(
 
 def with_picked(rows: DataFrame, label: str = LABEL) -> DataFrame:
     """Choose the first candidate that is small enough: summary with anchors and recent turns, without anchors, alone."""
-    rows = rows.withColumns(
-        {"summary_text": summary_line(label), "original_tokens": est_tokens(F.col("original_chars"))}
-    )
-    head = F.array(
-        F.struct(
-            F.lit(-1).cast("long").alias("pos"), F.lit("assistant").alias("role"), F.col("summary_text").alias("text")
-        )
-    )
-    ratio_limit = F.when(high_value(F.col("domain")), F.lit(0.62)).otherwise(F.lit(0.5))
-    floor = F.greatest(F.lit(1), F.col("original_tokens"))
+    rows = rows.withColumns({"summary_text": F.expr(summary_line(label)), "original_tokens": est_tokens(F.col("original_chars"))})
+    head = "array(struct(-1L AS pos, 'assistant' AS role, summary_text AS text))"
+    ratio_limit = f"IF({_high('domain')}, 0.62D, 0.5D)"
 
-    def fits(column: str) -> Column:
-        return est_tokens(_chars(F.col(column))) / floor <= ratio_limit
+    def fits(column: str) -> str:
+        return f"{_tokens(column)} / greatest(1, original_tokens) <= {ratio_limit}"
 
     rows = rows.withColumns(
         {
-            "with_anchors": unique_messages(F.concat(head, "anchors", "recent")),
-            "with_recent": unique_messages(F.concat(head, "recent")),
+            "with_anchors": F.expr(unique_messages(f"concat({head}, anchors, recent)")),
+            "with_recent": F.expr(unique_messages(f"concat({head}, recent)")),
         }
     )
-    rows = rows.withColumn(
-        "picked",
-        F.when(fits("with_anchors"), F.col("with_anchors"))
-        .when(fits("with_recent"), F.col("with_recent"))
-        .otherwise(head),
-    ).drop("with_anchors", "with_recent")
-    bare = unique_messages(F.concat("anchors", "recent"))
-    last_four = F.slice(bare, F.greatest(F.lit(1), F.size(bare) - 3), 4)
-    too_big = est_tokens(_chars(F.col("picked"))) >= F.col("original_tokens")
-    return rows.withColumn("picked", F.when(too_big, last_four).otherwise(F.col("picked")))
+    fitting = f"CASE WHEN {fits('with_anchors')} THEN with_anchors WHEN {fits('with_recent')} THEN with_recent ELSE {head} END"
+    rows = rows.withColumns({"picked": F.expr(fitting), "_bare": F.expr(unique_messages("concat(anchors, recent)"))})
+    last_four = "slice(_bare, greatest(1, size(_bare) - 3), 4)"
+    too_big = f"{_tokens('picked')} >= original_tokens"
+    rows = rows.withColumn("picked", F.expr(f"IF({too_big}, {last_four}, picked)"))
+    return rows.drop("with_anchors", "with_recent", "_bare")
 
 
 def with_missing(rows: DataFrame) -> DataFrame:
-    none = F.array().cast("array<string>")
-    rows = rows.withColumn("hard_facts", F.coalesce("hard_facts", none))
-    return rows.withColumn("missing", missing_from(F.col("hard_facts"), _low_text(F.col("picked"))))
+    rows = rows.withColumn("hard_facts", F.expr(f"coalesce(hard_facts, {NO_STRINGS})"))
+    low_text = "lower(array_join(transform(picked, m -> m.text), ' '))"
+    return rows.withColumn("missing", F.expr(missing_from("hard_facts", low_text)))
 
 
 def with_result(rows: DataFrame, label: str = LABEL) -> DataFrame:
     """Insert the rescued turns after the head and measure the outcome."""
-    rest = F.slice("picked", F.lit(2), F.greatest(F.lit(0), F.size("picked") - 1))
-    final = unique_messages(F.concat(F.slice("picked", 1, 1), "rescue", rest))
-    rows = rows.withColumn("compressed", F.when(F.size("rescue") > 0, final).otherwise(F.col("picked")))
-    whole = is_whole()
-    retained = F.size(
-        F.filter("compressed", lambda m: (m["role"] != "assistant") | (m["text"] != F.col("summary_text")))
-    )
-    recent_pos = _kept_positions(F.col("recent"))
-    keeps_recent = F.exists("compressed", lambda m: F.array_contains(recent_pos, m["pos"]))
+    rest = "slice(picked, 2, greatest(0, size(picked) - 1))"
+    final = unique_messages(f"concat(slice(picked, 1, 1), rescue, {rest})")
+    rows = rows.withColumn("compressed", F.expr(f"IF(size(rescue) > 0, {final}, picked)"))
+    retained = "size(filter(compressed, m -> m.role <> 'assistant' OR m.text <> summary_text))"
+    keeps_recent = f"exists(compressed, m -> array_contains({_positions('recent')}, m.pos))"
     before, between = RESCUED.split("{n}")[0], RESCUED.split("{n}")[1].split("{facts}")[0]
-    rescue_reason = F.when(
-        F.size("rescue") > 0,
-        F.concat(F.lit(before), F.size("rescue").cast("string"), F.lit(between), F.array_join(F.slice("missing", 1, 3), ", ")),
-    )
+    listed = f"concat({q(before)}, CAST(size(rescue) AS STRING), {q(between)}, array_join(slice(missing, 1, 3), ', '))"
+    rescue_reason = f"IF(size(rescue) > 0, {listed}, NULL)"
     shape_reason = (
-        F.when(F.size("compressed") == 1, F.lit(SUMMARY_ALONE)).when(keeps_recent, F.lit(WITH_RECENT)).otherwise(F.lit(WITH_ANCHORS))
+        f"CASE WHEN size(compressed) = 1 THEN {q(SUMMARY_ALONE)} WHEN {keeps_recent} THEN {q(WITH_RECENT)} "
+        f"ELSE {q(WITH_ANCHORS)} END"
     )
-    whole_reason = F.when(F.col("n") <= KEEP_WHOLE, F.lit(ALL_KEPT)).otherwise(F.lit(ALL_PROTECTED))
-    reasons = F.when(whole, F.array(whole_reason)).otherwise(F.array_compact(F.array(rescue_reason, shape_reason)))
-    tokens = F.when(whole, F.col("original_tokens")).otherwise(est_tokens(_chars(F.col("compressed"))))
-    dropped = F.when(whole, F.lit(0)).otherwise(F.greatest(F.lit(0), F.col("n") - retained)).cast("long")
+    whole_reason = f"IF(n <= {KEEP_WHOLE}, {q(ALL_KEPT)}, {q(ALL_PROTECTED)})"
+    tokens = f"IF({WHOLE}, original_tokens, {_tokens('compressed')})"
     return rows.withColumns(
         {
-            "kept_reasons": reasons,
-            "dropped_count": dropped,
-            "compressed_tokens": tokens,
-            "tokens_saved": saved_tokens(F.col("original_tokens"), tokens),
-            "n_compressed": F.when(whole, F.col("n")).otherwise(F.size("compressed")).cast("long"),
+            "kept_reasons": F.expr(
+                f"IF({WHOLE}, array({whole_reason}), array_compact(array({rescue_reason}, {shape_reason})))"
+            ),
+            "dropped_count": F.expr(f"CAST(IF({WHOLE}, 0, greatest(0, n - {retained})) AS BIGINT)"),
+            "compressed_tokens": F.expr(tokens),
+            "tokens_saved": F.expr(f"greatest(0L, original_tokens - {tokens})"),
+            "n_compressed": F.expr(f"CAST(IF({WHOLE}, n, size(compressed)) AS BIGINT)"),
         }
     )
 
@@ -616,7 +560,7 @@ def _compress_long(turns, frames, protect, vocab, plugins, label, size, longs) -
     facts = hard_facts(placed_rows(rows, segment_heads(long_turns, compressed_heads, size)))
     work = durable(with_missing(work.join(facts, "conv_id", "left")))
     wanted = work.filter(~is_whole() & (F.size("missing") > 0)).select(
-        "conv_id", "current_turn", "missing", _kept_positions(F.col("picked")).alias("kept")
+        "conv_id", "current_turn", "missing", F.expr(_positions("picked")).alias("kept")
     )
     rescued = rescue_turns(long_turns, wanted, size, rows)
     work = work.join(rescued, "conv_id", "left").withColumn("rescue", F.coalesce("rescue", F.array().cast(MESSAGES)))
@@ -665,15 +609,16 @@ def compress_with_summary(
     ).otherwise(F.lit(""))
     text = F.concat(F.lit(f"[{label} Memory] "), F.col("summary"), F.coalesce(suffix, F.lit("")))
     work = modelled.join(tails, "conv_id").join(facts, "conv_id", "left").withColumn("keep", keep)
-    head = F.array(F.struct(F.lit(-1).cast("long").alias("pos"), F.lit("assistant").alias("role"), text.alias("text")))
-    recent = F.filter("tail", lambda m: F.col("n") - m["pos"] <= F.col("keep"))
+    head = "array(struct(-1L AS pos, 'assistant' AS role, summary_text AS text))"
+    recent = "filter(tail, m -> n - m.pos <= keep)"
+    work = work.withColumn("summary_text", text)
     original = est_tokens(F.col("original_chars"))
-    work = work.withColumns({"short": unique_messages(F.concat(head, recent)), "long": unique_messages(F.concat(head, "tail"))})
-    reduction = 1 - est_tokens(_chars(F.col("short"))) / F.greatest(F.lit(1), original)
+    work = work.withColumns({"short": F.expr(unique_messages(f"concat({head}, {recent})")), "long": F.expr(unique_messages(f"concat({head}, tail)"))})
+    reduction = 1 - F.expr(_tokens("short")) / F.greatest(F.lit(1), original)
     limit = F.when(high_context, F.lit(0.5)).otherwise(F.lit(0.8))
     work = work.withColumn("compressed", F.when(reduction > limit, F.col("long")).otherwise(F.col("short")))
     memory = memory_frames(turns.join(modelled.select("conv_id"), "conv_id", "left_semi"), frames, vocab, size=size)
-    compressed = est_tokens(_chars(F.col("compressed")))
+    compressed = F.expr(_tokens("compressed"))
     measured = work.select(
         "conv_id",
         F.array(F.concat(F.lit("Model summary; turns kept as they were: "), (F.size("compressed") - 1).cast("string"))).alias("kept_reasons"),
@@ -737,4 +682,3 @@ def fallback_rate(summary: DataFrame) -> DataFrame:
             "fallback_rate"
         ),
     )
-

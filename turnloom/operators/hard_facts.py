@@ -109,11 +109,10 @@ def hard_facts(rows: DataFrame, limit: int = 12) -> DataFrame:
     )
     top = top_per_group(first, ["conv_id"], [F.col("place").asc()], FIRST_FACTS)
     listed = top.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("l"))
-    facts = F.transform("l", lambda s: s["value"])
-    return listed.select("conv_id", drop_subsumed(facts, limit).alias("hard_facts"))
+    return listed.select("conv_id", F.expr(drop_subsumed("transform(l, s -> s.value)", limit)).alias("hard_facts"))
 
 
 def hard_facts_of(text: str, domain: str, limit: int = 12) -> Column:
     """The same for one bounded text."""
-    values = F.expr(f"transform({fact_structs(text, domain)}, s -> s.value)")
-    return drop_subsumed(F.slice(distinct_by_lower(values), 1, FIRST_FACTS), limit)
+    values = f"transform({fact_structs(text, domain)}, s -> s.value)"
+    return F.expr(drop_subsumed(f"slice({distinct_by_lower(values)}, 1, {FIRST_FACTS})", limit))

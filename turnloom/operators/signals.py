@@ -23,10 +23,6 @@ LOOKBACK_URGENCY = 4
 LOOKBACK_TOPIC = 2
 
 
-def has_bit(bits: Column, i: int) -> Column:
-    return bits.bitwiseAND(F.lit(1 << i).cast("long")) != 0
-
-
 @dataclass(frozen=True)
 class Layout:
     """Where each rule sits in the packed array for a given vocabulary and plugin list."""
@@ -107,21 +103,20 @@ class Layout:
         lowered = rows.select(
             *keep, F.lower(text).alias("_low"), F.length(text).alias("_chars"), F.col(role).alias("_role")
         )
-        scanned = lowered.select("*", self.phrase_scan.hits(F.col("_low")).alias("_hits"))
+        scanned = lowered.select("*", F.expr(self.phrase_scan.hits("_low")).alias("_hits"))
         return scanned.select(*keep, self._packed().alias("feat"))
 
     def _packed(self) -> Column:
         """The array over the columns _low, _hits, _role and _chars."""
         v = self.vocab
-        hits = F.col("_hits")
 
-        def rule_word(rules: list[tuple[int, Rule]]) -> Column:
+        def rule_word(rules: list[tuple[int, Rule]]) -> str:
             """Bits of all rules at once: found phrases by table, the other alternatives one by one."""
-            bits = self.phrase_scan.rule_bits(hits, rules)
+            bits = self.phrase_scan.rule_bits("_hits", rules)
             others = [
                 f"IF({test}, {1 << bit}L, 0L)" for bit, rule in rules for test in rule.extra_tests("_low")
             ]
-            return bits.bitwiseOR(F.expr(" | ".join(others))) if others else bits
+            return " | ".join([bits, *others])
 
         def any_part(words) -> str:
             return contains_any("_low", words)
@@ -129,30 +124,24 @@ class Layout:
         named = {**v.structures, **v.current}
         plain = ["_role = 'user'", any_part(v.affect_words["frustrated"]), any_part(v.affect_words["positive"])]
         context = rule_word(list(enumerate(v.context.values())))
-        current = F.expr(pack(plain)).bitwiseOR(
-            rule_word([(i + len(plain), r) for i, r in enumerate(named.values())])
-        )
+        current = pack(plain) + " | " + rule_word([(i + len(plain), r) for i, r in enumerate(named.values())])
         near_parts = [any_part([w]) for _, w in self.near_words] + [any_part(v.affect_words["distressed"])]
-        near = F.expr(pack(near_parts)).bitwiseOR(rule_word([(self.small_talk_bit, v.small_talk)]))
+        near = pack(near_parts) + " | " + rule_word([(self.small_talk_bit, v.small_talk)])
         in_turn = [any_part([w]) for _, w in self.keywords]
         plugged = [any_part([k.lower() for k in p["keywords"]]) for p in self.plugins]
         keyword = [pack(in_turn[i : i + WORD_BITS]) for i in range(0, len(in_turn), WORD_BITS)] or ["0L"]
         plugin = [pack(plugged[i : i + WORD_BITS]) for i in range(0, len(plugged), WORD_BITS)]
-        return F.array(
-            context, current, near, *[F.expr(e) for e in keyword + plugin], *self._scores(rule_word), F.col("_chars").cast("long")
-        )
+        parts = [context, current, near, *keyword, *plugin, *self._scores(rule_word), "CAST(_chars AS BIGINT)"]
+        return F.expr(f"array({', '.join(parts)})")
 
-    def _scores(self, rule_word) -> list[Column]:
+    def _scores(self, rule_word) -> list[str]:
         """Match counts per domain; the counting regex runs only on turns that can match."""
         v = self.vocab
         possible = rule_word([(i, v.scores[d]) for i, d in enumerate(SCORED_DOMAINS)])
-        counts = [
-            F.when(has_bit(possible, i), F.expr(f"CAST({v.scores[d].matches('_low')} AS BIGINT)")).otherwise(
-                F.lit(0).cast("long")
-            )
+        return [
+            f"IF((({possible}) & {1 << i}L) != 0, CAST({v.scores[d].matches('_low')} AS BIGINT), 0L)"
             for i, d in enumerate(SCORED_DOMAINS)
         ]
-        return counts
 
 
 class Lifted:

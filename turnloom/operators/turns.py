@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.functions.text import let
 from turnloom.plans.segments import SEGMENT, numbered, segment_of
 
 CHAT_ROLES = ("user", "assistant")
@@ -76,18 +75,10 @@ def unique_turns(turns: DataFrame) -> DataFrame:
     return first.select("conv_id", "turn", "role", "text")
 
 
-def unique_messages(messages: Column) -> Column:
-    """The same for a bounded message array: first of each (role, text) stays."""
-
-    def keep_first(all_: Column) -> Column:
-        return F.filter(
-            all_,
-            lambda m, i: ~F.exists(
-                F.slice(all_, F.lit(1), i), lambda o: (o["role"] == m["role"]) & (o["text"] == m["text"])
-            ),
-        )
-
-    return let(messages, keep_first)
+def unique_messages(messages: str) -> str:
+    """The same for a bounded message array, as SQL text: first of each (role, text) stays."""
+    earlier = "exists(slice(a, 1, i), o -> o.role = m.role AND o.text = m.text)"
+    return f"transform(array({messages}), a -> filter(a, (m, i) -> NOT {earlier}))[0]"
 
 
 def latest_user_text(turns: DataFrame) -> DataFrame:
