@@ -1,11 +1,14 @@
 """Personal data and sharding against brute force."""
 
 import hashlib
+import math
 import random
 import re
+import struct
 import zlib
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from turnloom.llm import pii, sharding
@@ -149,3 +152,34 @@ def test_weights(spark):
     docs = spark.range(8000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     counts = {r.shard: r["count"] for r in sharding.shard(docs, weights=(1.0, 3.0)).groupBy("shard").count().collect()}
     assert 2.6 < counts[1] / counts[0] < 3.4
+
+
+def plain_hash(key, *parts):
+    """Spark's xxhash64 of a text and numbers, each hash the seed of the next, as 52 bits."""
+    h = xxhash.xxh64_intdigest(key.encode(), seed=42)
+    for p in parts:
+        h = xxhash.xxh64_intdigest(p, seed=h)
+    return h >> 12
+
+
+def plain_winner(key, weights):
+    def cost(s):
+        return -math.log((plain_hash(key, struct.pack("<i", s)) + 0.5) / 2**52) / weights[s]
+
+    return min(range(len(weights)), key=cost)
+
+
+def test_shards_and_slots_against_plain_draws(spark):
+    rows = [(i, "x" * (i % 7)) for i in range(-20, 280)] + [(None, None), (5, "copy"), (5, "copy"), (2**63 - 1, "é")]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), (1.0, 2.5, 0.5), 1.5).collect()
+    assert len(got) == len(rows)
+    want = []
+    for i, text in rows:
+        key, raw = "null" if i is None else str(i), (text or "").encode()
+        crc = zlib.crc32(raw)
+        own, grown = plain_winner(key, (1.0, 2.5, 0.5)), plain_winner(key, (1.0, 2.5, 0.5, 1.5))
+        want.append((own, plain_hash(key, struct.pack("<q", crc)), i is not None, i or 0, len(raw) + 8, crc, grown))
+    place = {}
+    slots = [(shard, place.setdefault(shard, []).append(0) or len(place[shard]) - 1, i if known else None, size, crc, grown)
+             for shard, _, known, i, size, crc, grown in sorted(want)]
+    assert sorted(slots) == sorted((r.shard, r.slot, r.doc_id, r.size, r.text_crc32, r.grown_shard) for r in got)
