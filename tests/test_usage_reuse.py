@@ -6,7 +6,7 @@ import pytest
 
 from turnloom.operators import reuse
 from turnloom.operators.reuse import reply_reuse, similar_reply
-from turnloom.operators.usage import rate_limit, usage_rollup
+from turnloom.operators.usage import BUCKETS_PER_SPAN, FAN, LEVELS, rate_limit, usage_rollup
 from turnloom.streaming.limits import rate_limit_stream, usage_rollup_stream
 from turnloom.streaming.reuse import reply_reuse_stream
 
@@ -39,6 +39,27 @@ def test_rate_limit_matches_a_sequential_run(spark, spread_ms, n, limit, window)
     assert got == expected(rows, limit, window)
 
 
+def test_rate_limit_carries_windows_through_every_level(spark):
+    window = 1  # buckets of 2 ms: spans of 128 ms, blocks of 8,192 and of 524,288 ms
+    top = 2 * BUCKETS_PER_SPAN * FAN**LEVELS
+    edge = top - round(START.timestamp() * 1000) % top  # the first edge of a block of the last level after START
+    rng = random.Random(3)
+    ms = {edge + i for i in range(-9_000, 9_000) if i % 5 != 3 or rng.random() < 0.9}
+    ms |= {edge + top + i for i in range(-40, 40)} | {edge + 3 * top + 7, edge + 3 * top + 8, edge + 3 * top + 10}
+    rows = [(k, 2 * m + j, START + timedelta(milliseconds=m)) for j, k in enumerate(("hot", "cold")) for m in sorted(ms) if j == 0 or m % 3]
+    df = spark.createDataFrame(rows, "key_id string, call_id long, called_at timestamp").repartition(3)
+    got = {r.call_id: (r.window_start, r.allowed) for r in rate_limit(df, 1, window).collect()}
+    assert got == expected(rows, 1, window)
+
+
+def test_rate_limit_without_keys_times_or_rows(spark):
+    schema = "key_id string, call_id long, called_at timestamp"
+    assert rate_limit(spark.createDataFrame([], schema)).count() == 0
+    rows = [(None, 1, START), ("a", 2, None), ("a", 3, START), ("a", 3, START)]
+    got = rate_limit(spark.createDataFrame(rows, schema), 1).collect()
+    assert sorted((r.call_id, r.allowed) for r in got) == [(3, False), (3, True)]
+
+
 def run_stream(spark, batches, schema, tmp_path, build):
     src = str(tmp_path / "in")
     query = None

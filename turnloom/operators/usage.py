@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,17 +136,62 @@ def usage_rollup(usage: DataFrame, size: str = "24 hours", slide: str = "1 hour"
 # A window opens at the first call and stays open while now - start <= length. With buckets of
 # length + 1 milliseconds at most one window opens per bucket: at the first call whose offset in the
 # bucket is not below the offset of the window opened in the bucket before (or at the first call when
-# none was). So a key's timeline is a chain of small functions "offset in, offset out", and spans of
-# buckets are evaluated independently, for every offset they could be entered with.
+# none was). So a key's timeline is a chain of small functions "offset in, offset out". Spans of buckets
+# are evaluated independently, for every offset they could be entered with; their functions are composed
+# in a tree over ranges of spans, and the entries come back down the same tree. The largest group
+# is a span's calls, FAN functions of a level, or a key's functions of FAN ** LEVELS spans each (half a year).
 
 BUCKETS_PER_SPAN = 64
+FAN = 64
+LEVELS = 2
 NONE = -1
+_ANY = np.iinfo(np.int64).max
+_FUNCTION = "key_id string, id long, block long, first long, last long, uppers array<long>, exits array<long>"
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], number: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows ordered by (key_id, number) as tables of whole groups, with the bounds of the groups in each."""
+    held, name = [], None
+
+    def given():
+        table = pa.Table.from_batches(held)
+        return table, np.append(np.flatnonzero(changes(table)), table.num_rows)
+
+    def changes(rows):
+        keys, numbers = rows.column("key_id"), rows.column(number)
+        beside = pc.or_(pc.not_equal(keys[1:], keys[:-1]), pc.not_equal(numbers[1:], numbers[:-1]))
+        return np.append(True, beside.to_numpy(zero_copy_only=False))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tail = int(np.flatnonzero(changes(batch))[-1])
+        if held and name != (batch.column("key_id")[0], batch.column(number)[0]):
+            yield given()
+            held = []
+        if tail:
+            held.append(batch.slice(0, tail))
+            yield given()
+            held = []
+        held.append(batch.slice(tail))
+        name = (batch.column("key_id")[-1], batch.column(number)[-1])
+    if held:
+        yield given()
 
 
-def _bucket_lists(pdf: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
-    pdf = pdf.sort_values(["bucket", "off"])
-    buckets, starts = np.unique(pdf["bucket"].to_numpy(), return_index=True)
-    return buckets, np.split(pdf["off"].to_numpy(), starts[1:])
+def _longs(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy()
+
+
+def _lists(table: pa.Table, name: str) -> list[np.ndarray]:
+    column = table.column(name).combine_chunks()
+    flat, cuts = column.flatten().to_numpy(), np.cumsum(pc.list_value_length(column).to_numpy())
+    return np.split(flat, cuts[:-1])
+
+
+def _bucket_lists(buckets: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    cuts = np.flatnonzero(buckets[1:] != buckets[:-1]) + 1
+    return buckets[np.append(0, cuts)], np.split(offsets, cuts)
 
 
 def _step(state: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -152,103 +200,152 @@ def _step(state: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.where(at < len(offsets), offsets[np.minimum(at, len(offsets) - 1)], NONE)
 
 
-def _span_function(pdf: pd.DataFrame) -> pd.DataFrame:
+def _span_function(buckets: np.ndarray, lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Exit state of a span for every way it can be entered, as steps (upper bound of entry, exit)."""
-    buckets, lists = _bucket_lists(pdf)
-    first = buckets[0] % BUCKETS_PER_SPAN == 0
-    # entering matters only when the span's first bucket has calls
-    uppers = np.append(lists[0], np.iinfo(np.int64).max) if first else np.array([np.iinfo(np.int64).max])
-    state = np.append(lists[0], NONE) if first else np.array([lists[0][0]])
+    if buckets[0] % BUCKETS_PER_SPAN == 0:
+        uppers, state = np.append(lists[0], _ANY), np.append(lists[0], NONE)
+    else:  # entering matters only when the span's first bucket has calls
+        uppers, state = np.array([_ANY]), lists[0][:1]
     for i in range(1, len(buckets)):
         if buckets[i] != buckets[i - 1] + 1:
             state = np.full_like(state, NONE)
         state = _step(state, lists[i])
     if buckets[-1] % BUCKETS_PER_SPAN != BUCKETS_PER_SPAN - 1:
         state = np.full_like(state, NONE)
-    keep = np.append(state[1:] != state[:-1], True)
-    return pd.DataFrame(
-        {
-            "key_id": [pdf["key_id"].iloc[0]],
-            "span": [pdf["span"].iloc[0]],
-            "uppers": [uppers[keep]],
-            "exits": [state[keep]],
-        }
-    )
-
-
-def _entries(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Entry state of every span of one key: one small step function per span, in order."""
-    pdf = pdf.sort_values("span")
-    state, last, out = NONE, None, []
-    for span, uppers, exits in zip(pdf["span"], pdf["uppers"], pdf["exits"]):
-        if last is None or span != last + 1:
-            state = NONE
-        out.append(state)
-        state = int(exits[np.searchsorted(uppers, state, side="left")])
-        last = span
-    return pd.DataFrame({"key_id": pdf["key_id"], "span": pdf["span"], "entry": out})
+    return _fewest(uppers, state)
+
+
+def _fewest(uppers: np.ndarray, exits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keep = np.append(exits[1:] != exits[:-1], True)
+    return uppers[keep], exits[keep]
+
+
+def _batch(names: list[str], columns: list) -> pa.RecordBatch:
+    kinds = {"key_id": pa.string(), "uppers": pa.list_(pa.int64()), "exits": pa.list_(pa.int64())}
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.int64())) for n, c in zip(names, columns)], names=names)
+
+
+def _functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The function of each span from its instants in order."""
+    for table, bounds in _whole_groups(batches, "span"):
+        buckets, offsets = _longs(table, "bucket"), _longs(table, "off")
+        found = [_span_function(*_bucket_lists(buckets[a:b], offsets[a:b])) for a, b in zip(bounds[:-1], bounds[1:])]
+        spans = _longs(table, "span")[bounds[:-1]]
+        keys = table.column("key_id").take(pa.array(bounds[:-1])).to_pylist()
+        yield _batch(
+            ["key_id", "id", "block", "first", "last", "uppers", "exits"],
+            [keys, spans, spans // FAN, spans, spans, [f[0] for f in found], [f[1] for f in found]],
+        )
+
+
+def _composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One function for the functions of each block, in order; where spans are missing between two, no window is open."""
+    for table, bounds in _whole_groups(batches, "block"):
+        first, last = _longs(table, "first"), _longs(table, "last")
+        uppers, exits = _lists(table, "uppers"), _lists(table, "exits")
+        found = []
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            state = exits[a]
+            for i in range(a + 1, b):
+                if first[i] != last[i - 1] + 1:
+                    state = np.full_like(state, NONE)
+                state = exits[i][np.searchsorted(uppers[i], state, side="left")]
+            found.append(_fewest(uppers[a], state))
+        blocks = _longs(table, "block")[bounds[:-1]]
+        keys = table.column("key_id").take(pa.array(bounds[:-1])).to_pylist()
+        yield _batch(
+            ["key_id", "id", "block", "first", "last", "uppers", "exits"],
+            [keys, blocks, blocks // FAN, first[bounds[:-1]], last[bounds[1:] - 1], [f[0] for f in found], [f[1] for f in found]],
+        )
+
+
+def _entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The state that each function of a block is entered with, from the state that the block is entered with."""
+    for table, bounds in _whole_groups(batches, "block"):
+        first, last, entry = _longs(table, "first"), _longs(table, "last"), _longs(table, "entry")
+        uppers, exits = _lists(table, "uppers"), _lists(table, "exits")
+        out = []
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            state = entry[a]
+            for i in range(a, b):
+                if i > a and first[i] != last[i - 1] + 1:
+                    state = NONE
+                out.append(state)
+                state = exits[i][np.searchsorted(uppers[i], state, side="left")]
+        yield _batch(["key_id", "id", "entry"], [table.column("key_id").to_pylist(), _longs(table, "id"), out])
 
 
 def _window_starts(period: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        buckets, lists = _bucket_lists(pdf)
-        state = np.array([pdf["entry"].iloc[0]])
-        if buckets[0] % BUCKETS_PER_SPAN != 0:
-            state = np.array([NONE])
-        rows = []
-        for i, offsets in enumerate(lists):
+    def starts_of(buckets: np.ndarray, offsets: np.ndarray, entry: int) -> np.ndarray:
+        buckets, lists = _bucket_lists(buckets, offsets)
+        state = np.array([entry if buckets[0] % BUCKETS_PER_SPAN == 0 else NONE])
+        found = []
+        for i, own in enumerate(lists):
             if i and buckets[i] != buckets[i - 1] + 1:
                 state = np.array([NONE])
-            opened = _step(state, offsets)
+            opened = _step(state, own)
             base = buckets[i] * period
             before = base - period + state[0]  # start of the window carried in from the bucket before
-            start = np.where((opened[0] != NONE) & (offsets >= opened[0]), base + opened[0], before)
-            rows.append(pd.DataFrame({"ms": base + offsets, "window_start": start}))
+            found.append(np.where((opened[0] != NONE) & (own >= opened[0]), base + opened[0], before))
             state = opened
-        out = pd.concat(rows)
-        out.insert(0, "key_id", pdf["key_id"].iloc[0])
-        return out
+        return np.concatenate(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in _whole_groups(batches, "span"):
+            buckets, offsets, entry = _longs(table, "bucket"), _longs(table, "off"), _longs(table, "entry")
+            starts = [starts_of(buckets[a:b], offsets[a:b], entry[a]) for a, b in zip(bounds[:-1], bounds[1:])]
+            columns = [table.column("key_id").to_pylist(), buckets * period + offsets, _longs(table, "n"), np.concatenate(starts)]
+            yield _batch(["key_id", "ms", "n", "window_start"], columns)
 
     return run
 
 
+def _together(rows: DataFrame, number: str) -> DataFrame:
+    """All rows of a (key_id, number) in one task. The hash is a column of its own, so that no join's partitioning stands in
+    for this one: Spark may split that where a key is hot."""
+    return rows.repartition(F.xxhash64("key_id", number))
+
+
+def _span_entries(functions: DataFrame) -> DataFrame:
+    """(key_id, span, entry): the state every span is entered with, from the functions of the spans."""
+    levels = []
+    for _ in range(LEVELS):
+        levels.append(_together(functions.filter("key_id IS NOT NULL AND block IS NOT NULL"), "block"))
+        functions = levels[-1].sortWithinPartitions("key_id", "block", "first").mapInArrow(_composed, _FUNCTION)
+    whole = functions.withColumns({"block": F.lit(0).cast("long"), "entry": F.lit(NONE).cast("long")})
+    for level in [None, *reversed(levels)]:
+        rows = whole if level is None else level.join(entries.withColumnRenamed("id", "block"), ["key_id", "block"])
+        entries = _together(rows, "block").sortWithinPartitions("key_id", "block", "first").mapInArrow(
+            _entered, "key_id string, id long, entry long"
+        )
+    return entries.withColumnRenamed("id", "span")
+
+
 def rate_limit(calls: DataFrame, limit: int = RATE_LIMIT, window_ms: int = WINDOW_MS) -> DataFrame:
     """Add the window each call falls into and whether it is allowed.
 
-    calls(key_id STRING, call_id, called_at). Denied calls do not extend or reopen a window.
+    calls(key_id STRING, call_id, called_at). Denied calls do not extend or reopen a window. Calls without a key or a time are
+    left out.
     """
     period = window_ms + 1
     calls = calls.withColumn("ms", F.expr("floor(unix_micros(CAST(called_at AS TIMESTAMP)) / 1000)").cast("long"))
+    calls = calls.filter("key_id IS NOT NULL AND ms IS NOT NULL")
     instants = calls.groupBy("key_id", "ms").agg(F.count(F.lit(1)).alias("n"))
     placed = instants.select(
         "key_id",
-        "ms",
         "n",
         F.floor(F.col("ms") / period).cast("long").alias("bucket"),
         F.pmod("ms", F.lit(period)).cast("long").alias("off"),
     ).withColumn("span", F.floor(F.col("bucket") / BUCKETS_PER_SPAN).cast("long"))
-    # a bucket without neighbours holds exactly one window, opened by its first call
-    slots = placed.select("key_id", "bucket").distinct()
-    beside = slots.select("key_id", (F.col("bucket") + 1).alias("bucket")).unionByName(
-        slots.select("key_id", (F.col("bucket") - 1).alias("bucket"))
-    )
-    in_bucket = Window.partitionBy("key_id", "bucket")
-    alone = placed.join(beside, ["key_id", "bucket"], "left_anti").select(
-        "key_id", "ms", (F.col("bucket") * period + F.min("off").over(in_bucket)).alias("window_start")
-    )
-    slim = placed.join(beside, ["key_id", "bucket"], "left_semi").select("key_id", "span", "bucket", "off")
-    functions = slim.groupBy("key_id", "span").applyInPandas(
-        _span_function, "key_id string, span long, uppers array<long>, exits array<long>"
-    )
-    entries = functions.groupBy("key_id").applyInPandas(_entries, "key_id string, span long, entry long")
-    starts = (
-        slim.join(entries, ["key_id", "span"])
-        .groupBy("key_id", "span")
-        .applyInPandas(_window_starts(period), "key_id string, ms long, window_start long")
+    order = ["key_id", "span", "bucket", "off"]
+    functions = _together(placed, "span").sortWithinPartitions(*order).mapInArrow(_functions, _FUNCTION)
+    entered = _together(placed.join(_span_entries(functions), ["key_id", "span"]), "span")
+    counted = entered.sortWithinPartitions(*order).mapInArrow(
+        _window_starts(period), "key_id string, ms long, n long, window_start long"
     )
     # calls before an instant inside its window; a window has at most window_ms + 1 instants
     w = Window.partitionBy("key_id", "window_start").orderBy("ms").rowsBetween(Window.unboundedPreceding, -1)
-    counted = starts.unionByName(alone).join(instants, ["key_id", "ms"]).withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    counted = counted.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
     within = Window.partitionBy("key_id", "ms").orderBy("call_id")
     return (
         calls.join(counted.select("key_id", "ms", "window_start", "before"), ["key_id", "ms"])
