@@ -20,6 +20,7 @@ from turnloom.functions.vocab import (
 )
 from turnloom.operators import classify as op
 from turnloom.operators.route import PROMPT_END, PROMPT_HEAD, REPLIES, canned_reply, demo_prompt, route_policy
+from turnloom.sources.io import read_table
 
 
 def _contains(words, column="low") -> str:
@@ -330,6 +331,26 @@ def plugin_domains(spark, path):
     return frames(spark, path, TEST, PLUGINS).select("conv_id", "turn", "domain", "intent", "state")
 
 
+def plugin_table(spark, path):
+    """The short list, and behind it every customer as a plugin whose keyword is the customer's name."""
+    listed = [(i, p["id"], p["keywords"], p["behavior"], p["constraints"]) for i, p in enumerate(PLUGINS)]
+    ddl = "ord long, id string, keywords array<string>, behavior string, constraints string"
+    customers = read_table(spark, path, "customer").select(
+        (F.col("c_custkey") + len(listed)).cast("long").alias("ord"),
+        F.concat(F.lit("customer "), F.col("c_custkey").cast("string")).alias("id"),
+        F.array("c_name").alias("keywords"),
+        F.lit("Use the customer's records.").alias("behavior"),
+        F.lit("Only this customer's records.").alias("constraints"),
+    )
+    return spark.createDataFrame(listed, ddl).unionByName(customers)
+
+
+@query("plugin_table_domain", f"{_PLUGGED} SELECT conv_id, turn, domain, intent, state FROM frames")
+def plugin_table_domain(spark, path):
+    out = frames(spark, path, TEST, plugin_table(spark, path))
+    return out.select("conv_id", "turn", "domain", "intent", "state")
+
+
 @query(
     "domain_from_labels",
     f"""{FRAMES}, lab AS (SELECT *, CASE WHEN turn % 4 = 0 THEN 'sales' WHEN turn % 4 = 2 AND conv_id % 2 = 0 THEN 'medical' END AS label FROM frames)
@@ -386,6 +407,12 @@ def routed(spark, path):
     return out.select("conv_id", "turn", "system_prompt")
 
 
+@query("plugin_table_policy", _ROUTE)
+def plugin_table_policy(spark, path):
+    plugins = plugin_table(spark, path)
+    return route_policy(frames(spark, path, TEST, plugins), plugins).select("conv_id", "turn", "system_prompt")
+
+
 @query(
     "protected_split",
     f"""{FRAMES} SELECT conv_id, turn, domain IN ('medical', 'legal') OR list_contains(risk, 'crisis') AS protected,

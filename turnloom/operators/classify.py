@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnloom.functions.vocab import DEFAULT, HIGH_REUSE_DOMAINS, NO_REUSE_DOMAINS, PROTECTED_DOMAINS, SCORED_DOMAINS, Vocabulary
+from turnloom.operators.plugins import first_plugins
 from turnloom.operators.signals import (
     LOOKBACK_RISK,
     LOOKBACK_TOPIC,
@@ -20,12 +21,18 @@ from turnloom.plans.segments import SEGMENT, segment_of
 LOOKBACKS = (LOOKBACK_RISK, LOOKBACK_URGENCY, LOOKBACK_TOPIC)
 
 
+MAX_LISTED = 1_000  # plugins of a table that may become rules of a plan
+
+
 def plugin_list(plugins) -> tuple:
-    """Plugins as a tuple of dicts in order. They belong to a request and become rules of the plan, so all of them are read."""
+    """Plugins as a tuple of dicts in order, for uses that make them rules of the plan; a longer table is an error."""
     if plugins is None:
         return ()
     if isinstance(plugins, DataFrame):
-        return tuple(r.asDict() for r in plugins.orderBy("ord").collect())
+        rows = plugins.orderBy("ord").limit(MAX_LISTED + 1).collect()
+        if len(rows) > MAX_LISTED:
+            raise ValueError(f"more than {MAX_LISTED} plugins: classify takes a table of any length")
+        return tuple(r.asDict() for r in rows)
     return tuple(plugins)
 
 
@@ -309,19 +316,25 @@ def classify(
     """One frame per user turn: the turn as the current message, everything before it as history.
 
     ``domain_labels(conv_id, turn, label, score)`` carries the output of a domain model. A plugin
-    wins over the label, and a turn without a label falls back to the rules.
+    wins over the label, and a turn without a label falls back to the rules. ``plugins`` is a short list, which becomes
+    rules of the plan, or a table (ord, id, keywords) of any length, which is joined.
     """
-    layout = Layout(vocab, plugin_list(plugins))
+    joined = isinstance(plugins, DataFrame)
+    layout = Layout(vocab, () if joined else plugin_list(plugins))
     lifted = lift(features(turns, layout, size), layout)
     if user_turns_only:
         lifted = lifted.filter(lifted_view(layout).cur("is_user"))
-    return label_frames(lifted, layout, ("conv_id", "turn", "pos"), domain_labels)
+    found = first_plugins(turns, plugins, size) if joined else None
+    return label_frames(lifted, layout, ("conv_id", "turn", "pos"), domain_labels, found)
 
 
 def label_frames(
-    lifted: DataFrame, layout: Layout, keep: tuple, domain_labels: DataFrame | None = None
+    lifted: DataFrame, layout: Layout, keep: tuple, domain_labels: DataFrame | None = None, plugins: DataFrame | None = None
 ) -> DataFrame:
-    """Run the rule cascades over lifted columns; ``keep`` names the columns to carry along."""
+    """Run the rule cascades over lifted columns; ``keep`` names the columns to carry along.
+
+    ``plugins(conv_id, turn, plugin)`` are found plugins, for a layout without a list of them.
+    """
     f = lifted_view(layout)
     staged = lifted.select(
         "*",
@@ -329,8 +342,10 @@ def label_frames(
         f.structures().alias("structures"),
         f.urgency().alias("urgency"),
         f.affect().alias("affect"),
-        plugin_domain(f).alias("plugin"),
+        *([] if plugins is not None else [plugin_domain(f).alias("plugin")]),
     )
+    if plugins is not None:
+        staged = staged.join(plugins, ["conv_id", "turn"], "left")
     by_rule = domain_rules(f)
     if domain_labels is not None:
         labels = domain_labels.select("conv_id", "turn", "label", F.col("score").cast("double").alias("label_score"))

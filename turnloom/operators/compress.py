@@ -254,6 +254,13 @@ def conversation_rows(turns: DataFrame, layout: Layout, size: int = SEGMENT, lon
     return request.withColumn("feats", F.expr("transform(msgs, m -> m.feat)"))
 
 
+def plugin_frames(turns: DataFrame, frames: DataFrame | None, vocab: Vocabulary, plugins, size: int) -> tuple:
+    """Frames and the plugins that are left to apply: a table of plugins is joined while the turns are classified."""
+    if not isinstance(plugins, DataFrame):
+        return frames, plugins
+    return (classify(turns, plugins, vocab, size=size) if frames is None else frames), None
+
+
 FRAME_COLUMNS = ("intent", "state", "domain", "risk")
 
 
@@ -350,6 +357,7 @@ def memory_frames(
     size: int = SEGMENT,
 ) -> DataFrame:
     """One memory frame per conversation: task, goal, entities, constraints, open questions, risk."""
+    frames, plugins = plugin_frames(turns, frames, vocab, plugins, size)
     longs = long_segments(turns, size)
     short = short_memory(short_requests(turns, frames, vocab, plugins, size, longs), vocab)
     out = short.select(*MEMORY_COLUMNS)
@@ -539,6 +547,7 @@ def compress(
     With ``protect`` medical, legal and crisis conversations are passed on unchanged; without it
     they are compressed like any other. Conversations of at most four turns are kept whole.
     """
+    frames, plugins = plugin_frames(turns, frames, vocab, plugins, size)
     longs = long_segments(turns, size)
     requests_ = gated(short_requests(turns, frames, vocab, plugins, size, longs), protect)
     short = short_compression(short_memory(requests_, vocab), label)
