@@ -425,6 +425,17 @@ def compress_unprotected(spark, path):
     return flat_summary(op.compress(conversations(spark, path), protect=False, vocab=TEST).summary)
 
 
+@query("compress_spread", f"WITH {compress_sql(TEST)}{_FLAT}")
+def compress_spread(spark, path):
+    """Segments of four turns: the form for long conversations, whose turns stay spread, on every conversation of the table."""
+    return flat_summary(op.compress(conversations(spark, path), vocab=TEST, size=4).summary)
+
+
+@query("compressed_turns_spread", f"WITH {compress_sql(TEST)}{_MESSAGES_SQL}")
+def compressed_turns_spread(spark, path):
+    return op.compress(conversations(spark, path), vocab=TEST, size=4).turns
+
+
 @query(
     "handle_requests",
     f"""WITH {compress_sql(TEST)}, {route_ctes()}
