@@ -75,20 +75,6 @@ def test_added_kinds_need_checksum_or_context(spark):
     assert iban.count("iban") == 1 and "iban:0:27" in iban
 
 
-def test_masked_text_has_no_base_span(spark, texts):
-    docs = spark.createDataFrame([(i, t, 7) for i, t in enumerate(HAND)], "doc_id long, text string, n_chars long")
-    got = pii.mask_pii(docs).collect()
-    assert [c for c in pii.mask_pii(docs).columns] == docs.columns
-    for row in got:
-        assert not any(s.startswith(("email", "card")) for s in brute(row.text))
-        if row.text is None:
-            assert row.n_chars is None and HAND[row.doc_id] is None
-        else:
-            assert row.n_chars == len(row.text)
-        if not brute(HAND[row.doc_id]) and "GB82" not in (HAND[row.doc_id] or ""):
-            assert row.text == HAND[row.doc_id]
-
-
 FOLLOWED = {
     "BE68 5390 0754 7034 paid": [(0, 19)], "BE68 5390 0754 7034 I paid": [(0, 19)], "BE68539007547034 I paid": [(0, 16)],
     "ES91 2100 0418 4502 0005 1332 IBAN": [(0, 29)], "to BE68 5390 0754 7034 BE68 5390 0754 7034 NOW": [(3, 22), (23, 42)],
@@ -126,7 +112,7 @@ def test_every_found_span_is_masked(spark, texts):
 
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, n_chars long")
-    assert pii.pii_digest(docs).count() == 0 and pii.mask_pii(docs).count() == 0 and sharding.shard(docs).count() == 0
+    assert pii.pii_digest(docs).count() == 0 and pii.mask_found(docs).count() == 0 and sharding.shard(docs).count() == 0
 
 
 def test_shards(spark):

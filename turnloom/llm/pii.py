@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -198,30 +197,6 @@ def pii_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return found.select("doc_id", *counts, F.sha2(_written(base).cast("binary"), 256).alias("base_sha256"), _written(F.col("found")).alias("spans"))
 
 
-def _masked(kind: Kind, gap: Column, hit: Column) -> Column:
-    return F.concat(gap, F.when(hit.isNull(), "").when(kind.confirm(hit), f"[{kind.name.upper()}]").otherwise(hit))
-
-
-def mask_pii(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """docs with every confirmed match of the base kinds and of account numbers replaced by its kind in brackets.
-
-    The kinds are replaced one after the other, so matches that overlap are covered by the kind that comes first; a
-    replacement holds no digit and no at sign. A null text stays null; chars_col, if there, follows the new text.
-    """
-    text = f"{text_col}_"
-    while text in docs.columns:
-        text += "_"
-    out = docs.withColumn(text, F.col(text_col).cast("string"))
-    for kind in sorted((k for k in KINDS if k.score >= THRESHOLD), key=lambda k: (k.name != "email", k.base, k.name != "card", k.name)):
-        there = F.col(text).rlike(kind.hint)
-        hits, gaps = f"{text}hits", f"{text}gaps"
-        out = out.withColumns({hits: F.when(there, F.regexp_extract_all(F.col(text), F.lit(kind.pattern), F.lit(0))), gaps: F.when(there, F.split(F.col(text), kind.pattern, -1))})
-        pieces = F.zip_with(F.col(gaps), F.col(hits), partial(_masked, kind))
-        out = out.withColumn(text, F.when(F.size(hits) > 0, F.array_join(pieces, "")).otherwise(F.col(text))).drop(hits, gaps)
-    out = out.withColumn(text_col, F.col(text)).drop(text)
-    return out.withColumn(chars_col, F.length(text_col).cast("long")) if chars_col and chars_col in docs.columns else out
-
-
 def _reach(ends: Column) -> Column:
     """The greatest end before each span, by blocks like `_running`."""
     n = F.size(ends)
