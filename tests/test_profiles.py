@@ -60,3 +60,16 @@ def test_segments_folded_in_parallel_equal_a_plain_fold(spark, monkeypatch, seed
     assert {r.user_id: tuple(r)[1:] for r in got} == plain_fold(rows)
     assert len(runs) <= 300 // size + 1 and (kinds > 8 or not runs)  # nothing is run again where lists never overflow
     assert profiles.fold_user_memory(spark.createDataFrame([], ddl)).count() == 0
+
+
+def test_rounds_are_bounded_by_blocks_not_by_sessions(spark, monkeypatch):
+    """Lists that never forget what they began with: one round for each block of a user at most, however many sessions."""
+    runs = []
+    real = profiles._runs
+    monkeypatch.setattr(profiles, "_runs", lambda rows, wanted: runs.append(1) or real(rows, wanted))
+    kinds = {"profile": (13, 4), "patterns": (5, 3), "active_context": (11, 9), "mistakes": (3, 2), "behavioral_signals": (29, 14)}
+    rows = [("hot", s, *([f"{c}{(s * n + i * 7) % cycle}" for i in range(n)] for c, (cycle, n) in kinds.items())) for s in range(600)]
+    ddl = "user_id string, seq long, " + ", ".join(f"{c} array<string>" for c in profiles.LIST_SIZES)
+    got = profiles.fold_user_memory(spark.createDataFrame(rows, ddl).repartition(5), size=8).collect()
+    assert {r.user_id: tuple(r)[1:] for r in got} == plain_fold(rows)
+    assert 0 < len(runs) <= profiles.BLOCKS_PER_CORE * spark.sparkContext.defaultParallelism

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from turnloom import schemas
 from turnloom.functions.regex import java
 from turnloom.functions.text import compact, ws_trim
 from turnloom.operators.turns import valid_turns
@@ -126,47 +128,71 @@ def _without_repeats(items: DataFrame, size: int) -> DataFrame:
     )
 
 
+def _push(target: list[str], added: list[str] | None, most: int) -> None:
+    for item in added or ():
+        if item not in target:
+            target.append(item)
+    if len(target) > most:
+        del target[: len(target) - most]
+
+
 def fold_lists(lists: dict[str, list[str]], added: dict[str, list[str]]) -> None:
     """Add absent items at the end, then drop from the front; a dropped item may come back later."""
     for name, size in LIST_SIZES.items():
-        target = lists[name]
-        for item in added[name]:
-            if item not in target:
-                target.append(item)
-        if len(target) > size:
-            del target[: len(target) - size]
+        _push(lists[name], added[name], size)
+
+
+BLOCKS_PER_CORE = 2
+ENTRY = "user_id string, block int, name string, entry array<string>, exit array<string>"
+#: What a user's sessions in one block come to.
+FOLDED = "user_id string, block int, edge boolean, n long, last_seq long, " + ", ".join(f"{c}_alone array<string>, {c}_distinct array<string>" for c in LIST_SIZES)
 
 
-ARRAYS = ", ".join(f"{c} array<string>" for c in LIST_SIZES)
-ENTRY = "user_id string, seg long, name string, entry array<string>"
+def _sessions(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names), strict=True)
 
 
-def _one_list(name: str, entry: list[str], sessions: list[list[str]]) -> list[str]:
-    lists = {c: [] for c in LIST_SIZES} | {name: list(entry)}
-    for added in sessions:
-        fold_lists(lists, {c: [] for c in LIST_SIZES} | {name: added})
-    return lists[name]
+def _folded(rows: DataFrame) -> DataFrame:
+    """A row for each user in each block: its sessions, and for each list what it holds after this block alone and the distinct
+    items in order, null where they are more than the list holds. edge: the user may go on in the next or previous block."""
+    schema = to_arrow_schema(schemas.struct(FOLDED))
+    lists = list(LIST_SIZES.items())
 
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(edge: bool) -> tuple:
+            found = [x for (_, most), target, seen in zip(lists, alone, distinct, strict=True) for x in (target, None if len(seen) > most else list(seen))]
+            return user, block, edge, n, last, *found
 
-def _segments(rows: DataFrame) -> DataFrame:
-    """A small row for each segment of a user: its sessions, and for each list what it holds after this segment alone and the
-    distinct items in order, null where they are more than the list holds."""
+        def batch_of(done: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), schema.types, strict=True)], schema=schema)
 
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        out = {"user_id": pdf["user_id"].iloc[0], "seg": pdf["seg"].iloc[0], "n": int(pdf["n"].sum()), "last_seq": int(pdf["last_seq"].iloc[-1])}
-        for name, most in LIST_SIZES.items():
-            sessions = [list(x) for x in pdf[name]]
-            distinct = list(dict.fromkeys(x for added in sessions for x in added))
-            out |= {f"{name}_alone": _one_list(name, [], sessions), f"{name}_distinct": distinct if len(distinct) <= most else None}
-        return pd.DataFrame([out])
+        done, user, block, first = [], None, None, True
+        alone, distinct, n, last = [], [], 0, 0
+        for of, at, count, until, *added in _sessions(batches, ["user_id", "block", "n", "last_seq", *LIST_SIZES]):
+            if block is None or of != user:
+                if block is not None:
+                    done.append(row(first))
+                    first = False
+                    if len(done) >= 1000:
+                        yield batch_of(done)
+                        done = []
+                user, block, n = of, at, 0
+                alone, distinct = [[] for _ in lists], [{} for _ in lists]
+            n, last = n + count, until
+            for i, (_, most) in enumerate(lists):
+                _push(alone[i], added[i], most)
+                if len(distinct[i]) <= most:
+                    distinct[i].update(dict.fromkeys(added[i] or ()))
+        if block is not None:
+            done.append(row(True))
+            yield batch_of(done)
 
-    columns = ", ".join(f"{c}_alone array<string>, {c}_distinct array<string>" for c in LIST_SIZES)
-    return rows.groupBy("user_id", "seg").applyInPandas(fn, f"user_id string, seg long, n long, last_seq long, {columns}")
+    return rows.mapInArrow(fn, FOLDED)
 
 
-def after_segment(most: int, entry: list[str], alone: list[str], distinct: list[str] | None, known: dict) -> tuple[list[str], bool]:
-    """What a list holds after a segment, and whether that is certain.
+def after_block(most: int, entry: list[str], alone: list[str], distinct: list[str] | None, known: dict) -> tuple[list[str], bool]:
+    """What a list holds after a block, and whether that is certain.
 
     Nothing is dropped while entry and new items fit the list; then the new items follow the entry. Otherwise a run from that
     entry says it, or, before there is one, a guess does.
@@ -179,90 +205,87 @@ def after_segment(most: int, entry: list[str], alone: list[str], distinct: list[
             return entry + added, True
     if tuple(entry) in known:
         return known[tuple(entry)], True
+    if known:  # what the latest run ended with: most lists forget what they began with
+        return next(reversed(known.values())), False
     return (alone if distinct is None else (entry + added)[-most:]), False
 
 
-def _chained(segments: DataFrame, known: DataFrame | None) -> DataFrame:
-    """Entries of all segments in order: rows with seg for runs that are wanted, rows without seg for what users end with.
+def _chained(blocks: list, known: dict) -> tuple[dict, int, int, dict]:
+    """What a user's blocks, in order, come to: lists, sessions, last seq; and the runs wanted, (block, list) with its entry.
 
-    Reads one small row for each segment. The first run wanted for a list starts from its true entry, so each round settles
-    one more segment of it at least.
+    The first run wanted for a list starts from its true entry, so each round settles one more block of it at least.
     """
-    kept = [f"{c}_{k}" for c in LIST_SIZES for k in ("alone", "distinct")]
-    rows = segments
-    if known is None:
-        rows = rows.withColumn("known", F.array().cast("array<struct<name:string,entry:array<string>,exit:array<string>>>"))
-    else:
-        found = known.groupBy("user_id", "seg").agg(F.collect_list(F.struct("name", "entry", "exit")).alias("known"))
-        rows = rows.join(found, ["user_id", "seg"], "left")
-    ordered = rows.select("user_id", "seg", "n", "last_seq", *kept, "known").repartition("user_id").sortWithinPartitions("user_id", "seg")
-
-    def ends(user, state) -> list[tuple]:
-        return [(user, None, c, state["lists"][c], state["n"], state["last"]) for c in LIST_SIZES]
-
-    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        user, state = None, None
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                if state is None or r.user_id != user:
-                    if state is not None:
-                        out += ends(user, state)
-                    user, state = r.user_id, {"lists": {c: [] for c in LIST_SIZES}, "n": 0, "last": 0}
-                runs = {} if r.known is None else {(x["name"], tuple(x["entry"])): list(x["exit"]) for x in r.known}
-                for c, most in LIST_SIZES.items():
-                    entry, distinct = state["lists"][c], getattr(r, f"{c}_distinct")
-                    of_list = {e: x for (name, e), x in runs.items() if name == c}
-                    exit_, sure = after_segment(most, entry, list(getattr(r, f"{c}_alone")), None if distinct is None else list(distinct), of_list)
-                    if not sure:
-                        out.append((user, r.seg, c, entry, 0, 0))
-                    state["lists"][c] = exit_
-                state["n"] += r.n
-                state["last"] = r.last_seq
-            yield pd.DataFrame(out, columns=["user_id", "seg", "name", "entry", "n", "last_seq"]).astype({"seg": "Int64"})
-        if state is not None:
-            yield pd.DataFrame(ends(user, state), columns=["user_id", "seg", "name", "entry", "n", "last_seq"]).astype({"seg": "Int64"})
-
-    return ordered.mapInPandas(fn, ENTRY + ", n long, last_seq long")
-
-
-def _runs(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(user_id, seg, name, entry, exit): segments folded from the entries wanted, each in a task of its own."""
-
-    def fn(sessions: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-        sessions = sessions.sort_values("seq")
-        out = [
-            (r.user_id, r.seg, r.name, list(r.entry), _one_list(r.name, list(r.entry), [list(x) for x in sessions[r.name]]))
-            for r in entries.drop_duplicates(["name"]).itertuples(index=False)
-        ]
-        return pd.DataFrame(out, columns=["user_id", "seg", "name", "entry", "exit"])
-
-    columns = ["user_id", "seg", "seq", *LIST_SIZES]
-    both = rows.select(*columns).groupBy("user_id", "seg").cogroup(wanted.select("user_id", "seg", "name", "entry").groupBy("user_id", "seg"))
-    return both.applyInPandas(fn, ENTRY + ", exit array<string>")
+    lists, wanted, n = {c: [] for c in LIST_SIZES}, {}, 0
+    for r in blocks:
+        for c, most in LIST_SIZES.items():
+            found, sure = after_block(most, lists[c], r[f"{c}_alone"], r[f"{c}_distinct"], known.get((r["user_id"], r["block"], c), {}))
+            if not sure:
+                wanted[r["block"], c] = lists[c]
+            lists[c] = list(found)
+        n += r["n"]
+    return lists, n, blocks[-1]["last_seq"], wanted
+
+
+def _runs(rows: DataFrame, wanted: dict[tuple, list[str]]) -> DataFrame:
+    """(user_id, block, name, entry, exit): blocks of rows folded from the entries wanted, {(user_id, block, list): entry}."""
+    schema = to_arrow_schema(schemas.struct(ENTRY))
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine: dict = {}
+        for (of, at, c), entry in wanted.items():
+            mine.setdefault((of, at), []).append((list(LIST_SIZES).index(c), c, entry, list(entry)))
+        met = set()
+        for of, at, *added in _sessions(batches, ["user_id", "block", *LIST_SIZES]):
+            if (of, at) in mine:
+                met.add((of, at))
+                for i, c, _, target in mine[of, at]:
+                    _push(target, added[i], LIST_SIZES[c])
+        out = [(*key, c, entry, target) for key in met for _, c, entry, target in mine[key]]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+
+    return rows.mapInArrow(fn, ENTRY)
 
 
 def fold_user_memory(items: DataFrame, size: int = SEGMENT) -> DataFrame:
     """Fold sessions items(user_id STRING, seq, five arrays) into one memory row per user.
 
-    The lists depend on the order of all sessions. A user is cut into segments of at most `size` sessions, which are folded in
-    parallel; a pass over one small row for each segment chains them. Where a segment drops items its end depends on the entry:
-    it is folded again from the entry that the chain found, until all entries are those that were run. Runs of equal sessions
-    are combined first, which is what a very frequent user mostly consists of. The rounds run when this is called.
+    The lists depend on the order of all sessions. Sessions are dealt in order into blocks, ranges of (user, seq) of equal size,
+    at most BLOCKS_PER_CORE for each core and about `size` sessions at least, which are folded in parallel and row by row. Most users
+    lie within a block and are done then. A user that goes on in the next block is the last of one and the first of another, so
+    there are at most two such rows for each block, and these are chained on the driver. Where a block drops items its end
+    depends on the entry: it is folded again from the entry that the chain found, until all entries are those that were run. The
+    rounds are never more than the blocks of one user, so all runs together take no longer than one after the other. Runs of
+    equal sessions are combined first, which is what a very frequent user mostly consists of. The rounds run when this is called.
     """
-    rows = durable(_without_repeats(items, size).select("user_id", "seg", "seq", "last_seq", "n", *LIST_SIZES))
-    segments = durable(_segments(rows))
-    known = None
-    while True:
-        chained = durable(_chained(segments, known))
-        wanted = chained.filter("seg IS NOT NULL")
-        if wanted.isEmpty():
-            break
-        runs = _runs(rows.join(wanted.select("user_id", "seg").distinct(), ["user_id", "seg"], "left_semi"), wanted)
-        known = durable(runs if known is None else known.unionByName(runs))
-    last = [F.max(F.when(F.col("name") == c, F.col("entry"))).alias(c) for c in LIST_SIZES]
-    ends = chained.filter("seg IS NULL").groupBy("user_id").agg(*last, F.max("n").cast("int").alias("version"), F.max("last_seq").alias("last_seq"))
-    return ends.select("user_id", *LIST_SIZES, "version", "last_seq")
+    spark = items.sparkSession
+    rows = durable(_without_repeats(items, size).select("user_id", "seq", "last_seq", "n", *LIST_SIZES))
+    blocks = max(1, min(BLOCKS_PER_CORE * spark.sparkContext.defaultParallelism, -(-rows.count() // size)))
+    ordered = rows.repartitionByRange(blocks, "user_id", "seq").sortWithinPartitions("user_id", "seq")
+    rows = durable(ordered.withColumn("block", F.spark_partition_id()))
+    folded = durable(_folded(rows))
+    edges = {}
+    for r in folded.filter("edge").orderBy("block").collect():
+        edges.setdefault(r["user_id"], []).append(r)
+    known, ended = {}, []
+    open_ = list(edges)
+    while open_:
+        wanted, left = {}, []
+        for user in open_:
+            lists, n, last, runs = _chained(edges[user], known)
+            wanted |= {(user, *of): entry for of, entry in runs.items()}
+            if runs:
+                left.append(user)
+            else:
+                ended.append((user, *lists.values(), n, last))
+        if wanted:
+            again = rows.filter(F.col("block").isin(sorted({block for _, block, _ in wanted})))
+            for r in _runs(again, wanted).collect():
+                known.setdefault((r["user_id"], r["block"], r["name"]), {})[tuple(r["entry"])] = r["exit"]
+        open_ = left
+    within = folded.filter("NOT edge").select("user_id", *[F.col(f"{c}_alone").alias(c) for c in LIST_SIZES], "n", "last_seq")
+    across = spark.createDataFrame(ended, "user_id string, " + ", ".join(f"{c} array<string>" for c in LIST_SIZES) + ", n long, last_seq long")
+    return within.unionByName(across).select("user_id", *LIST_SIZES, F.col("n").cast("int").alias("version"), "last_seq")
 
 
 def ingest_sessions(turns: DataFrame, frames: DataFrame, sessions: DataFrame) -> DataFrame:
