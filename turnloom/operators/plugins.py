@@ -1,7 +1,8 @@
 """Plugins as a table: the first plugin, in the order of the list, that has a keyword in a conversation so far.
 
-Keywords meet texts in a join on their first characters, so a list of any length is neither read on the driver nor made a
-part of the plan. Only its size in bytes is read, which decides whether the keywords are broadcast.
+Places of a text that begin like a keyword meet keywords of that length in a join, so a list of any length is neither read on
+the driver nor made a part of the plan. Only its size in bytes and the number of its beginnings and lengths are read, which
+decide what is broadcast.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def turn_plugins(rows: DataFrame, plugins: DataFrame, broadcast_bytes: int = BRO
     n = F.length("keyword")
     facts = words.agg(
         F.sum(F.octet_length("keyword") + ROW_BYTES).alias("bytes"), F.max(n).alias("longest"),
-        F.collect_set(F.least(n, F.lit(GRAM))).alias("lengths"), F.min(F.when(n == 0, F.col("first"))).alias("always"),
+        F.collect_set(F.least(n, F.lit(GRAM))).alias("lengths"), F.count_distinct(F.substring("keyword", 1, GRAM), n).alias("shapes"), F.min(F.when(n == 0, F.col("first"))).alias("always"),
     ).first()
     always = facts["always"] or (None, None)  # an empty keyword is in every text
     owner = F.struct(F.lit(always[0]).cast("long").alias("ord"), F.lit(always[1]).cast("string").alias("id"))
@@ -51,10 +52,15 @@ def turn_plugins(rows: DataFrame, plugins: DataFrame, broadcast_bytes: int = BRO
     lengths = sorted(x for x in facts["lengths"] if x)
     if not lengths:
         return everywhere.distinct()
-    probes = words.filter("keyword <> ''").withColumn("gram", F.substring("keyword", 1, GRAM))
+    worded = words.filter("keyword <> ''")
+    shapes = worded.select(F.substring("keyword", 1, GRAM).alias("gram"), n.alias("n")).distinct()
+    if facts["shapes"] * ROW_BYTES <= broadcast_bytes:  # then only places that begin like a keyword leave their task
+        shapes = F.broadcast(shapes)
     if facts["bytes"] <= broadcast_bytes:
-        probes = F.broadcast(probes)
-    met = _places(rows, facts["longest"], lengths).join(probes, "gram").filter(F.col("here").startswith(F.col("keyword")))
+        worded = F.broadcast(worded)
+    begun = _places(rows, facts["longest"], lengths).join(shapes, "gram")
+    begun = begun.select(*TURN, F.substring(F.col("here"), F.lit(1), F.col("n")).alias("keyword")).distinct()
+    met = begun.join(worded, "keyword")
     return met.select(*TURN, "first").unionByName(everywhere).groupBy(*TURN).agg(F.min("first").alias("first"))
 
 
