@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from turnloom.functions.regex import SPACE, java
+from turnloom.functions.regex import SPACES, java
 
 
 def q(value: str) -> str:
@@ -48,8 +48,7 @@ def pack(conditions: list[str]) -> str:
 
 
 def ws_trim(text: str) -> str:
-    head, tail = q(rf"\A{SPACE}+"), q(rf"{SPACE}+\z")
-    return f"regexp_replace(regexp_replace({text}, {head}, ''), {tail}, '')"
+    return f"btrim({text}, {q(SPACES)})"
 
 
 def string_array(values) -> str:
