@@ -111,3 +111,52 @@ def test_empty_index_and_queries(spark):
     assert recall(queries.filter("query_id = 2"), index).count() == 0
     source = spark.createDataFrame([("ann", "n", "", None, "d", "i", "s")], "owner string, source_id string, title string, content string, domain string, intent string, state string")
     assert ingest_prompt(source, index).count() == 1
+
+
+def test_pairs_of_blocks_score_like_a_join(monkeypatch):
+    """Products of two blocks, a few at a time, with the body capped; the best of equal scores are the earlier pages."""
+    import numpy as np
+
+    from turnloom.operators import recall as op
+
+    monkeypatch.setattr(op, "AT_ONCE", 7)
+    rng = random.Random(5)
+    pages = [[(rng.randrange(20), rng.randint(1, 3)) for _ in range(rng.randint(0, 9))] for _ in range(40)]
+    asked = sorted((rng.randrange(20), rng.randrange(6), rng.randint(1, 2), rng.random() < 0.5) for _ in range(60))
+    hits = [h for p in pages for h in p]
+    cuts = np.append(0, np.cumsum([len(p) for p in pages]))
+    page_hits = cuts, np.array([u for u, _ in hits]), np.array([n for _, n in hits])
+    for most in (None, 5):
+        got = op._pair_scores(page_hits, tuple(map(np.array, zip(*asked, strict=True))), 6, most)
+        for i, page in enumerate(pages):
+            for q in range(6):
+                own, body = (sum(w * n for u, n in page for v, of, w, b in asked if v == u and of == q and b == kind) for kind in (False, True))
+                assert got[i, q] == own + (body if most is None else min(most, body))
+        best = sorted(zip(*(x.tolist() for x in op._best(got, 3)), strict=True), key=lambda x: x[1])
+        for q in range(6):
+            expected = sorted(((-got[i, q], i) for i in range(40) if got[i, q]))[:3]
+            assert sorted((-got[i, q], i) for i, of in best if of == q) == expected
+
+
+def test_blocks_of_few_pages_and_queries_lose_nothing(spark, monkeypatch):
+    from turnloom.operators import recall as op
+
+    monkeypatch.setattr(op, "PAGES_PER_BLOCK", 7)
+    monkeypatch.setattr(op, "QUERIES_PER_BLOCK", 4)
+    monkeypatch.setattr(op, "BROADCAST_ROWS", 0)
+    rows, asked = made(11)
+    index = write_index(spark.createDataFrame(rows, SECTIONS), hot=0)
+    everywhere = [(q, None if q % 2 else o, t) for q, o, t in asked]
+    got = recall(spark.createDataFrame(everywhere, "query_id long, owner string, text string"), index).collect()
+    assert {(r.query_id, r["rank"]): (r.owner, r.path, r.score) for r in got} == brute(rows, everywhere, "recall", 4)
+    got = rank_pages(spark.createDataFrame(asked, "query_id long, owner string, text string"), index).collect()
+    assert {(r.query_id, r["rank"]): (r.owner, r.path, r.score) for r in got} == brute(rows, asked, "rank", 4)
+
+
+def test_postings_are_written_without_a_row_for_each_word(spark):
+    """A section is one row of the postings, however many words it has."""
+    rows = [("ann", f"p{i % 3}", "t", i, 0, f"s{i}", None, ["x"], "under_score the-hotel webhook " * 50) for i in range(30)]
+    index = write_index(spark.createDataFrame(rows, SECTIONS))
+    assert index.postings.filter("part = 'text'").count() == 30
+    queries = spark.createDataFrame([(1, "ann", "the-hotel hook score")], "query_id long, owner string, text string")
+    assert {r.score for r in recall(queries, index).collect()} == {3}
