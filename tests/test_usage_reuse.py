@@ -167,3 +167,28 @@ def test_reuse_stream_equals_batch(spark, tmp_path):
     )
     by_id = lambda rows: sorted(((r.query_id, r.scope, r.hit, r.match_id, r.saved_tokens) for r in rows))
     assert by_id(got) == by_id(batch)
+
+
+def test_starts_of_many_spans_at_once_are_those_of_a_walk():
+    """All spans of a table in one go: sparse ones, chains of adjacent buckets, and spans that a window is carried into."""
+    import numpy as np
+
+    from turnloom.operators.usage import BUCKETS_PER_SPAN, NONE, _starts
+
+    rng, period = random.Random(4), 10
+    spans, buckets, offsets, entries, expected = [], [], [], [], []
+    for span in range(200):
+        first = rng.randrange(5) * BUCKETS_PER_SPAN
+        entry = rng.choice([NONE, rng.randrange(period)])
+        start = first * period - period + entry if entry != NONE else None
+        for at in sorted(rng.sample(range(30 * rng.choice([1, 8])), rng.randint(1, 12))):
+            ms = first * period + at
+            if start is None or ms - start >= period:
+                start = ms
+            spans.append(span)
+            buckets.append(ms // period)
+            offsets.append(ms % period)
+            entries.append(entry)
+            expected.append(start)
+    got = _starts(*map(np.array, (spans, buckets, offsets, entries)), period)
+    assert got.tolist() == expected

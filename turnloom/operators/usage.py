@@ -229,7 +229,13 @@ def _functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The function of each span from its instants in order."""
     for table, bounds in _whole_groups(batches, "span"):
         buckets, offsets = _longs(table, "bucket"), _longs(table, "off")
-        found = [_span_function(*_bucket_lists(buckets[a:b], offsets[a:b])) for a, b in zip(bounds[:-1], bounds[1:])]
+        # a span without calls in its last bucket is left without a window, however it is entered
+        open_end = (buckets[bounds[1:] - 1] % BUCKETS_PER_SPAN == BUCKETS_PER_SPAN - 1).tolist()
+        closed = np.array([_ANY]), np.array([NONE])
+        found = [
+            _span_function(*_bucket_lists(buckets[a:b], offsets[a:b])) if is_open else closed
+            for a, b, is_open in zip(bounds[:-1].tolist(), bounds[1:].tolist(), open_end)
+        ]
         spans = _longs(table, "span")[bounds[:-1]]
         keys = table.column("key_id").take(pa.array(bounds[:-1])).to_pylist()
         yield _batch(
@@ -275,26 +281,34 @@ def _entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(["key_id", "id", "entry"], [table.column("key_id").to_pylist(), _longs(table, "id"), out])
 
 
-def _window_starts(period: int):
-    def starts_of(buckets: np.ndarray, offsets: np.ndarray, entry: int) -> np.ndarray:
-        buckets, lists = _bucket_lists(buckets, offsets)
-        state = np.array([entry if buckets[0] % BUCKETS_PER_SPAN == 0 else NONE])
-        found = []
-        for i, own in enumerate(lists):
-            if i and buckets[i] != buckets[i - 1] + 1:
-                state = np.array([NONE])
-            opened = _step(state, own)
-            base = buckets[i] * period
-            before = base - period + state[0]  # start of the window carried in from the bucket before
-            found.append(np.where((opened[0] != NONE) & (own >= opened[0]), base + opened[0], before))
-            state = opened
-        return np.concatenate(found)
+def _starts(spans: np.ndarray, buckets: np.ndarray, offsets: np.ndarray, entries: np.ndarray, period: int) -> np.ndarray:
+    """The start of the window of each instant; the instants are in order, spans numbers the spans from 0 on. Of all runs of
+    adjacent buckets in a span the first buckets are worked on at once, then the second ones, and so on."""
+    new = np.append(True, (spans[1:] != spans[:-1]) | (buckets[1:] != buckets[:-1]))
+    first, of = np.flatnonzero(new), np.cumsum(new) - 1
+    end, bucket, span = np.append(first[1:], len(of)), buckets[first], spans[first]
+    enters = np.append(True, span[1:] != span[:-1])
+    alone = enters | np.append(True, bucket[1:] != bucket[:-1] + 1)
+    place = np.arange(len(first)) - np.maximum.accumulate(np.where(alone, np.arange(len(first)), 0))
+    state = np.where(enters & (bucket % BUCKETS_PER_SPAN == 0), entries[first], NONE)
+    opened = np.full(len(first), NONE, np.int64)
+    keys = of * period + offsets  # ascending
+    order = np.argsort(place, kind="stable")
+    for now in np.split(order, np.cumsum(np.bincount(place))[:-1]):
+        later = now[place[now] > 0]
+        state[later] = opened[later - 1]
+        at = np.searchsorted(keys, now * period + np.maximum(state[now], 0), side="left")
+        opened[now] = np.where(at < end[now], offsets[np.minimum(at, len(offsets) - 1)], NONE)
+    base, own = buckets * period, opened[of]
+    return np.where((own != NONE) & (offsets >= own), base + own, base - period + state[of])
 
+
+def _window_starts(period: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in _whole_groups(batches, "span"):
-            buckets, offsets, entry = _longs(table, "bucket"), _longs(table, "off"), _longs(table, "entry")
-            starts = [starts_of(buckets[a:b], offsets[a:b], entry[a]) for a, b in zip(bounds[:-1], bounds[1:])]
-            columns = [table.column("key_id").to_pylist(), buckets * period + offsets, _longs(table, "n"), np.concatenate(starts)]
+            buckets, offsets = _longs(table, "bucket"), _longs(table, "off")
+            starts = _starts(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), buckets, offsets, _longs(table, "entry"), period)
+            columns = [table.column("key_id").to_pylist(), buckets * period + offsets, _longs(table, "n"), starts]
             yield _batch(["key_id", "ms", "n", "window_start"], columns)
 
     return run
