@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from turnloom.llm import decontaminate, hmm, near_copies, simhash, suffixes
 from turnloom.llm.components import components
@@ -197,6 +198,60 @@ def test_near_copies_equal_brute_force(spark):
     assert len(groups) < simhash.keep_first(docs).count()
 
 
+def brute_words(shingles):
+    """The majority bits of a set of unsigned hashes, word by word."""
+    mask = (1 << 64) - 1
+    words = []
+    for w in range(4):
+        mixed = []
+        for h in shingles:
+            x = (h + w * 0x9E3779B97F4A7C15) & mask
+            x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+            x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+            mixed.append(x ^ (x >> 31) if w else h)
+        words.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in mixed) > len(mixed)))
+    return words
+
+
+def test_fingerprints_propose_near_copies(spark):
+    rng = random.Random(5)
+    groups = []
+    for size in [4] * 25 + [1] * 60 + [90]:
+        base = [rng.getrandbits(64) for _ in range(rng.choice([60, 150]))]
+        groups.append([{*base[rng.randint(1, 3) :], *(rng.getrandbits(64) for _ in range(rng.randint(0, 1)))} for _ in range(size)])
+    sets = [set(), {7}, *(s for g in groups for s in g), {rng.getrandbits(64) for _ in range(near_copies.RUN + 5)}]
+    rows = [(i, [h - (1 << 64) if h >> 63 else h for h in s]) for i, s in enumerate(sets)]
+    given = spark.createDataFrame([*rows, (-1, None)], "node long, s array<long>").repartition(3)
+    nodes = given.select("node", F.greatest(F.size("s"), F.lit(0)).alias("n"), F.arrow_udf(near_copies.fingerprint, "array<long>")("s").alias("print"))
+    prints = {r.node: b"".join((w % (1 << 64)).to_bytes(8, "little") for w in r.print) for r in nodes.collect()}
+    for i, s in enumerate(sets):
+        assert prints[i] == b"".join(w.to_bytes(8, "little") for w in brute_words(s))
+    assert prints[-1] == bytes(32)
+    pairs = [(r.a, r.b) for r in near_copies.alike(nodes.filter("node > 0")).collect()]
+    assert len(pairs) == len(set(pairs))
+    for a, b in pairs:
+        same = [x == y for x, y in zip(prints[a], prints[b], strict=True)]
+        assert a < b and sum(same) >= near_copies.LEAST_BYTES and any(all(same[p] for p in key) for key in near_copies.KEYS)
+    of = {r.node: r.least for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    at = 2
+    for g in groups:
+        names = {of.get(i, i) for i in range(at, at + len(g))}
+        assert names == {at}
+        at += len(g)
+
+
+def test_near_copies_are_found_by_fingerprints(spark, monkeypatch):
+    """Without the second look, which lists shingles, the fingerprints alone connect copies with few edits."""
+    rng = random.Random(8)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randint(0, 9999)}" for _ in range(200)]
+        texts += [" ".join(base), " ".join(base[:-1]), " ".join([*base[:90], "new", *base[91:]])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(near_copies, "_pairs", lambda matched: matched.sparkSession.createDataFrame([], "a long, b long"))
+    assert sorted(r.doc_id for r in near_copies.keep_one(docs).collect()) == list(range(0, 36, 3))
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 901), (901, 900)], "a long, b long")
     got = {r.node: r.least for r in components(links).collect()}

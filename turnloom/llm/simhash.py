@@ -81,14 +81,15 @@ def _index(fps: DataFrame) -> DataFrame:
     return fps.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", "key.*")
 
 
-def _shared_bytes(a: Column, b: Column) -> Column:
+def shared_bytes(a: Column, b: Column) -> Column:
+    """How many of the eight bytes of a and b agree."""
     apart = a.bitwiseXOR(b)
     return sum((F.when(_bytes_at(apart, (p,)) == 0, 1).otherwise(0) for p in range(8)), F.lit(0))
 
 
 def _near(pairs: DataFrame) -> DataFrame:
     """Count filter, then the bits."""
-    pairs = pairs.filter(_shared_bytes(F.col("a"), F.col("b")) >= LEAST_BYTES)
+    pairs = pairs.filter(shared_bytes(F.col("a"), F.col("b")) >= LEAST_BYTES)
     return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MOST_BITS)
 
 
