@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from turnloom.llm import decontaminate, hmm, near_copies, simhash, suffixes
+from turnloom.llm import common, decontaminate, hmm, near_copies, simhash, suffixes
 from turnloom.llm.components import components
 
 SCHEMA = "doc_id long, text string, spans int, fp int"
@@ -252,6 +252,28 @@ def test_near_copies_are_found_by_fingerprints(spark, monkeypatch):
     assert sorted(r.doc_id for r in near_copies.keep_one(docs).collect()) == list(range(0, 36, 3))
 
 
+def test_no_join_of_near_copies_is_broadcast_by_an_estimate(spark, monkeypatch):
+    """The size of exploded fingerprints is estimated without the explode, so plans made before any job must not trust it."""
+    thresholds = {name: spark.conf.get(name, None) for name in (common.ESTIMATED, common.MEASURED)}
+    plans = []
+
+    def recorded(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return common.stored(df, name)
+
+    monkeypatch.setattr(near_copies, "stored", recorded)
+    monkeypatch.setattr(near_copies, "HELD", -1)  # what is counted before it is broadcast is not asked about here
+    monkeypatch.setattr("turnloom.llm.components.stored", recorded)
+    texts = [" ".join(f"w{j}" for j in range(60 * (i // 3), 60 * (i // 3) + 60 - i % 3)) for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = near_copies.near_copies(docs)
+    assert found.select("root").distinct().count() == 10
+    assert {"near-byte-lists", "near-pairs", "links"} <= {name for name, _ in plans}
+    planned = [*plans, ("result", found._jdf.queryExecution().executedPlan().toString())]
+    assert [name for name, plan in planned if "Broadcast" in plan] == []
+    assert {name: spark.conf.get(name, None) for name in thresholds} == thresholds
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 901), (901, 900)], "a long, b long")
     got = {r.node: r.least for r in components(links).collect()}
