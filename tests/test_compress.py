@@ -101,6 +101,20 @@ def test_hard_facts_across_turns_match_the_joined_text(spark):
     assert expected[1][0] == "March 5" and "Bay City Bay City" in expected[7]
 
 
+def test_hard_facts_of_long_runs(spark):
+    """Java's stack must not grow with the names in a row, nor with the digits and blanks at a text's end."""
+    names = " ".join(["De"] * 20000)
+    tail = "1" + " 2" * 20000
+    texts = [f"{names} was here", f"{names} wash. Anna Bell was in", f"x {tail}", f"{tail} x", "Ed\u00a0Fox  is, Gnu HEn was"]
+    rows = spark.createDataFrame([(i, 0, 0, t, "education") for i, t in enumerate(texts)], "conv_id long, seg long, pos long, text string, domain string")
+    got = {r.conv_id: r.hard_facts for r in hard_facts(rows).collect()}
+    four = "De De De De"
+    assert got[0] == [four, names] and got[1] == [four, "Anna Bell"] and got[4] == ["Ed\u00a0Fox"]
+    assert got[2] and got[2] == got[3]
+    of = rows.select("conv_id", hard_facts_of("text", "domain").alias("f")).collect()
+    assert {r.conv_id: r.f for r in of} == got
+
+
 def test_model_summary_and_fallback(spark, turns):
     frames = classify(turns)
     summaries = spark.createDataFrame([(0, "Webhook work."), (3, None)], "conv_id long, summary string")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.functions.facts import drop_subsumed
-from turnloom.functions.regex import SPACE
+from turnloom.functions.regex import SPACE, SPACES
 from turnloom.functions.sqltext import NO_STRINGS, find_all, q, strings, ws_trim
 from turnloom.functions.text import distinct_by_lower
 from turnloom.functions.vocab import HARD_FACT_PATTERNS
@@ -23,21 +23,58 @@ _MONTH = (
     r"(?i:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?"
     r"|nov(?:ember)?|dec(?:ember)?)"
 )
-_OPEN_TAIL = (
-    rf"(?:[A-Z][a-z]+|(?<!\w)of|(?<!\w){_MONTH}|\d(?:st|nd|rd|th|ST|ND|RD|TH)?,?){SPACE}*\z"
-    rf"|\d(?:\d|{SPACE}|[-().])*\z|\A{SPACE}*\z"
-)
+_OPEN_END = rf"(?:(?<!\w)of|(?<!\w){_MONTH}|\d(?:st|nd|rd|th|ST|ND|RD|TH)?,?)\z"
+_END = 12  # characters that _OPEN_END looks at, and more
+_MARKS, _LOWER, _DIGITS = "().-", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+_LAST = 64  # characters of a text that are looked at first
 _OPEN_HEAD = (
     rf"\A{SPACE}*(?:[A-Z][a-z]|\d|[-().%]|\z|(?i:of|ms|gb|mb|tb|kb|rpm|rps|usd|dollars?|kg|km|mi|mph|k|m|b|million"
     r"|thousand|was|is|are|were|did|has|have|began|started|founded|built|hired|located)(?!\w))"
 )
 
 
+_NAMES = r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*"
+
+
+def _without_recursion(pattern: str) -> str:
+    """A pattern that captures names before a verb, with the same captures on any length of text.
+
+    Java calls itself for each round of a loop that may give rounds back; a few thousand names in a row end the stack, and that
+    error ends the executor. No round can be given back, as no verb begins with a capital, so the loop need not remember them.
+    Names without a verb are passed over whole, with an empty capture, as none of them can begin a match.
+    """
+    if _NAMES not in pattern:
+        return pattern
+    start, end = pattern.split(f"({_NAMES})")
+    return f"{start}(?:({_NAMES}+){end}|{_NAMES}+)"
+
+
+def _open_tail(text: Column) -> Column:
+    """Whether a value may go on behind the text: it is blank or ends with a name, a word of a date, or digits, marks and blanks.
+
+    Only the end is looked at, as far back as it takes; a pattern would be tried at every place, with a call for each character.
+    """
+
+    def of(end: Column) -> Column:
+        bare = F.rtrim(end, F.lit(SPACES))
+        name = F.rtrim(bare, F.lit(_LOWER))
+        return (
+            (bare == "")
+            | ((name != bare) & F.right(name, F.lit(1)).between("A", "Z"))
+            | F.right(F.rtrim(end, F.lit(SPACES + _MARKS)), F.lit(1)).between("0", "9")
+            | F.right(bare, F.lit(_END)).rlike(_OPEN_END)
+        )
+
+    last = F.right(text, F.lit(_LAST))
+    enough = F.length(F.rtrim(last, F.lit(SPACES + _MARKS + _LOWER + _DIGITS))) >= _END
+    return F.transform(F.array(F.when(enough, last).otherwise(text)), of)[0]
+
+
 def fact_structs(text: str, domain: str) -> str:
     """All matches as (family, idx, value), in collection order, as SQL text."""
     parts = []
     for family, (pattern, only, group) in enumerate(HARD_FACT_PATTERNS):
-        found = find_all(text, pattern, group)
+        found = find_all(text, _without_recursion(pattern), group)
         if only is not None:
             found = f"IF({domain} = {q(only)}, {found}, {NO_STRINGS})"
         entry = f"struct({family} AS family, i AS idx, {ws_trim('v')} AS value)"
@@ -48,7 +85,7 @@ def fact_structs(text: str, domain: str) -> str:
 def _runs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split rows into turns that stand alone and turns that belong to a run of several."""
     flagged = rows.withColumns(
-        {"open_tail": F.col("text").rlike(_OPEN_TAIL), "open_head": F.col("text").rlike(_OPEN_HEAD)}
+        {"open_tail": _open_tail(F.col("text")), "open_head": F.col("text").rlike(_OPEN_HEAD)}
     )
     w = Window.partitionBy("conv_id", "seg").orderBy("pos")
     flagged = flagged.withColumn("joins_prev", F.lag("open_tail").over(w) & F.col("open_head"))
